@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlog.llm import pii, secrets
+from driftlog.llm import exact_dedup, pii, secrets, token_store, warc
 from driftlog.llm.shared import read
 
 
@@ -18,7 +18,32 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.find_secrets(read(spark, sf_dir, "documents")))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public tokenizer's file on every machine of the cluster."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_store.write_tokens(read(spark, sf_dir, "documents"), tokenizer_path(), end_id=0)
+    return token_store.read_tokens(manifest)
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.normalise(warc.write_archives(read(spark, sf_dir, "pages"), revisit_bytes=1000))
+    warc.drop_streams(archives)
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_secrets": op2_secrets,
+    "op4_token_store": op4_token_store,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op8_warc": op8_warc,
 }

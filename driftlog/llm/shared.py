@@ -48,3 +48,15 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def arrow_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Bound what a Python worker gets at once: texts are long, so fewer rows than Spark's default."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def one_per_task(df: DataFrame, n: int) -> DataFrame:
+    """Few rows that each stand for much work (files), dealt out evenly."""
+    return df.repartition(max(1, n))
