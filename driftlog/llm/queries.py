@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlog.llm import exact_dedup, pii, secrets, token_store, warc
+from driftlog.llm import exact_dedup, jaccard_join, pii, secrets, token_store, warc
 from driftlog.llm.shared import read
 
 
@@ -40,10 +40,15 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_groups(read(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_secrets": op2_secrets,
     "op4_token_store": op4_token_store,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_warc": op8_warc,
+    "op9_jaccard_join": op9_jaccard_join,
 }

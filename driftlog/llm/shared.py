@@ -25,15 +25,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    ``files``: at most so many files, for tables known to be small beside what they are made from.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    out = df if partitions is None else df.coalesce(partitions)
+    out = df if files is None else df.coalesce(files)
     out.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_one(df: DataFrame, name: str) -> DataFrame:
+    """``written`` for a list of files or tasks: one row per task of the job that made it, in one file."""
+    return written(df.repartition(1), name)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared store through the cluster's own file system."""
     jvm = spark.sparkContext._jvm

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlog.llm.files import opened, whole_file
-from driftlog.llm.shared import arrow_batches, id_and_text, new_path, one_per_task, written
+from driftlog.llm.shared import arrow_batches, id_and_text, new_path, one_per_task, written_one
 
 MAGIC = b"DACTOK01"
 BLOCK = 512
@@ -252,7 +252,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_tokens:
     folder = folder or new_path(spark, "tokens")
     d = id_and_text(docs).withColumn("tie", F.xxhash64("text"))
     d = d.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    made = written(d.mapInArrow(partial(_write, folder, tokenizer, end_id, shard_tokens), "part int, piece int, path string, n_docs long, n_tokens long"), "token-shards")
+    made = written_one(d.mapInArrow(partial(_write, folder, tokenizer, end_id, shard_tokens), "part int, piece int, path string, n_docs long, n_tokens long"), "token-shards")
     # one row per shard, not per document
     before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
     return made.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -273,5 +273,5 @@ def _read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """One row per document, from the files: ``doc_id, start, n_tokens, ids_crc32``."""
-    files = written(manifest.select("path", "base"), "token-manifest")
+    files = written_one(manifest.select("path", "base"), "token-manifest")
     return one_per_task(files, files.count()).mapInArrow(_read_shards, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlog.llm.files import opened, remove, whole_file
-from driftlog.llm.shared import arrow_batches, new_path, one_per_task, written
+from driftlog.llm.shared import arrow_batches, new_path, one_per_task, written_one
 
 _INDEX = struct.Struct("<QQ")
 _STEP = 1 << 20
@@ -98,7 +98,7 @@ def write_archives(pages: DataFrame, revisit_bytes: int = 1000, folder: str | No
     p = p.join(shared, ["sha1", "size"], "left")
     again = F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))
     p = p.select("page_id", "url", F.when(again, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "size", "sha1", F.when(again, F.col("keep")).alias("refers_to"))
-    return written(p.mapInArrow(partial(_write, folder or new_path(pages.sparkSession, "warc"), date, level), "archive string, n long"), "warc-streams")
+    return written_one(p.mapInArrow(partial(_write, folder or new_path(pages.sparkSession, "warc"), date, level), "archive string, n long"), "warc-streams")
 
 
 # ---------------------------------------------------------------- normalising
@@ -169,7 +169,7 @@ def _normalise(level: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 def normalise(archives: DataFrame, level: int = 6) -> DataFrame:
     """Rewrite monolithic archives as one member per record, with sidecar indexes."""
     tasks = one_per_task(archives, archives.count())
-    return written(tasks.mapInArrow(partial(_normalise, level), "archive string, n long"), "warc-archives")
+    return written_one(tasks.mapInArrow(partial(_normalise, level), "archive string, n long"), "warc-archives")
 
 
 def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
