@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftlog.llm import exact_dedup, jaccard_join, pii, secrets, token_store, warc
+from driftlog.llm import decontaminate, exact_dedup, jaccard_join, langid, pii, secrets, token_store, warc
 from driftlog.llm.shared import read
 
 
@@ -30,6 +31,10 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(manifest)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -44,11 +49,20 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_groups(read(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
+    out = langid.label(docs, model)
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_secrets": op2_secrets,
     "op4_token_store": op4_token_store,
+    "op5_decontaminate": op5_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_warc": op8_warc,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_langid": op10_langid,
 }
