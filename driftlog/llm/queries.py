@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlog.llm import decontaminate, exact_dedup, jaccard_join, langid, pii, secrets, token_store, warc
+from driftlog.llm import decontaminate, exact_dedup, jaccard_join, langid, mixing, pii, secrets, token_store, warc
 from driftlog.llm.shared import read
 
 
@@ -35,6 +35,14 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+#: share of the tokens that each domain is to have; the good ones are all kept
+TARGETS = {"good": 0.9, "poor": 0.1, "toxic": 0.0}
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), TARGETS)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -61,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op4_token_store": op4_token_store,
     "op5_decontaminate": op5_decontaminate,
+    "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_warc": op8_warc,
     "op9_jaccard_join": op9_jaccard_join,
