@@ -31,7 +31,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlog.llm.components import components
@@ -41,7 +41,7 @@ from driftlog.llm.words import U, mix, shingle_sets
 #: places of the table of cell counts: its size is the same for any input
 SLOTS = 1 << 18
 #: documents, and bytes of their sets, in a block of a cluster
-BLOCK_DOCS, BLOCK_BYTES = 512, 16 << 20
+BLOCK_DOCS, BLOCK_BYTES = 2048, 16 << 20
 #: rows of a partition of cells
 CELLS = 2_000_000
 #: ids that may be broadcast
@@ -163,7 +163,7 @@ def _sets(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         ends = np.cumsum(counts).tolist()
         got = [sets[e - n : e] for e, n in zip(ends, counts.tolist(), strict=True)]
         own = [len(x) > 0 and int(np.bitwise_xor.reduce(x).view(np.int64)) == node for x, node in zip(got, b.column("node").to_pylist(), strict=True)]
-        out = pa.record_batch([b.column("node"), b.column("cluster"), pa.array([x.tobytes() for x in got], pa.binary())], ["node", "cluster", "shingles"])
+        out = pa.record_batch([*(b.column(c) for c in ("node", "cluster", "side", "blocks")), pa.array([x.tobytes() for x in got], pa.binary())], ["node", "cluster", "side", "blocks", "shingles"])
         yield out.filter(pa.array(own, pa.bool_()))
 
 
@@ -221,6 +221,20 @@ def _links(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield links()
 
 
+def block_plan(nodes: DataFrame, cluster: str, size: Column) -> DataFrame:
+    """``nodes`` of clusters of two and more, with their ``side`` of so many ``blocks``."""
+    sizes = nodes.groupBy(cluster).agg(F.count("*").alias("docs"), F.sum(size).alias("bytes")).where("docs > 1")
+    sizes = sizes.select(F.col(cluster).alias("of"), F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    return nodes.join(sizes, nodes[cluster] == sizes["of"]).drop("of").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def block_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (``a``, ``b``) inside clusters: every pair of sides of a cluster is one group of bounded size."""
+    dealt = sets.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("cluster", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "shingles")
+    return dealt.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(partial(_links, percent), "a long, b long")
+
+
 def join_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id`` (smallest id reachable by links)."""
     spark = docs.sparkSession
@@ -244,19 +258,13 @@ def join_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
 
     # sets of one document of each clustered class
     classes = written(s.where("n > 0").groupBy("n", "sig_a", "sig_b").agg(F.min("doc_id").alias("rep")), "classes", parts)
-    wanted = written(classes.join(clusters, classes["sig_a"] == clusters["node"]).where("rep IS NOT NULL").select("rep", "node", F.col("label").alias("cluster")), "clustered", parts)
-    ids = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
-    texts = d.join(ids, F.col("doc_id") == F.col("rep")).select("node", "cluster", "text")
-    sets = written(texts.mapInArrow(partial(_sets, width), "node long, cluster long, shingles binary"), "sets")
-
-    # blocks of clusters: every pair of blocks of a cluster is one group of bounded size
-    sizes = sets.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum(F.octet_length("shingles")).alias("bytes")).where("docs > 1")
-    sizes = sizes.select("cluster", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = sets.join(sizes, "cluster").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("cluster", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "shingles")
-    blocks = dealt.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
-    links = blocks.mapInArrow(partial(_links, percent), "a long, b long")
+    wanted = classes.join(clusters, classes["sig_a"] == clusters["node"]).where("rep IS NOT NULL").select("rep", "node", "n", F.col("label").alias("cluster"))
+    wanted = written(wanted, "clustered", parts)
+    ids = block_plan(wanted, "cluster", F.col("n") * 8)
+    ids = F.broadcast(ids) if wanted.count() <= SMALL else ids
+    texts = d.join(ids, F.col("doc_id") == F.col("rep")).select("node", "cluster", "side", "blocks", "text")
+    sets = written(texts.mapInArrow(partial(_sets, width), "node long, cluster long, side int, blocks int, shingles binary"), "sets")
+    links = block_links(sets, percent)
     labels = components(written(links, "links", parts))
 
     linked = classes.join(labels, classes["sig_a"] == labels["node"]).select("node", "rep", "label")
