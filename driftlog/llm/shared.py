@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,12 +61,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
-    """Bound what a Python worker gets at once: texts are long, so fewer rows than Spark's default."""
+    """Prepare for Python workers: they get this package, and so much at once at most (texts are long)."""
+    ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's sources to the executors, once for an application."""
+    root, sc = Path(__file__).parents[2], spark.sparkContext
+    name = f"driftlog-{sc.applicationId}.zip"
+    if name not in sc._python_includes:
+        out = Path(tempfile.mkdtemp(prefix="driftlog-src-")) / name
+        with zipfile.ZipFile(out, "w") as z:
+            for f in sorted((root / "driftlog").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        sc.addPyFile(str(out))
+
+
 def one_per_task(df: DataFrame, n: int) -> DataFrame:
     """Few rows that each stand for much work (files), dealt out evenly."""
     return df.repartition(max(1, n))
