@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlog.llm import decontaminate, exact_dedup, jaccard_join, langid, mixing, pii, secrets, token_store, warc
+from driftlog.llm import decontaminate, exact_dedup, jaccard_join, langid, mixing, paragraph_dedup, pii, secrets, token_store, warc
 from driftlog.llm.shared import read
 
 
@@ -19,6 +19,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.find_secrets(read(spark, sf_dir, "documents")))
 
 
+def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_spans(read(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Place of a public tokenizer's file on every machine of the cluster."""
     import public_tokenizers
@@ -67,6 +71,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_secrets": op2_secrets,
+    "op3_paragraph_dedup": op3_paragraph_dedup,
     "op4_token_store": op4_token_store,
     "op5_decontaminate": op5_decontaminate,
     "op6_mixing": op6_mixing,
