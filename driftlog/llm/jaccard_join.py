@@ -7,7 +7,8 @@ and m shingles with a Jaccard similarity of at least p % differ in at most D = (
 shingles, so with k > D they agree in at least k - D cells. By the pigeonhole principle they then share
 one of the D + 1 cells that come first in any order that is the same for all. k is fixed for a size band
 (sizes from a power of two to the next); a document that can pair with the band below has that band's
-sketch too. Ordering cells by rarity keeps what many documents share out of the join.
+sketch too. Ordering cells by rarity, then by how many shingles they hold, keeps what many documents
+share, and what unlike documents share by one passage, out of the join.
 
 Cells are the join keys. Documents that share one form a chain of stars, first inside a task and then
 between tasks, so a key never brings more rows to a task than there are tasks. Connected stars are a
@@ -77,19 +78,21 @@ def _sketches(width: int, percent: int, batches: Iterator[pa.RecordBatch]) -> It
 
 
 def _cells(s: np.ndarray, k: int) -> np.ndarray:
-    """XOR of the hashes that fall into each of ``k`` cells."""
+    """XOR of the hashes that fall into each of ``k`` cells; the last four bits say how many fell there (15: or more)."""
     cell = ((s >> U(32)) % U(k)).astype(np.int64)
     order = np.argsort(cell, kind="stable")
     cell = cell[order]
     first = np.flatnonzero(np.diff(cell, prepend=-1))
     out = np.zeros(k, U)
-    out[cell[first]] = np.bitwise_xor.reduceat(s[order], first)
+    held = np.minimum(np.diff(first, append=len(s)), 15).astype(U)
+    out[cell[first]] = np.bitwise_xor.reduceat(s[order], first) & ~U(15) | held
     return out
 
 
-def _keys(b: pa.RecordBatch, percent: int, seen: set) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For the sketches of a batch (equal sets once a task): keys, their document's place, nodes and prefix lengths by place."""
-    keys, owner, nodes, lengths = [], [], [], []
+def _keys(b: pa.RecordBatch, percent: int, seen: set) -> Iterator[tuple[np.ndarray, ...]]:
+    """For the sketches of a batch (equal sets once a task): keys, how many elements each holds, their document's
+    place, and by place nodes and prefix lengths."""
+    keys, held, owner, nodes, lengths = [], [], [], [], []
     for n, a, s, own, low in zip(*(b.column(c).to_pylist() for c in ("n", "sig_a", "sig_b", "own", "low")), strict=True):
         if not n or (n, a, s) in seen:
             continue
@@ -99,11 +102,12 @@ def _keys(b: pa.RecordBatch, percent: int, seen: set) -> Iterator[tuple[np.ndarr
             if raw is not None:
                 cells = np.frombuffer(raw, U)
                 keys.append(mix(cells + U(0x9E3779B97F4A7C15) * np.arange(1, len(cells) + 1, dtype=U) + U((level + 1) * 0xD1B54A32D192ED03 % 2**64)))
+                held.append(cells & U(15))
                 owner.append(np.full(len(cells), len(nodes)))
                 nodes.append(a)
                 lengths.append(int(most_apart(n + partner, percent)) + 1)
     if keys:
-        yield np.concatenate(keys), np.concatenate(owner), np.array(nodes, np.int64), np.array(lengths)
+        yield np.concatenate(keys), np.concatenate(held).astype(np.int64), np.concatenate(owner), np.array(nodes, np.int64), np.array(lengths)
 
 
 def _counts(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,9 +136,10 @@ def _prefixes(percent: int, shared, batches: Iterator[pa.RecordBatch]) -> Iterat
     seen: set = set()
     kept_keys, kept_nodes, common = [], [], shared.value
     for b in batches:
-        for keys, owner, nodes, lengths in _keys(b, percent, seen):
+        for keys, held, owner, nodes, lengths in _keys(b, percent, seen):
             often = common[(keys % U(SLOTS)).astype(np.int64)]
-            order = np.lexsort((keys, often, owner))
+            # rare first, then those with more elements: one element can come from a passage that unlike texts share
+            order = np.lexsort((keys, -held, often, owner))
             first = np.searchsorted(owner, np.arange(len(nodes)))  # owners are ascending before and after
             keep = order[np.arange(len(keys)) - first[owner] < lengths[owner]]
             kept_keys.append(keys[keep])
