@@ -1,4 +1,10 @@
-"""Corpus pipeline over ``documents``: the stages run in order, each on what its predecessor kept."""
+"""Corpus pipeline over ``documents``: the stages run in order, each on all that its predecessor kept.
+
+Language ID drops texts without a language; the n-gram Jaccard join keeps one document of each group of
+near copies (five words, 0.8); decontamination drops texts that overlap with a test item; mixing drops
+documents as the rates decide that press toxic text to 0 and poor text to its share; the last stage writes
+the rest as token ids and reads them back. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +12,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from driftlog.llm import decontaminate, jaccard_join, langid, mixing, token_store
+from driftlog.llm.queries import TARGETS, tokenizer_path
+from driftlog.llm.shared import new_path, read
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.with_language(docs, langid.learn(docs))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.one_of_each(docs, jaccard_join.join_groups(docs, width=5, percent=80))
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.sampled(docs, mixing.mix(docs, read(spark, sf_dir, "labels"), TARGETS))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_store.read_tokens(token_store.write_tokens(docs, tokenizer_path(), end_id=0))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("near_copies", near_copies),
+    ("leaks", leaks),
+    ("mixture", mixture),
+    ("tokens", tokens),
+]
 
-#: SQL cannot express a trained classifier, so the pipeline is tested against a brute-force version
+#: SQL cannot express trained models and a tokenizer; the tests compare the pipeline with a brute-force version
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = new_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -107,40 +107,63 @@ def best_stretch(same: np.ndarray) -> tuple[int, int]:
     return int(np.flatnonzero(total[: end + 1] == low[end])[-1]), end
 
 
+def _overlaps(seeds: Seeds, texts: pa.Array) -> dict[tuple[int, int], tuple[int, int, int, int, int]]:
+    """For (row, item) pairs that overlap: length, minus first word, words that agree, first and last word."""
+    hashes, counts = plain_words(texts)
+    ends, best = np.cumsum(counts), {}
+    for item, diagonal, where in seeds.hits(hashes, counts):
+        row = int(np.searchsorted(ends, where, "right"))
+        begin, n = int(ends[row] - counts[row]), int(seeds.counts[item])
+        lo, hi = max(diagonal, begin), min(diagonal + n, int(ends[row]))
+        at = int(seeds.starts[item]) - diagonal
+        same = hashes[lo:hi] == seeds.hashes[lo + at : hi + at]
+        start, end = best_stretch(same)
+        if end - start >= min(LEAST_WORDS, n):
+            got = (end - start, -(lo + start - begin), int(same[start:end].sum()), lo + start - begin, lo + end - 1 - begin)
+            best[row, item] = max(best.get((row, item), got), got)
+    return best
+
+
 def _leaks(held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seeds: Seeds = held.value
     for b in batches:
-        hashes, counts = plain_words(b.column("text"))
-        ends = np.cumsum(counts)
-        ids, best = b.column("doc_id").to_pylist(), {}
-        for item, diagonal, where in seeds.hits(hashes, counts):
-            row = int(np.searchsorted(ends, where, "right"))
-            begin, n = int(ends[row] - counts[row]), int(seeds.counts[item])
-            lo, hi = max(diagonal, begin), min(diagonal + n, int(ends[row]))
-            at = int(seeds.starts[item]) - diagonal
-            same = hashes[lo:hi] == seeds.hashes[lo + at : hi + at]
-            start, end = best_stretch(same)
-            if end - start >= min(LEAST_WORDS, n):
-                got = (end - start, -(lo + start - begin), int(same[start:end].sum()), lo + start - begin, lo + end - 1 - begin)
-                best[row, item] = max(best.get((row, item), got), got)
+        ids, best = b.column("doc_id").to_pylist(), _overlaps(seeds, b.column("text"))
         rows = [(ids[r], seeds.ids[i], m, size, int(seeds.counts[i]), first, last) for (r, i), (size, _, m, first, last) in sorted(best.items())]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         names = ["doc_id", "item_id", "matched", "overlap", "item_words", "first_word", "last_word"]
         yield pa.record_batch([pa.array([x[c] for x in rows], t) for c, t in enumerate(kinds)], names)
 
 
+def _clean(held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        clean = np.ones(b.num_rows, bool)
+        clean[[row for row, _ in _overlaps(held.value, pc.fill_null(b.column("text"), ""))]] = False
+        yield b.filter(pa.array(clean))
+
+
+def _blocks(benchmark: DataFrame) -> Iterator:
+    """The test items' seeds, in blocks of bounded size, as broadcasts."""
+    spark = benchmark.sparkSession
+    items = benchmark.select("item_id", "text").where("text IS NOT NULL")
+    n = (items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS + 1
+    for block in range(n):
+        if got := items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).orderBy("item_id", "text").collect():
+            yield spark.sparkContext.broadcast(Seeds([r["item_id"] for r in got], [r["text"] for r in got]))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each text and test item that overlap: how many words agree, and where in the text."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    items = benchmark.select("item_id", "text").where("text IS NOT NULL")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = chars // BLOCK_CHARS + 1
-    d, out = id_and_text(docs), spark.createDataFrame([], SCHEMA)
-    for block in range(blocks):
-        got = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        if got:
-            held = spark.sparkContext.broadcast(Seeds([r["item_id"] for r in got], [r["text"] for r in got]))
-            found = d.mapInArrow(partial(_leaks, held), SCHEMA)
-            out = found if block == 0 else out.unionAll(found)
-    return out
+    arrow_batches(docs.sparkSession)
+    d, out = id_and_text(docs), None
+    for held in _blocks(benchmark):
+        found = d.mapInArrow(partial(_leaks, held), SCHEMA)
+        out = found if out is None else out.unionAll(found)
+    return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs``, all columns, without the texts that overlap with a test item. Rows are judged one by one."""
+    arrow_batches(docs.sparkSession)
+    for held in _blocks(benchmark):
+        docs = docs.mapInArrow(partial(_clean, held), docs.schema)
+    return docs

@@ -277,3 +277,19 @@ def join_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
     to = written(linked.select("node", "label").distinct().join(smallest, "label").select("node", "smallest"), "link-components", parts)
     out = s.select("doc_id", "n", "sig_a", "sig_b").join(classes, ["n", "sig_a", "sig_b"], "left").join(to, F.col("sig_a") == to["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("smallest", "rep")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs``, all columns, with one document of each group of ``join_groups``: that with the smallest id.
+
+    Rows that share an id and are linked are one document; rows with a null id all stay.
+    """
+    groups = groups.where("doc_id IS NOT NULL AND n_shingles > 0")
+    gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
+    again = written(groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")), "repeated-ids")
+    small = lambda t: F.broadcast(t) if t.count() <= SMALL else t
+    left = docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    if again.isEmpty():
+        return left
+    once = left.join(small(again), F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
+    return left.join(small(again), F.col("doc_id") == F.col("_again"), "left_anti").unionByName(once)

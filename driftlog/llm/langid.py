@@ -178,28 +178,33 @@ def learn(labelled: DataFrame, per_language: int = 3000, tasks: int = 16, smooth
 # ---------------------------------------------------------------- labelling
 
 
-def _label(held, penalty: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    model: Model = held.value
+def predict(model: Model, penalty: float, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[dict]]]:
+    """(language, score, spans) of each text."""
     names = np.array([*model.languages, "und"], dtype=object)
+    w = read_words(texts)
+    n = len(w.counts)
+    pred, score, spans = np.full(n, len(model.languages)), np.zeros(n), [[] for _ in range(n)]
+    if model.languages and len(w.place):
+        labels = viterbi(model.scores(w)[w.place], w.counts, penalty)
+        text = np.repeat(np.arange(n), w.counts)
+        share = np.zeros((n, len(model.languages)))
+        np.add.at(share, (text, labels), w.letters[w.place])
+        some = w.counts > 0
+        pred[some] = share[some].argmax(1)
+        score[some] = share[some].max(1) / share[some].sum(1)
+        start = np.flatnonzero(np.r_[True, (labels[1:] != labels[:-1]) | (text[1:] != text[:-1])])
+        begin = np.cumsum(w.counts) - w.counts
+        for i, e in zip(start.tolist(), np.r_[start[1:], len(labels)].tolist(), strict=True):
+            t = int(text[i])
+            spans[t].append({"lang": names[labels[i]], "first": i - int(begin[t]), "last": e - 1 - int(begin[t])})
+    return names[pred], np.clip(score, 0, 1), spans
+
+
+def _label(held, penalty: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))
     for b in batches:
-        w = read_words(b.column("text"))
-        n = len(w.counts)
-        pred, score, spans = np.full(n, len(model.languages)), np.zeros(n), [[] for _ in range(n)]
-        if model.languages and len(w.place):
-            labels = viterbi(model.scores(w)[w.place], w.counts, penalty)
-            text = np.repeat(np.arange(n), w.counts)
-            share = np.zeros((n, len(model.languages)))
-            np.add.at(share, (text, labels), w.letters[w.place])
-            some = w.counts > 0
-            pred[some] = share[some].argmax(1)
-            score[some] = share[some].max(1) / share[some].sum(1)
-            start = np.flatnonzero(np.r_[True, (labels[1:] != labels[:-1]) | (text[1:] != text[:-1])])
-            begin = np.cumsum(w.counts) - w.counts
-            for i, e in zip(start.tolist(), np.r_[start[1:], len(labels)].tolist(), strict=True):
-                t = int(text[i])
-                spans[t].append({"lang": names[labels[i]], "first": i - int(begin[t]), "last": e - 1 - int(begin[t])})
-        kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))
-        yield pa.record_batch([b.column("doc_id"), pa.array(names[pred], pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(spans, kind)], ["doc_id", "lang_pred", "score", "spans"])
+        pred, score, spans = predict(held.value, penalty, b.column("text"))
+        yield pa.record_batch([b.column("doc_id"), pa.array(pred, pa.string()), pa.array(score), pa.array(spans, kind)], ["doc_id", "lang_pred", "score", "spans"])
 
 
 def label(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
@@ -210,6 +215,18 @@ def label(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
     return id_and_text(docs).mapInArrow(partial(_label, held, penalty), "doc_id long, lang_pred string, score double, spans array<struct<lang:string, first:long, last:long>>")
 
 
+def _known(held, penalty: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        pred, _, _ = predict(held.value, penalty, b.column("text").fill_null(""))
+        yield b.filter(pa.array(pred != "und", pa.bool_()))
+
+
+def with_language(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
+    """``docs``, all columns, without the rows whose ``lang_pred`` is ``und``. Rows are judged one by one, ids play no part."""
+    arrow_batches(docs.sparkSession)
+    return docs.mapInArrow(partial(_known, docs.sparkSession.sparkContext.broadcast(model), penalty), docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that learning never sees: one in four, by a checksum of the id (a null id is never held out)."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

@@ -77,14 +77,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def posteriors(docs: DataFrame, weights: DataFrame) -> DataFrame:
-    """``doc_id, tokens, p_good, p_poor, p_toxic`` of every row."""
+    """``doc_id, h, tokens, p_good, p_poor, p_toxic`` of every row (``h``: hash of the text)."""
     w = F.broadcast(weights)  # at most MOST_FEATURES + 1 rows
     hits = features(docs).select("doc_id", "h", "tokens", F.explode("f").alias("f")).join(w, "f")
     sums = hits.groupBy("doc_id", "h").agg(F.max("tokens").alias("tokens"), F.sum("t").alias("t"), F.sum("q").alias("q"), F.count_if(F.col("f") == _MARK).cast("int").alias("rows"))
     toxic, poor = 1 / (1 + F.exp(-F.col("t") / F.col("rows"))), 1 / (1 + F.exp(-F.col("q") / F.col("rows")))
-    out = sums.select("doc_id", "tokens", "rows", F.round(toxic, 9).alias("p_toxic"), F.round(poor, 9).alias("poor"))
-    out = out.select("doc_id", "tokens", F.round((1 - F.col("p_toxic")) * (1 - F.col("poor")), 9).alias("p_good"), F.round((1 - F.col("p_toxic")) * F.col("poor"), 9).alias("p_poor"), "p_toxic", "rows")
-    return out.select("doc_id", "tokens", "p_good", "p_poor", "p_toxic", F.explode(F.expr("sequence(1, rows)")).alias("copy")).drop("copy")
+    out = sums.select("doc_id", "h", "tokens", "rows", F.round(toxic, 9).alias("p_toxic"), F.round(poor, 9).alias("poor"))
+    out = out.select("doc_id", "h", "tokens", F.round((1 - F.col("p_toxic")) * (1 - F.col("poor")), 9).alias("p_good"), F.round((1 - F.col("p_toxic")) * F.col("poor"), 9).alias("p_poor"), "p_toxic", "rows")
+    return out.select("doc_id", "h", "tokens", "p_good", "p_poor", "p_toxic", F.explode(F.expr("sequence(1, rows)")).alias("copy")).drop("copy")
 
 
 def fit_rates(soft: DataFrame, targets: dict[str, float], anchor: str | None = None, most: float = 1.0, steps: int = 40, tolerance: float = 1e-3) -> DataFrame:
@@ -126,5 +126,16 @@ def fit_rates(soft: DataFrame, targets: dict[str, float], anchor: str | None = N
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], **options) -> DataFrame:
-    """``doc_id, tokens, p_good, p_poor, p_toxic, rate`` of every row."""
+    """``doc_id, h, tokens, p_good, p_poor, p_toxic, rate`` of every row."""
     return fit_rates(posteriors(docs, learn(docs, labels)), targets, **options).withColumn("rate", F.round("rate", 6))
+
+
+def sampled(docs: DataFrame, mixed: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
+    """``docs``, all columns, as the rates of ``mixed`` decide: a rate of one half and more keeps a document,
+    below that a hash of the document decides, with the rate as its chance to stay."""
+    chance = F.pmod(F.xxhash64("doc_id", "h", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
+    gone = mixed.where((F.col("rate") < 0.5) & (chance >= F.col("rate"))).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    gone = written(gone, "mix-gone")
+    gone = F.broadcast(gone) if gone.count() <= most_broadcast else gone
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (text == F.col("_h")), "left_anti")

@@ -44,7 +44,7 @@ TARGETS = {"good": 0.9, "poor": 0.1, "toxic": 0.0}
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), TARGETS)
+    return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), TARGETS).drop("h")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
