@@ -25,8 +25,8 @@ BASE = (
 )
 #: further kinds; these need the threshold besides their check
 MORE = (
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", f"length(replace(x.v, ' ', '')) BETWEEN 15 AND 34 AND {S.mod97('x.v')}", "true"),
-    ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "left(x.v, 3) NOT IN ('000', '666') AND left(x.v, 1) <> '9' AND substring(x.v, 5, 2) <> '00' AND right(x.v, 4) <> '0000'", "contains({t}, '-')"),
+    ("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+", f"length(replace(x.v, ' ', '')) BETWEEN 15 AND 34 AND {S.alone('text', '[A-Za-z0-9]')} AND {S.mod97('x.v')}", "true"),
+    ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", f"left(x.v, 3) NOT IN ('000', '666') AND left(x.v, 1) <> '9' AND substring(x.v, 5, 2) <> '00' AND right(x.v, 4) <> '0000' AND {S.alone('text', '[0-9-]')}", "contains({t}, '-')"),
 )
 #: score of a confirmed match without context; checksums weigh more than a bare form
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}

@@ -42,6 +42,11 @@ def located(text: str, found: str, pattern: str, kind: str, rank: int, where: st
     return F.expr(f"CASE WHEN size({found}) = 0 THEN CAST(array() AS array<{SPAN}>) ELSE {walk} END")
 
 
+def alone(text: str, kind: str) -> str:
+    """True if no character of the class ``kind`` stands directly before or after the match."""
+    return f"(x.s = 0 OR NOT regexp_like(substring({text}, x.s, 1), '{kind}')) AND NOT regexp_like(substring({text}, x.e + 1, 1), '{kind}')"
+
+
 def in_order(spans: str) -> str:
     """Sorted by start, then by the rank of the kind."""
     return f"array_sort({spans}, (l, r) -> CASE WHEN l.s < r.s THEN -1 WHEN l.s > r.s THEN 1 WHEN l.rank < r.rank THEN -1 WHEN l.rank > r.rank THEN 1 ELSE 0 END)"
