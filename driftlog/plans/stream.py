@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,25 +24,20 @@ def current_state(ops: DataFrame) -> DataFrame:
     return ops.where("op <> 'get'").groupBy("key").agg(F.max_by(F.struct("seq", "op", "value"), "seq").alias("w")).select("key", "w.*")
 
 
-def stream_lww(ops: DataFrame, path: str) -> DataFrame:
-    """The visible state after a stream over the files at ``path`` has read all there is.
+def stream_state(spark: SparkSession, path: str, to_ops: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The visible state after a stream over the Parquet files at ``path`` has read all there is.
 
-    ``ops`` gives the projection; every batch upserts its changed keys as one set of files, and the state
-    is the last write of each key over them.
+    Each batch writes the keys it changed; the state is the last write of each key over all batches. A
+    batch that is delivered again overwrites its own files.
     """
-    spark = ops.sparkSession
     out, checkpoint = scratch(spark, "stream-state"), scratch(spark, "stream-checkpoint")
-    source = path.rstrip("/")
-    schema = spark.read.parquet(source).schema
-    folder, _, name = source.rpartition("/")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
-    events = stream.parquet(f"{folder}/{name[:-1]}[{name[-1]}]")  # a pattern, so that one file and a folder of files both serve
+    folder, _, name = path.rstrip("/").rpartition("/")
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 64)
+    events = source.parquet(f"{folder}/{name[:-1]}[{name[-1]}]")  # a pattern: one file and a folder of files both match
 
     def upsert(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")  # the same epoch again writes the same
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    op = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "view", "get").when(F.col("event_type") == "click", "update").otherwise("put")
-    rows = events.select(F.col("event_id").alias("seq"), F.concat(F.lit("user:"), "user_id", F.lit(":"), F.get_json_object("props", "$.k")).alias("key"), op.alias("op"), F.col("props").alias("value"))
-    query = current_state(rows).writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = current_state(to_ops(events)).writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return current_state(spark.read.schema("key string, seq bigint, op string, value string").parquet(f"{out}/epoch=*"))

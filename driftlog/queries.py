@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftlog.functions import binary, formats
 from driftlog.operators import lww, metrics, runs
-from driftlog.plans.stream import stream_lww
+from driftlog.plans.stream import stream_state
 from driftlog.schemas import Limits
 from driftlog.sources import oplog
 
@@ -105,7 +105,7 @@ def conversations_latest_turn(spark, sf_dir):
 
 @query
 def stream_lww_current(spark, sf_dir):
-    return stream_lww(_ops(spark, sf_dir), f"{sf_dir}/events.parquet")
+    return stream_state(spark, f"{sf_dir}/events.parquet", oplog.to_ops)
 
 
 # ---------------------------------------------------------------- counts

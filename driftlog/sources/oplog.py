@@ -9,12 +9,16 @@ from driftlog.functions.binary import record_crc
 from driftlog.schemas import MAX_FIELD_BYTES, WRITES
 
 
+def to_ops(events: DataFrame) -> DataFrame:
+    """Rows of the ``events`` table, batch or stream, as operations."""
+    op = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "view", "get").when(F.col("event_type") == "click", "update").otherwise("put")
+    key = F.concat(F.lit("user:"), "user_id", F.lit(":"), F.get_json_object("props", "$.k"))
+    return events.select(F.col("event_id").alias("seq"), "ts", key.alias("key"), op.alias("op"), F.col("props").alias("value"))
+
+
 def events_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``events`` table as an operation log."""
-    op = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "view", "get").when(F.col("event_type") == "click", "update").otherwise("put")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        F.col("event_id").alias("seq"), "ts", F.concat(F.lit("user:"), "user_id", F.lit(":"), F.get_json_object("props", "$.k")).alias("key"), op.alias("op"), F.col("props").alias("value")
-    )
+    return to_ops(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def writes(ops: DataFrame) -> DataFrame:

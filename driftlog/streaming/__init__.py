@@ -1,0 +1 @@
+"""Streaming ingestion into a store."""
