@@ -6,7 +6,8 @@ stretch of 13 words in which any two were substituted. Hashes of the test items
 each worker; every window of every training text is looked up, and around each hit the two texts are
 compared along the hit's diagonal. An overlap counts if its best-scoring stretch (a match gives 1, a
 substitution takes 4, so at least four words in five agree) has at least 13 words, or the whole item if
-that is shorter.
+that is shorter. Items of 8 to 12 words are found wherever a mask falls between their substitutions; an
+item with fewer words than a mask spans (8) says too little about its origin and is not searched.
 
 Test items go to the workers in blocks of bounded size, each block against all texts; training texts are
 never shuffled. Words are lower-cased and stripped of all but letters and digits.

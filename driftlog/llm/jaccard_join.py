@@ -7,8 +7,9 @@ and m shingles with a Jaccard similarity of at least p % differ in at most D = (
 shingles, so with k > D they agree in at least k - D cells. By the pigeonhole principle they then share
 one of the D + 1 cells that come first in any order that is the same for all. k is fixed for a size band
 (sizes from a power of two to the next); a document that can pair with the band below has that band's
-sketch too. Ordering cells by rarity, then by how many shingles they hold, keeps what many documents
-share, and what unlike documents share by one passage, out of the join.
+sketch too. The order is by how often a cell occurs in the corpus, then by how many shingles it holds: all
+cells are counted, by ranges of keys, so cells that nobody shares fill the prefix first and are not sent at
+all, and unlike documents that share a passage do not meet.
 
 Cells are the join keys. Documents that share one form a chain of stars, first inside a task and then
 between tasks, so a key never brings more rows to a task than there are tasks. Connected stars are a
@@ -32,21 +33,23 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlog.llm.components import components
-from driftlog.llm.shared import arrow_batches, id_and_text, written
+from driftlog.llm.files import opened, whole_file
+from driftlog.llm.shared import arrow_batches, id_and_text, new_path, written
 from driftlog.llm.words import U, mix, shingle_sets
 
-#: places of the table of cell counts: its size is the same for any input
-SLOTS = 1 << 18
 #: documents, and bytes of their sets, in a block of a cluster
-BLOCK_DOCS, BLOCK_BYTES = 2048, 16 << 20
-#: rows of a partition of cells
+BLOCK_DOCS, BLOCK_BYTES = 512, 16 << 20
+#: cells of a partition, and of a range of keys that are counted together
 CELLS = 2_000_000
+#: times that a task announces a key which several of its documents have
+MOST_TOLD = 8
 #: ids that may be broadcast
-SMALL = 1_000_000
+SMALL = 400_000
 
 
 def most_apart(n: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -59,7 +62,8 @@ def n_cells(band: int, percent: int) -> int:
 
 
 def _sketches(width: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, two hashes of the set, and the cells of the own band and of the one below (or null)."""
+    """doc_id, n, two hashes of the set, the cells of the own band and of the one below (or null), and the task's number."""
+    part = TaskContext.get().partitionId()
     for b in batches:
         sets, counts = shingle_sets(b.column("text"), width)
         ends = np.cumsum(counts)
@@ -72,8 +76,8 @@ def _sketches(width: int, percent: int, batches: Iterator[pa.RecordBatch]) -> It
             own.append(_cells(s, n_cells(band, percent)).tobytes() if n else None)
             low.append(_cells(s, n_cells(band - 1, percent)).tobytes() if band > 0 and percent * n <= 100 * (2**band - 1) else None)
         yield pa.record_batch(
-            [b.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(np.array(sig_a, U).view(np.int64)), pa.array(np.array(sig_b, U).view(np.int64)), pa.array(own, pa.binary()), pa.array(low, pa.binary())],
-            ["doc_id", "n", "sig_a", "sig_b", "own", "low"],
+            [b.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(np.array(sig_a, U).view(np.int64)), pa.array(np.array(sig_b, U).view(np.int64)), pa.array(own, pa.binary()), pa.array(low, pa.binary()), pa.array(np.full(len(counts), part, np.int32))],
+            ["doc_id", "n", "sig_a", "sig_b", "own", "low", "part"],
         )
 
 
@@ -110,15 +114,86 @@ def _keys(b: pa.RecordBatch, percent: int, seen: set) -> Iterator[tuple[np.ndarr
         yield np.concatenate(keys), np.concatenate(held).astype(np.int64), np.concatenate(owner), np.array(nodes, np.int64), np.array(lengths)
 
 
-def _counts(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slots of keys that more than one document of the task has, with how many have them."""
-    seen: set = set()
-    keys = [k for b in batches for k, *_ in _keys(b, percent, seen)]
-    if keys:
-        keys, n = np.unique(np.concatenate(keys), return_counts=True)
-        slots = np.bincount((keys[n > 1] % U(SLOTS)).astype(np.int64), weights=n[n > 1], minlength=SLOTS)
-        used = np.flatnonzero(slots)
-        yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(slots[used].astype(np.int64))], ["slot", "n"])
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    for b in batches:
+        parts = b.column("part").to_numpy()
+        first = np.flatnonzero(np.diff(parts, prepend=-1)).tolist()
+        for lo, hi in zip(first, [*first[1:], len(parts)], strict=True):
+            yield int(parts[lo]), b.slice(lo, hi - lo)
+
+
+def _announce(percent: int, ranges: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All keys of each part, cut by ranges of keys: one row for a range and part, not for a key."""
+    held: dict[int, tuple[set, list]] = {}
+    for part, b in _by_part(batches):
+        seen, got = held.setdefault(part, (set(), []))
+        got += [k for k, *_ in _keys(b, percent, seen)]
+    for part, (_, got) in held.items():
+        if got:
+            keys, n = np.unique(np.concatenate(got), return_counts=True)
+            keys = np.repeat(keys, np.minimum(n, MOST_TOLD))
+            cut = np.searchsorted((keys >> U(32)) * U(ranges) >> U(32), np.arange(ranges + 1, dtype=U)).tolist()
+            rows = [(r, keys[cut[r] : cut[r + 1]].tobytes()) for r in range(ranges) if cut[r] < cut[r + 1]]
+            for at in range(0, len(rows), 200):
+                some = rows[at : at + 200]
+                yield pa.record_batch([pa.array([r for r, _ in some], pa.int32()), pa.array([part] * len(some), pa.int32()), pa.array([k for _, k in some], pa.binary())], ["range", "part", "keys"])
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """To each part, those of its keys in a range that occur more than once in the corpus, and how often."""
+
+    def answers(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate([k for _, k in rows]), return_counts=True)
+        keys, n = keys[n > 1], np.minimum(n[n > 1], 65_535).astype(np.uint16)
+        out = []
+        for part, told in rows:
+            at = np.flatnonzero(np.isin(keys, told, assume_unique=False, kind="sort"))
+            if len(at):
+                out.append((part, keys[at].tobytes(), n[at].tobytes()))
+        return pa.record_batch([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "keys", "often"])
+
+    at, rows = -1, []
+    for b in batches:
+        for r, part, raw in zip(b.column("range").to_pylist(), b.column("part").to_pylist(), b.column("keys").to_pylist(), strict=True):
+            if r != at and rows:
+                yield answers(rows)
+                rows = []
+            at = r
+            rows.append((part, np.frombuffer(raw, U)))
+    if rows:
+        yield answers(rows)
+
+
+def _file_answers(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The answers to a part as one file of sorted keys, then how often; rows come sorted by part."""
+
+    def write(part: int, rows: list[tuple[bytes, bytes]]) -> None:
+        keys, often = np.frombuffer(b"".join(k for k, _ in rows), U), np.frombuffer(b"".join(n for _, n in rows), np.uint16)
+        order = np.argsort(keys, kind="stable")
+        with whole_file(f"{folder}/part-{part}") as out:
+            out.write(keys[order].tobytes() + often[order].tobytes())
+
+    at, rows = -1, []
+    for b in batches:
+        for part, keys, often in zip(*(b.column(c).to_pylist() for c in ("part", "keys", "often")), strict=True):
+            if part != at and rows:
+                write(at, rows)
+                rows = []
+            at = part
+            rows.append((keys, often))
+        yield pa.record_batch([pa.array(sorted(set(b.column("part").to_pylist())), pa.int32())], ["part"])
+    if rows:
+        write(at, rows)
+
+
+def _shared_keys(folder: str, part: int) -> tuple[np.ndarray, np.ndarray]:
+    try:
+        with opened(f"{folder}/part-{part}") as f:
+            raw = f.read()
+    except FileNotFoundError:  # none of its keys occurs elsewhere
+        return np.zeros(1, U), np.ones(1, np.uint16)
+    n = len(raw) // 10
+    return np.frombuffer(raw[: 8 * n], U), np.frombuffer(raw[8 * n :], np.uint16)
 
 
 def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,17 +206,22 @@ def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[first], nodes[first], edges[:, 0], edges[:, 1]
 
 
-def _prefixes(percent: int, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node) of the rarest cells; nodes of the task that share a key are joined here, by a key of their own."""
-    seen: set = set()
-    kept_keys, kept_nodes, common = [], [], shared.value
-    for b in batches:
+def _prefixes(percent: int, folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node) of cells in the prefixes that some other document has; nodes of the task that share a key
+    are joined here, by a key of their own."""
+    kept_keys, kept_nodes, at, seen = [], [], -1, set()
+    for part, b in _by_part(batches):
+        if part != at:
+            at, seen = part, set()
+            shared, times = _shared_keys(folder, part)
         for keys, held, owner, nodes, lengths in _keys(b, percent, seen):
-            often = common[(keys % U(SLOTS)).astype(np.int64)]
+            place = np.minimum(np.searchsorted(shared, keys), len(shared) - 1)
+            often = np.where(shared[place] == keys, times[place], 1)
             # rare first, then those with more elements: one element can come from a passage that unlike texts share
             order = np.lexsort((keys, -held, often, owner))
             first = np.searchsorted(owner, np.arange(len(nodes)))  # owners are ascending before and after
             keep = order[np.arange(len(keys)) - first[owner] < lengths[owner]]
+            keep = keep[often[keep] > 1]
             kept_keys.append(keys[keep])
             kept_nodes.append(nodes[owner[keep]])
     if not kept_keys:
@@ -245,19 +325,19 @@ def join_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
     spark = docs.sparkSession
     arrow_batches(spark)
     d = id_and_text(docs)
-    s = written(d.mapInArrow(partial(_sketches, width, percent), "doc_id long, n long, sig_a long, sig_b long, own binary, low binary"), "sketches")
-    sketches = s.select("n", "sig_a", "sig_b", "own", "low")
+    s = written(d.mapInArrow(partial(_sketches, width, percent), "doc_id long, n long, sig_a long, sig_b long, own binary, low binary, part int"), "sketches")
+    sketches = s.select("n", "sig_a", "sig_b", "own", "low", "part")
 
-    # rarity: a table of fixed size
-    often = np.zeros(SLOTS, np.int64)
-    counted = sketches.mapInArrow(partial(_counts, percent), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    often[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
-    shared = spark.sparkContext.broadcast(often)
+    # rarity: keys are counted by ranges, and each part of the table is told which of its keys others have
+    cells = int(s.agg(F.sum(F.expr(f"n * {100 - percent} * 3 div {100 + percent} + 2"))).first()[0] or 0)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cells // CELLS + 1)
+    folder = new_path(spark, "shared-keys")
+    told = sketches.mapInArrow(partial(_announce, percent, parts), "range int, part int, keys binary").repartition(parts, "range").sortWithinPartitions("range")
+    answers = told.mapInArrow(_answer, "part int, keys binary, often binary").repartition("part").sortWithinPartitions("part")
+    answers.mapInArrow(partial(_file_answers, folder), "part int").count()
 
     # candidates: stars of documents that share a rare cell
-    rows = s.agg(F.sum(F.expr(f"n * {100 - percent} div {percent} + 1"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(rows) * 5 // 4 // CELLS + 1)
-    keyed = sketches.mapInArrow(partial(_prefixes, percent, shared), "key long, node long").repartition(parts, "key")
+    keyed = sketches.mapInArrow(partial(_prefixes, percent, folder), "key long, node long").repartition(parts, "key")
     stars = written(keyed.mapInArrow(_edges, "a long, b long").distinct(), "star-edges", parts)
     clusters = components(stars)
 
