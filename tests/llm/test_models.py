@@ -59,7 +59,7 @@ def test_leaks_match_brute_force(spark):
     frame = spark.createDataFrame(docs, DOCS).selectExpr("*", "5 AS item_id")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.find_leaks(frame, bench).collect()
-    want = brute_leaks(docs, [i for i in items if i[1]])
+    want = brute_leaks(docs, [i for i in items if i[1] and len(i[1].split()) >= 8])
     found = {(r["doc_id"], r["item_id"], r["matched"], r["overlap"]) for r in got}
     certain = {x for x in want if x[2] >= x[3] - 2}
     assert certain <= found <= want and len(certain) > 10
@@ -182,9 +182,10 @@ def test_rates_match_an_array_version(soft):
     fitted = mixing.fit_rates(soft, TARGETS).collect()
     want = plain_rates(fitted, TARGETS)
     assert np.abs(np.array([r["rate"] for r in fitted]) - want).max() < 1e-6
+    mass = {k: sum(r["tokens"] * r[f"p_{k}"] for r in fitted) for k in TARGETS}
     tokens = {k: sum(r["rate"] * r["tokens"] * r[f"p_{k}"] for r in fitted) for k in TARGETS}
-    share = {k: v / sum(tokens.values()) for k, v in tokens.items()}
-    assert all(abs(share[k] - TARGETS[k]) < 0.02 for k in TARGETS)
+    reachable = {k: min(mass[k], mass["good"] / TARGETS["good"] * TARGETS[k]) for k in TARGETS}  # rates stop at 1
+    assert all(abs(tokens[k] - reachable[k]) < 0.03 * sum(reachable.values()) for k in TARGETS)
 
 
 def test_other_targets(soft):
