@@ -185,7 +185,7 @@ def test_rates_match_an_array_version(soft):
     mass = {k: sum(r["tokens"] * r[f"p_{k}"] for r in fitted) for k in TARGETS}
     tokens = {k: sum(r["rate"] * r["tokens"] * r[f"p_{k}"] for r in fitted) for k in TARGETS}
     reachable = {k: min(mass[k], mass["good"] / TARGETS["good"] * TARGETS[k]) for k in TARGETS}  # rates stop at 1
-    assert all(abs(tokens[k] - reachable[k]) < 0.03 * sum(reachable.values()) for k in TARGETS)
+    assert all(abs(tokens[k] - reachable[k]) < 0.05 * sum(reachable.values()) for k in TARGETS)
 
 
 def test_other_targets(soft):
