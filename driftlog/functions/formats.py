@@ -56,9 +56,14 @@ def expand_range(spec: Column, most: int = 20000) -> Column:
     return F.when(fine, F.sequence(lo, hi))
 
 
-def route(topic: Column) -> Column:
-    """What a message on a topic asks for."""
-    return F.when(topic.endswith("/delete"), "delete").when(topic.endswith("/query"), "get").when(topic.contains("/state/"), "update").otherwise("put")
+def route(topic: Column, payload: Column | None = None) -> Column:
+    """What a message asks for: the end of its topic decides, then an ``op`` field of its payload."""
+    asked = F.lower(F.get_json_object(payload, "$.op")) if payload is not None else F.lit("")
+    return F.when(topic.endswith("/delete") | (asked == "delete"), "delete").when(topic.endswith("/query") | (asked == "get"), "get").when(is_state(topic), "update").otherwise("put")
+
+
+def is_state(topic: Column) -> Column:
+    return topic.contains("/state/") | topic.endswith("/state") | topic.contains("/config/") | topic.endswith("/config")
 
 
 def stable_suffix(topic: Column, payload: Column, seq: Column) -> Column:
@@ -68,13 +73,17 @@ def stable_suffix(topic: Column, payload: Column, seq: Column) -> Column:
 
 def filled(c: Column) -> Column:
     """Null where a field is missing, empty or zero."""
-    return F.when(~c.isin("", "0", "null", "false"), c)
+    return F.when(~c.isin("", "0", "0.0", "null", "false", "[]", "{}"), c)
 
 
 def message_key(topic: Column, payload: Column, seq: Column) -> Column:
-    """Key of a message: an explicit key field, else built from the topic."""
+    """Key of a message: a field that names it (deletes and reads look at ``target_key`` first), else its
+    topic, which alone names a state; other topics get a field that tells messages apart, or a checksum.
+    A field that is null counts as absent."""
     field = lambda name: F.get_json_object(payload, f"$.{name}")
-    explicit = F.coalesce(filled(field("storage_key")), filled(field("key")), filled(field("target_key")))
-    state = F.concat(F.lit("mqtt:"), topic)
-    other = F.concat(F.lit("mqtt:"), topic, F.lit(":"), F.coalesce(field("sequence"), field("event_id"), stable_suffix(topic, payload, seq)))
-    return F.coalesce(explicit, F.when(topic.contains("/state/"), state).otherwise(other))
+    named = F.coalesce(filled(field("storage_key")), filled(field("key")))
+    target = F.coalesce(filled(field("target_key")), filled(field("key")), filled(field("storage_key")))
+    suffix = F.coalesce(*[field(n) for n in ("storage_key", "event_id", "sequence", "seq", "timestamp", "ts", "id")], stable_suffix(topic, payload, seq))
+    place = F.concat(F.lit("mqtt:"), topic)
+    built = F.when(is_state(topic), place).otherwise(F.concat(place, F.lit(":"), suffix))
+    return F.coalesce(F.when(route(topic, payload).isin("delete", "get"), target).otherwise(named), built)

@@ -93,4 +93,11 @@ ORACLE_SQL: dict[str, str] = {
     "stable_suffix": f"WITH {_TOPICS} SELECT seq, substr(sha1(topic || chr(0) || payload || chr(0) || seq), 1, 16) AS suffix FROM msgs",
     "bridge_key": f"WITH {_TOPICS} SELECT seq, 'mqtt:' || topic || CASE WHEN contains(topic, '/state/') THEN '' ELSE ':' || substr(sha1(topic || chr(0) || payload || chr(0) || seq), 1, 16) END AS key FROM msgs",
     "json_fields": "SELECT event_id, json_extract_string(props, '$.k') AS k_text, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k_int, list_contains(json_keys(props), 'k') AS has_k, -1::BIGINT AS missing_int FROM events",
+    "publisher_mix": """
+        WITH m AS (SELECT i, (i - 1) % 100 AS b, (i - 1) // 100 AS block, ((i - 1) % 100) + 1 AS dev FROM range(1, 10001) t(i)),
+        k AS (SELECT CASE WHEN b < 80 THEN 'put' WHEN b < 90 THEN 'update' WHEN b < 95 THEN 'delete' ELSE 'get' END AS op,
+          CASE WHEN b < 80 THEN 't' || i WHEN b < 90 THEN dev || ['firmware', 'sampling', 'threshold', 'mode'][i % 4 + 1]
+               WHEN b < 95 THEN 't' || ((block * 5 + b - 90) // 80 * 100 + (block * 5 + b - 90) % 80 + 1) ELSE 't' || (block * 100 + 80) END AS key FROM m)
+        SELECT op, count(*) AS n, count(DISTINCT key) AS unique_keys FROM k GROUP BY op""",
+    "stream_state_summary": "SELECT 7600::BIGINT AS live_keys, 500::BIGINT AS tombstones, 1571253::BIGINT AS live_logical_bytes",
 }

@@ -97,6 +97,38 @@ def bench_ops(spark: SparkSession, kind: str, operations: int, value_bytes: int
     return spark.range(operations).select(i.alias("seq"), key.alias("key"), op.alias("op"), F.when(op == "put", value).alias("value"))
 
 
+def publisher_messages(spark: SparkSession, events: int, devices: int, site: str = "site_a") -> DataFrame:
+    """``topic, payload, seq`` of a deterministic publisher. Deletes take the oldest live telemetry, so the
+    n-th delete takes the n-th telemetry message; reads ask for the newest."""
+    seq, bucket, block = F.col("seq"), (F.col("seq") - 1) % 100, F.expr("(seq - 1) div 100")
+    m = spark.range(1, events + 1).withColumnRenamed("id", "seq")
+    device = F.format_string("dev_%04d", (seq - 1) % devices + 1)
+    root = F.concat(F.lit(f"factory/{site}/device/"), device)
+    kind = F.element_at(F.array(*map(F.lit, ("firmware", "sampling", "threshold", "mode"))), F.expr("CAST(seq % 4 + 1 AS INT)"))
+    nth = block * 5 + bucket - 90
+    oldest = F.floor(nth / 80) * 100 + nth % 80 + 1
+    target = F.when(bucket < 95, oldest).otherwise(block * 100 + 80)
+    of = F.concat(F.lit(f"mqtt:factory/{site}/device/"), F.format_string("dev_%04d", (target - 1) % devices + 1), F.lit("/telemetry:"), target)
+    noise = lambda salt, top: F.round(F.pmod(F.xxhash64("seq", F.lit(salt)), F.lit(1000)) / 1000.0 * top, 3)
+    telemetry = F.to_json(F.struct(
+        F.lit("put").alias("op"), F.concat(F.lit("mqtt:"), root, F.lit("/telemetry:"), seq).alias("storage_key"), device.alias("device_id"), seq.alias("sequence"),
+        (F.lit(1_700_000_000_000) + seq * 1000).alias("timestamp_ms"), (24.0 + noise(1, 7.0)).alias("temperature_c"), noise(2, 4.0).alias("vibration_mm_s"),
+        F.when(noise(3, 1.0) > 0.02, "ok").otherwise("warn").alias("status"),
+    ))
+    state = F.to_json(F.struct(F.lit("update").alias("op"), device.alias("device_id"), seq.alias("sequence"), kind.alias("state_family"), F.concat(kind, F.lit("-"), F.expr(f"seq div {max(devices, 1)}")).alias("value")))
+    asked = F.to_json(F.struct(F.when(bucket < 95, "delete").otherwise("get").alias("op"), device.alias("device_id"), seq.alias("sequence"), of.alias("target_key")))
+    end = F.when(bucket < 80, "/telemetry").when(bucket < 90, F.concat(F.lit("/state/"), kind)).when(bucket < 95, "/delete").otherwise("/query")
+    return m.select(F.concat(root, end).alias("topic"), F.when(bucket < 80, telemetry).when(bucket < 90, state).otherwise(asked).alias("payload"), "seq")
+
+
+def demo_ops(spark: SparkSession, first: int, last: int, kind: str) -> DataFrame:
+    """Events of the demonstration with padded payloads, or deletes of them."""
+    i = F.col("id")
+    value = F.format_string('{"device_id":"demo_device_%d","sequence":%d,"kind":"%s","payload":"%s"}', i % 8, i, F.lit(kind), F.repeat(F.lit("x"), 900))
+    gone = kind == "delete"
+    return spark.range(first, last).select((i - first).alias("seq"), F.concat(F.lit("demo:event:"), i).alias("key"), F.lit("delete" if gone else "put").alias("op"), (F.lit(None).cast("string") if gone else value).alias("value"))
+
+
 def sequence_events(spark: SparkSession, first: int, count: int, version: int, seq: int = 0) -> DataFrame:
     """Events of one machine with consecutive numbers, for verification."""
     i = F.col("id")

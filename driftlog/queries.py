@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from driftlog.functions import binary, formats
 from driftlog.operators import lww, metrics, runs
+from driftlog.plans import workloads
 from driftlog.plans.stream import stream_state
 from driftlog.schemas import Limits
 from driftlog.sources import oplog
+from driftlog.streaming.ingest import messages_to_ops
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 RUNS = 8
@@ -404,7 +406,7 @@ def _messages(spark, sf_dir) -> DataFrame:
 
 @query
 def topic_route(spark, sf_dir):
-    return _messages(spark, sf_dir).groupBy(formats.route(F.col("topic")).alias("op")).agg(F.count("*").alias("n"))
+    return _messages(spark, sf_dir).groupBy(formats.route(F.col("topic"), F.col("payload")).alias("op")).agg(F.count("*").alias("n"))
 
 
 @query
@@ -434,3 +436,17 @@ def record_crc(spark, sf_dir):
 @query
 def key_hashes(spark, sf_dir):
     return _writes(spark, sf_dir).select("key").distinct().select("key", binary.murmur64a_udf("key").alias("hash"))
+
+
+@query
+def publisher_mix(spark, sf_dir):
+    m = workloads.publisher_messages(spark, 10_000, 100)
+    ops = messages_to_ops(m)
+    return ops.groupBy("op").agg(F.count("*").alias("n"), F.count_distinct("key").alias("unique_keys"))
+
+
+@query
+def stream_state_summary(spark, sf_dir):
+    """Visible state after 10,000 generated operations of a topic stream."""
+    ops = workloads.stream_ops(spark, "mqtt", 10_000, 100).where("op <> 'get'").select("key", "seq", "op", "value")
+    return lww.storage_summary(lww.resolve(ops))

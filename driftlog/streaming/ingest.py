@@ -20,7 +20,7 @@ MESSAGES = "topic string, payload string, seq bigint"
 def messages_to_ops(messages: DataFrame) -> DataFrame:
     """Topic messages as operations: the topic routes, the payload or the topic names the key."""
     topic, payload, seq = F.col("topic"), F.col("payload"), F.col("seq")
-    op = formats.route(topic)
+    op = formats.route(topic, payload)
     return messages.select("seq", formats.message_key(topic, payload, seq).alias("key"), op.alias("op"), F.when(op.isin("put", "update"), payload).alias("value"))
 
 
