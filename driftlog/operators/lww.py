@@ -77,7 +77,8 @@ def as_of(reads: DataFrame, writes: DataFrame, block: int = 1 << 20) -> DataFram
     """For each read, the last write of its key before it: ``found`` (that write is no delete) and ``value``."""
     both = reads.select("seq", "key", F.lit(None).cast("struct<op:string,value:string>").alias("w")).unionAll(writes.select("seq", "key", F.struct("op", "value").alias("w")))
     both = both.withColumn("_b", block_of("seq", block))
-    earlier = Window.partitionBy("key", "_b").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    # a read stands before a write with its own number
+    earlier = Window.partitionBy("key", "_b").orderBy("seq", F.col("w").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
     inside = both.withColumn("last", F.last("w", ignorenulls=True).over(earlier)).where("w IS NULL").drop("w")
     per_block = writes.withColumn("_b", block_of("seq", block)).groupBy("key", "_b").agg(F.max_by(F.struct("op", "value"), "seq").alias("w"))
     # the state in which each block of a key begins; blocks without writes take it over
@@ -88,7 +89,7 @@ def as_of(reads: DataFrame, writes: DataFrame, block: int = 1 << 20) -> DataFram
     return seen.select("seq", "key", hit.alias("found"), F.when(hit, F.col("s.value")).alias("value"))
 
 
-def delete_effect(writes: DataFrame) -> DataFrame:
-    """For each delete, whether the key was live before it."""
-    before = F.lag("op").over(Window.partitionBy("key").orderBy("seq"))
-    return writes.withColumn("before", before).where("op = 'delete'").select("seq", "key", F.coalesce(F.col("before") != "delete", F.lit(False)).alias("was_live"))
+def delete_effect(writes: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """For each delete, whether the key was live before it: an as-of read by the delete itself."""
+    slim = writes.select("seq", "key", "op", F.lit(None).cast("string").alias("value"))
+    return as_of(slim.where("op = 'delete'").select("seq", "key"), slim, block).select("seq", "key", F.col("found").alias("was_live"))

@@ -39,15 +39,21 @@ def write_amplification(writes: DataFrame, runs: DataFrame) -> DataFrame:
     return w.crossJoin(r).select(F.col("user").alias("user_bytes"), (F.col("stored") + F.col("flushed")).alias("storage_bytes"), F.round(ratio(F.col("stored") + F.col("flushed"), F.col("user")), 6).alias("write_amp"))
 
 
-def ranks(frame: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """The value at place floor(n * p) (from 0) of the sorted values, for each p.
+def ranks(frame: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99), blocks: int = 256) -> DataFrame:
+    """The value at place floor(n * p) (from 0) of the sorted values, for each p. Exact.
 
-    Counts by distinct value are summed before the shuffle; the window runs over distinct values.
+    Values are counted first, then cut into blocks by approximate splitters; the counts of the blocks say
+    which of them hold the wanted places, and only those are sorted.
     """
     counts = frame.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    ordered = Window.orderBy(value)
-    upto = counts.withColumn("upto", F.sum("c").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    n = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
-    wanted = n.select("n", F.explode(F.array(*[F.struct(F.lit(f"p{round(100 * p)}").alias("name"), F.least(F.floor(F.col("n") * p), F.col("n") - 1).alias("at")) for p in shares])).alias("w"))
-    hit = upto.join(F.broadcast(wanted), (F.col("upto") > F.col("w.at")) & (F.col("upto") - F.col("c") <= F.col("w.at")))
-    return hit.select(F.col("w.name").alias("percentile"), F.col(value).alias("latency"))
+    cuts = counts.agg(F.percentile_approx(value, [i / blocks for i in range(1, blocks)])).first()[0] or []
+    splitters = F.array(*[F.lit(c) for c in sorted(set(cuts))])
+    cut = counts.withColumn("b", F.size(F.filter(splitters, lambda x: x < F.col(value))))
+    sizes = cut.groupBy("b").agg(F.sum("c").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    n = sizes.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("n"))
+    wanted = n.select(F.explode(F.array(*[F.struct(F.lit(f"p{round(100 * p)}").alias("name"), F.least(F.floor(F.col("n") * p), F.col("n") - 1).alias("at")) for p in shares])).alias("w")).select("w.*")
+    holding = sizes.join(wanted, (F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("s"))).select("b", "before", "name", "at")  # at most a row for each share
+    inside = cut.join(F.broadcast(holding.select("b", "before").distinct()), "b")
+    upto = inside.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    hit = upto.join(F.broadcast(holding.select("b", "name", "at")), "b").where("upto > at AND upto - c <= at")
+    return hit.select(F.col("name").alias("percentile"), F.col(value).alias("latency"))
