@@ -36,6 +36,8 @@ SCRIPTS = (
 )
 NAMES = tuple(sorted({name for _, name in SCRIPTS}))
 BUCKETS = 1 << 16
+#: languages that are learned, the most frequent ones; a label fits into a byte
+MOST_LANGUAGES = 250
 #: a language uses a script if so much of its letters is in it
 LEAST_SHARE = 0.005
 #: most that one word can say against a language
@@ -161,12 +163,13 @@ def learn(labelled: DataFrame, per_language: int = 3000, tasks: int = 16, smooth
     """Fit on ``doc_id, text, lang``: at most about ``per_language`` rows of each language."""
     arrow_batches(labelled.sparkSession)
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    sizes = {r["lang"]: r["n"] for r in counted.collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(NAMES), 0), bool))
     part = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, per_language / n))) for x, n in sizes.items()])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20)).repartition(tasks)
+    sample = rows.where(F.col("lang").isin(languages)).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20)).repartition(tasks)
     grams, script = np.zeros((BUCKETS, len(languages)), np.int64), np.zeros((len(NAMES), len(languages)), np.int64)
     for r in sample.select("lang", "text").mapInArrow(partial(_count, languages), "grams binary, script binary").toLocalIterator():
         grams += np.frombuffer(r["grams"], np.int64).reshape(grams.shape)
