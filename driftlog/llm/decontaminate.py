@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlog.llm.shared import arrow_batches, id_and_text
+from driftlog.llm.shared import arrow_batches, id_and_text, tidy
 from driftlog.llm.words import U, hash_texts, mix, split_words
 
 #: positions that each mask looks at; together they hit 13 words with any two substituted (see the tests)
@@ -157,7 +156,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     arrow_batches(docs.sparkSession)
     d, out = id_and_text(docs), None
     for held in _blocks(benchmark):
-        found = d.mapInArrow(partial(_leaks, held), SCHEMA)
+        found = d.mapInArrow(tidy(_leaks, held), SCHEMA)
         out = found if out is None else out.unionAll(found)
     return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
 
@@ -166,5 +165,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs``, all columns, without the texts that overlap with a test item. Rows are judged one by one."""
     arrow_batches(docs.sparkSession)
     for held in _blocks(benchmark):
-        docs = docs.mapInArrow(partial(_clean, held), docs.schema)
+        docs = docs.mapInArrow(tidy(_clean, held), docs.schema)
     return docs

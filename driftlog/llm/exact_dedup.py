@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlog.llm.shared import arrow_batches, id_and_text, written
+from driftlog.llm.shared import arrow_batches, id_and_text, tidy, written
 
 HEAD_CHARS = 48
 _ROWS = "doc_id long, text_sha256 binary, part int, run int, head boolean, edge boolean, keep_id long, size long"
@@ -67,7 +67,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     d = d.select("doc_id", (-F.col("n")).alias("less"), F.unhex(F.sha2("norm", 256)).alias("sha"), "norm", F.substring("norm", 1, HEAD_CHARS).alias("lead"))
     key = [F.col("lead"), F.col("sha"), F.col("less"), F.col("doc_id").asc_nulls_last()]
     placed = d.repartitionByRange(*key).sortWithinPartitions(*key)
-    rows = written(placed.select("doc_id", "sha", "norm").mapInArrow(_runs, _ROWS), "content-runs")
+    rows = written(placed.select("doc_id", "sha", "norm").mapInArrow(tidy(_runs), _ROWS), "content-runs")
     pieces = rows.where("edge AND head").groupBy("text_sha256").agg(F.min_by(F.struct("part", "keep_id"), "part").alias("first"), F.sum("size").alias("whole"), F.count("*").alias("pieces"))
     # at most two pieces come from a partition, so this side is bounded by the number of partitions
     crossing = F.broadcast(pieces.where("pieces > 1").select("text_sha256", "first", "whole"))

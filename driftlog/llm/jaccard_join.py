@@ -29,7 +29,6 @@ and has a null component; other columns are ignored; an empty table gives an emp
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,7 @@ from pyspark.sql import functions as F
 
 from driftlog.llm.components import components
 from driftlog.llm.files import opened, whole_file
-from driftlog.llm.shared import arrow_batches, id_and_text, new_path, written
+from driftlog.llm.shared import arrow_batches, id_and_text, new_path, tidy, written
 from driftlog.llm.words import U, mix, shingle_sets
 
 #: documents, and bytes of their sets, in a block of a cluster
@@ -317,7 +316,7 @@ def block_links(sets: DataFrame, percent: int) -> DataFrame:
     """Links (``a``, ``b``) inside clusters: every pair of sides of a cluster is one group of bounded size."""
     dealt = sets.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("cluster", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "shingles")
-    return dealt.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(partial(_links, percent), "a long, b long")
+    return dealt.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(tidy(_links, percent), "a long, b long")
 
 
 def join_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -325,20 +324,20 @@ def join_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
     spark = docs.sparkSession
     arrow_batches(spark)
     d = id_and_text(docs)
-    s = written(d.mapInArrow(partial(_sketches, width, percent), "doc_id long, n long, sig_a long, sig_b long, own binary, low binary, part int"), "sketches")
+    s = written(d.mapInArrow(tidy(_sketches, width, percent), "doc_id long, n long, sig_a long, sig_b long, own binary, low binary, part int"), "sketches")
     sketches = s.select("n", "sig_a", "sig_b", "own", "low", "part")
 
     # rarity: keys are counted by ranges, and each part of the table is told which of its keys others have
     cells = int(s.agg(F.sum(F.expr(f"n * {100 - percent} * 3 div {100 + percent} + 2"))).first()[0] or 0)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cells // CELLS + 1)
     folder = new_path(spark, "shared-keys")
-    told = sketches.mapInArrow(partial(_announce, percent, parts), "range int, part int, keys binary").repartition(parts, "range").sortWithinPartitions("range")
-    answers = told.mapInArrow(_answer, "part int, keys binary, often binary").repartition("part").sortWithinPartitions("part")
-    answers.mapInArrow(partial(_file_answers, folder), "part int").count()
+    told = sketches.mapInArrow(tidy(_announce, percent, parts), "range int, part int, keys binary").repartition(parts, "range").sortWithinPartitions("range")
+    answers = told.mapInArrow(tidy(_answer), "part int, keys binary, often binary").repartition("part").sortWithinPartitions("part")
+    answers.mapInArrow(tidy(_file_answers, folder), "part int").count()
 
     # candidates: stars of documents that share a rare cell
-    keyed = sketches.mapInArrow(partial(_prefixes, percent, folder), "key long, node long").repartition(parts, "key")
-    stars = written(keyed.mapInArrow(_edges, "a long, b long").distinct(), "star-edges", parts)
+    keyed = sketches.mapInArrow(tidy(_prefixes, percent, folder), "key long, node long").repartition(parts, "key")
+    stars = written(keyed.mapInArrow(tidy(_edges), "a long, b long").distinct(), "star-edges", parts)
     clusters = components(stars)
 
     # sets of one document of each clustered class
@@ -348,7 +347,7 @@ def join_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
     ids = block_plan(wanted, "cluster", F.col("n") * 8)
     ids = F.broadcast(ids) if wanted.count() <= SMALL else ids
     texts = d.join(ids, F.col("doc_id") == F.col("rep")).select("node", "cluster", "side", "blocks", "text")
-    sets = written(texts.mapInArrow(partial(_sets, width), "node long, cluster long, side int, blocks int, shingles binary"), "sets")
+    sets = written(texts.mapInArrow(tidy(_sets, width), "node long, cluster long, side int, blocks int, shingles binary"), "sets")
     links = block_links(sets, percent)
     labels = components(written(links, "links", parts))
 

@@ -17,14 +17,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache, partial
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlog.llm.shared import arrow_batches, id_and_text
+from driftlog.llm.shared import arrow_batches, id_and_text, tidy
 from driftlog.llm.words import U, mix
 
 #: first code point of a script's blocks, in ascending order, and the script
@@ -171,7 +171,7 @@ def learn(labelled: DataFrame, per_language: int = 3000, tasks: int = 16, smooth
     part = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, per_language / n))) for x, n in sizes.items()])
     sample = rows.where(F.col("lang").isin(languages)).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20)).repartition(tasks)
     grams, script = np.zeros((BUCKETS, len(languages)), np.int64), np.zeros((len(NAMES), len(languages)), np.int64)
-    for r in sample.select("lang", "text").mapInArrow(partial(_count, languages), "grams binary, script binary").toLocalIterator():
+    for r in sample.select("lang", "text").mapInArrow(tidy(_count, languages), "grams binary, script binary").toLocalIterator():
         grams += np.frombuffer(r["grams"], np.int64).reshape(grams.shape)
         script += np.frombuffer(r["script"], np.int64).reshape(script.shape)
     weights = np.log((grams + smooth) / (grams.sum(0) + smooth * BUCKETS))
@@ -215,7 +215,7 @@ def label(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
     spark = docs.sparkSession
     arrow_batches(spark)
     held = spark.sparkContext.broadcast(model)
-    return id_and_text(docs).mapInArrow(partial(_label, held, penalty), "doc_id long, lang_pred string, score double, spans array<struct<lang:string, first:long, last:long>>")
+    return id_and_text(docs).mapInArrow(tidy(_label, held, penalty), "doc_id long, lang_pred string, score double, spans array<struct<lang:string, first:long, last:long>>")
 
 
 def _known(held, penalty: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +227,7 @@ def _known(held, penalty: float, batches: Iterator[pa.RecordBatch]) -> Iterator[
 def with_language(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
     """``docs``, all columns, without the rows whose ``lang_pred`` is ``und``. Rows are judged one by one, ids play no part."""
     arrow_batches(docs.sparkSession)
-    return docs.mapInArrow(partial(_known, docs.sparkSession.sparkContext.broadcast(model), penalty), docs.schema)
+    return docs.mapInArrow(tidy(_known, docs.sparkSession.sparkContext.broadcast(model), penalty), docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -41,7 +41,7 @@ SECRET_BASE = (
 SECRET_MORE = (
     ("pem", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", "true"),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true"),
-    ("forge", "gh[pousr]_[A-Za-z0-9]{36,}", _alone("[A-Za-z0-9]")),
+    ("gittoken", "gh[pousr]_[A-Za-z0-9]{36,}", _alone("[A-Za-z0-9]")),
 )
 
 

@@ -22,7 +22,6 @@ one document only stays; other columns are ignored; an empty table gives an empt
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 
 from driftlog.llm.components import components
 from driftlog.llm.jaccard_join import CELLS, SMALL, _edges, _stars, block_links, block_plan
-from driftlog.llm.shared import arrow_batches, id_and_text, written
+from driftlog.llm.shared import arrow_batches, id_and_text, tidy, written
 from driftlog.llm.words import U, distinct, mix, shingles, split_words, word_hashes
 
 
@@ -125,10 +124,10 @@ def repeated_paragraphs(docs: DataFrame, width: int = 5, percent: int = 80, leas
     spark = docs.sparkSession
     arrow_batches(spark)
     d = id_and_text(docs).where("doc_id IS NOT NULL")
-    p = written(d.mapInArrow(partial(_find, width, least_words, bands, rows), "doc_id long, first_word long, words long, n long, sig_a long, sig_b long, keys binary"), "paragraphs")
+    p = written(d.mapInArrow(tidy(_find, width, least_words, bands, rows), "doc_id long, first_word long, words long, n long, sig_a long, sig_b long, keys binary"), "paragraphs")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), p.count() * bands // CELLS + 1)
-    keyed = p.where("keys IS NOT NULL").select("sig_a", "keys").mapInArrow(_keyed, "key long, node long").repartition(parts, "key")
-    clusters = components(written(keyed.mapInArrow(_edges, "a long, b long").distinct(), "paragraph-stars", parts))
+    keyed = p.where("keys IS NOT NULL").select("sig_a", "keys").mapInArrow(tidy(_keyed), "key long, node long").repartition(parts, "key")
+    clusters = components(written(keyed.mapInArrow(tidy(_edges), "a long, b long").distinct(), "paragraph-stars", parts))
 
     first = F.struct("doc_id", "first_word")
     classes = p.groupBy("n", "sig_a", "sig_b").agg(F.min(first).alias("rep"), F.max("doc_id").alias("last_doc"))
@@ -138,7 +137,7 @@ def repeated_paragraphs(docs: DataFrame, width: int = 5, percent: int = 80, leas
     ids = block_plan(wanted, "cluster", F.col("n") * 8).groupBy("rep").agg(F.collect_list(F.struct("node", "cluster", "side", "blocks")).alias("wanted"))  # paragraphs of one text
     ids = F.broadcast(ids) if wanted.count() <= SMALL else ids
     texts = d.join(ids, F.col("doc_id") == F.col("rep")).select("wanted", "text")
-    sets = written(texts.mapInArrow(partial(_sets, width, least_words), "node long, cluster long, side int, blocks int, shingles binary"), "paragraph-sets")
+    sets = written(texts.mapInArrow(tidy(_sets, width, least_words), "node long, cluster long, side int, blocks int, shingles binary"), "paragraph-sets")
     labels = components(written(block_links(sets, percent), "paragraph-links", parts))
 
     named = classes.join(labels, classes["sig_a"] == labels["node"], "left").select("n", "sig_a", "sig_b", "rep", "last_doc", F.coalesce("label", "sig_a").alias("component"))
@@ -193,7 +192,7 @@ def _runs(width: int, window: int, batches: Iterator[pa.RecordBatch]) -> Iterato
 def repeated_passages(docs: DataFrame, width: int = 30, window: int = 20) -> DataFrame:
     """Stretches of words that another document has too."""
     arrow_batches(docs.sparkSession)
-    runs = id_and_text(docs).where("doc_id IS NOT NULL").mapInArrow(partial(_runs, width, window), "run long, doc_id long, at long")
+    runs = id_and_text(docs).where("doc_id IS NOT NULL").mapInArrow(tidy(_runs, width, window), "run long, doc_id long, at long")
     # partial sums before the shuffle: a run that many documents share arrives as one row from each task
     shared = runs.groupBy("run").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last")).where("keep_id < last").select("run", "keep_id")
     shared = written(shared, "shared-runs")

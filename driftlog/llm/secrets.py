@@ -32,7 +32,7 @@ BASE = (
 MORE = (
     ("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", ("private key-----",), "true"),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", (".eyj",), "true"),
-    ("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), S.alone("text", "[A-Za-z0-9]")),
+    ("gittoken", r"gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), S.alone("text", "[A-Za-z0-9]")),
 )
 
 

@@ -17,7 +17,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlog.llm.files import opened, whole_file
-from driftlog.llm.shared import arrow_batches, id_and_text, new_path, one_per_task, written_one
+from driftlog.llm.shared import arrow_batches, id_and_text, new_path, one_per_task, tidy, written_one
+from driftlog.llm.words import U, hash_bytes
 
 MAGIC = b"DACTOK01"
 BLOCK = 512
@@ -127,7 +127,7 @@ class Encoder:
     once by the library, and the ids joined. Texts with longer runs of white space are encoded uncut.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, end_id: int, most: int = 2_000_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -141,7 +141,9 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.ids, self.used = {}, np.zeros(1 << 16, np.uint32), 0
+        """Known words by two hashes of 64 bits (no strings are kept): sorted first hash, second hash, place."""
+        self.first, self.second, self.place = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.n, self.words = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +171,8 @@ class Encoder:
         out[mine], out[~mine] = ids, other_ids
         return out, n
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Places of new words, whose first hashes differ."""
         ids, n = self._words(words)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
@@ -178,8 +181,28 @@ class Encoder:
         self.ids[self.used : self.used + len(ids)] = ids
         self.n[self.words : self.words + len(n)] = n
         self.at[self.words : self.words + len(n)] = self.used + np.cumsum(n) - n
-        self.known.update(zip(words, range(self.words, self.words + len(n)), strict=True))
+        place = np.arange(self.words, self.words + len(n))
+        order = np.argsort(first)
+        into = np.searchsorted(self.first, first[order])
+        self.first, self.second, self.place = np.insert(self.first, into, first[order]), np.insert(self.second, into, second[order]), np.insert(self.place, into, place[order])
         self.used, self.words = self.used + len(ids), self.words + len(n)
+        return place
+
+    def _places(self, distinct: pa.Array) -> np.ndarray | None:
+        """Places of words, new ones are learned; None if two words share a first hash."""
+        first, second = hash_bytes(distinct, 0x2545F4914F6CDD1D), hash_bytes(distinct, 0xD1342543DE82EF95)
+        out = np.full(len(first), -1, np.int64)
+        if len(self.first):
+            at = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
+            known = self.first[at] == first
+            if (self.second[at[known]] != second[known]).any():
+                return None
+            out[known] = self.place[at[known]]
+        if len(new := np.flatnonzero(out < 0)):
+            if len(np.unique(first[new])) < len(new):
+                return None
+            out[new] = self._learn(distinct.take(pa.array(new)).to_pylist(), first[new], second[new])
+        return out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, each with the end id; number of ids of each text)"""
@@ -192,11 +215,10 @@ class Encoder:
         flat = pieces.flatten()
         lead = pc.if_else(uncut, texts, flat.take(pa.array(first))).to_pylist()
         coded = flat.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        place = np.fromiter((self.known.get(w, -1) for w in distinct), np.int64, len(distinct))
-        if len(missing := np.flatnonzero(place < 0)):
-            self._learn([distinct[i] for i in missing])
-            place[missing] = np.arange(self.words - len(missing), self.words)
+        place = self._places(coded.dictionary)
+        if place is None:
+            self._clear()
+            return self._uncut(texts)
         lead_ids, lead_n = self._encoded(lead)
         extra_at = self.used + np.cumsum(lead_n) - lead_n
         ids = np.concatenate([self.ids[: self.used], lead_ids, np.array([self.end_id], np.uint32)])
@@ -211,6 +233,10 @@ class Encoder:
         whole = ends[np.cumsum(counts + 1) - 1]
         return out, np.diff(whole, prepend=0)
 
+    def _uncut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids, n = self._encoded(texts.to_pylist())
+        return np.insert(ids, np.cumsum(n), self.end_id), n + 1
+
 
 _encoders: dict[tuple[str, int], Encoder] = {}
 
@@ -252,7 +278,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_tokens:
     folder = folder or new_path(spark, "tokens")
     d = id_and_text(docs).withColumn("tie", F.xxhash64("text"))
     d = d.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    made = written_one(d.mapInArrow(partial(_write, folder, tokenizer, end_id, shard_tokens), "part int, piece int, path string, n_docs long, n_tokens long"), "token-shards")
+    made = written_one(d.mapInArrow(tidy(_write, folder, tokenizer, end_id, shard_tokens), "part int, piece int, path string, n_docs long, n_tokens long"), "token-shards")
     # one row per shard, not per document
     before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
     return made.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -274,4 +300,4 @@ def _read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """One row per document, from the files: ``doc_id, start, n_tokens, ids_crc32``."""
     files = written_one(manifest.select("path", "base"), "token-manifest")
-    return one_per_task(files, files.count()).mapInArrow(_read_shards, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return one_per_task(files, files.count()).mapInArrow(tidy(_read_shards), "doc_id long, start long, n_tokens long, ids_crc32 long")

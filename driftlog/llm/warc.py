@@ -22,7 +22,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import partial
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlog.llm.files import opened, remove, whole_file
-from driftlog.llm.shared import arrow_batches, new_path, one_per_task, written_one
+from driftlog.llm.shared import arrow_batches, new_path, one_per_task, tidy, written_one
 
 _INDEX = struct.Struct("<QQ")
 _STEP = 1 << 20
@@ -98,7 +97,7 @@ def write_archives(pages: DataFrame, revisit_bytes: int = 1000, folder: str | No
     p = p.join(shared, ["sha1", "size"], "left")
     again = F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))
     p = p.select("page_id", "url", F.when(again, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "size", "sha1", F.when(again, F.col("keep")).alias("refers_to"))
-    return written_one(p.mapInArrow(partial(_write, folder or new_path(pages.sparkSession, "warc"), date, level), "archive string, n long"), "warc-streams")
+    return written_one(p.mapInArrow(tidy(_write, folder or new_path(pages.sparkSession, "warc"), date, level), "archive string, n long"), "warc-streams")
 
 
 # ---------------------------------------------------------------- normalising
@@ -169,7 +168,7 @@ def _normalise(level: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 def normalise(archives: DataFrame, level: int = 6) -> DataFrame:
     """Rewrite monolithic archives as one member per record, with sidecar indexes."""
     tasks = one_per_task(archives, archives.count())
-    return written_one(tasks.mapInArrow(partial(_normalise, level), "archive string, n long"), "warc-archives")
+    return written_one(tasks.mapInArrow(tidy(_normalise, level), "archive string, n long"), "warc-archives")
 
 
 def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +183,7 @@ def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def drop_streams(archives: DataFrame) -> int:
     """Remove the monolithic files of archives that are normalised; returns how many archives there are."""
-    return archives.mapInArrow(_remover, "archive string").count()
+    return archives.mapInArrow(tidy(_remover), "archive string").count()
 
 
 # ---------------------------------------------------------------- reading
@@ -230,4 +229,4 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(archives: DataFrame) -> DataFrame:
     """One row per record of normalised archives, read by the index."""
     tasks = one_per_task(archives.select("archive"), archives.count())
-    return tasks.mapInArrow(_reader, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long")
+    return tasks.mapInArrow(tidy(_reader), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long")

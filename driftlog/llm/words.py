@@ -25,6 +25,20 @@ def hash_texts(texts: pa.Array) -> np.ndarray:
     return hash_array(texts.to_numpy(zero_copy_only=False), categorize=False)
 
 
+def hash_bytes(texts: pa.Array, base: int) -> np.ndarray:
+    """64-bit hashes of strings by a polynomial in an odd ``base``, over Arrow's buffers, without Python strings."""
+    if not len(texts):
+        return np.zeros(0, U)
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    ends -= ends[0]
+    power = np.cumprod(np.r_[U(1), np.full(len(raw), base, U)])
+    total = np.concatenate([np.zeros(1, U), np.cumsum(mix(raw.astype(U) + U(1)) * power[:-1])])
+    back = np.cumprod(np.r_[U(1), np.full(len(raw), pow(base, -1, 2**64), U)])
+    return mix((total[ends[1:]] - total[ends[:-1]]) * back[ends[:-1]] ^ np.diff(ends).astype(U) * U(0x9E3779B97F4A7C15))
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(words of all texts, number of words of each): A-Z in lower case, cut at ASCII white space."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
