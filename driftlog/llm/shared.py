@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -23,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="driftlog-")
+        own = tempfile.mkdtemp(prefix="driftlog-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -78,7 +82,9 @@ def ship_package(spark: SparkSession) -> None:
     root, sc = Path(__file__).parents[2], spark.sparkContext
     name = f"driftlog-{sc.applicationId}.zip"
     if name not in sc._python_includes:
-        out = Path(tempfile.mkdtemp(prefix="driftlog-src-")) / name
+        own = tempfile.mkdtemp(prefix="driftlog-src-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        out = Path(own) / name
         with zipfile.ZipFile(out, "w") as z:
             for f in sorted((root / "driftlog").rglob("*.py")):
                 z.write(f, f.relative_to(root))
