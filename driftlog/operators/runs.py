@@ -57,7 +57,7 @@ def chunks(merged: DataFrame, threshold: int, prefix: int = 8) -> DataFrame:
 
 def value_offsets(writes: DataFrame, block: int = 1 << 20) -> DataFrame:
     """Where each put's value starts in a value log that is written in arrival order."""
-    puts = writes.where("op <> 'delete'").select("seq", "key", F.octet_length("value").alias("length"))
+    puts = writes.where("op <> 'delete'").select("seq", "key", F.octet_length("value").cast("bigint").alias("length"))
     return running_sum(puts, F.col("length") + VALUE_HEADER, "seq", F.expr(f"seq div {block}"), [], "offset", inclusive=False)
 
 

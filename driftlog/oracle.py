@@ -65,9 +65,9 @@ ORACLE_SQL: dict[str, str] = {
     "compact_l1_l2": _q("SELECT key, seq FROM lww WHERE op = 'delete'"),
     "compaction_chunks": _q("SELECT chunk, min_key, max_key, entries FROM chunks", _CHUNKS),
     "range_overlap_runs": _q("SELECT a.run_seq AS run_a, b.run_seq AS run_b FROM meta a JOIN meta b ON a.run_seq < b.run_seq AND NOT (a.max_key < b.min_key OR a.min_key > b.max_key)"),
-    "range_overlap_chunks": _q("SELECT 7 AS run_a, c.chunk + 100 AS run_b FROM chunks c, (SELECT min(key) AS lo, max(key) AS hi FROM flushed WHERE run_seq = 7 AND key < 'user:2') r WHERE NOT (c.max_key < r.lo OR c.min_key > r.hi)", _CHUNKS),
+    "range_overlap_chunks": _q("SELECT 7::BIGINT AS run_a, c.chunk + 100 AS run_b FROM chunks c, (SELECT min(key) AS lo, max(key) AS hi FROM flushed WHERE run_seq = 7 AND key < 'user:2') r WHERE NOT (c.max_key < r.lo OR c.min_key > r.hi)", _CHUNKS),
     "sst_candidates": _q("SELECT r.key, count(m.run_seq) AS candidates FROM readkeys r LEFT JOIN meta m ON r.key BETWEEN m.min_key AND m.max_key GROUP BY r.key"),
-    "read_path_stats": _q("SELECT key, considered, skipped, searched, value_reads FROM paths", _PATHS),
+    "read_path_stats": _q("SELECT key, considered, skipped, CAST(searched AS BIGINT) AS searched, CAST(value_reads AS BIGINT) AS value_reads FROM paths", _PATHS),
     "read_amp": _q("SELECT round(CAST(sum(searched + value_reads) AS DOUBLE) / count(*), 6) AS read_amp FROM paths", _PATHS),
     "bloom_effect": _q("SELECT CAST(sum(considered) AS BIGINT) AS considered, CAST(sum(skipped) AS BIGINT) AS skipped, round(100 * (CAST(sum(skipped) AS DOUBLE) / sum(considered)), 6) AS effect FROM paths", _PATHS),
     "retained_runs": _q("SELECT run_seq FROM meta m WHERE NOT EXISTS (SELECT 1 FROM meta z WHERE z.run_seq = 0 AND m.max_key >= z.min_key AND m.min_key <= z.min_key)"),
@@ -100,4 +100,11 @@ ORACLE_SQL: dict[str, str] = {
                WHEN b < 95 THEN 't' || ((block * 5 + b - 90) // 80 * 100 + (block * 5 + b - 90) % 80 + 1) ELSE 't' || (block * 100 + 80) END AS key FROM m)
         SELECT op, count(*) AS n, count(DISTINCT key) AS unique_keys FROM k GROUP BY op""",
     "stream_state_summary": "SELECT 7600::BIGINT AS live_keys, 500::BIGINT AS tombstones, 1571253::BIGINT AS live_logical_bytes",
+    "store_lifecycle": _q("SELECT key, value FROM lww WHERE op <> 'delete'"),
+    "store_counters": _q(f"""SELECT u AS user_bytes_written, s + f AS storage_bytes_written, p AS put_calls, d AS delete_calls FROM
+        (SELECT CAST(sum({_USER}) AS BIGINT) AS u, CAST(sum({_STORED}) AS BIGINT) AS s, count(*) FILTER (op <> 'delete') AS p, count(*) FILTER (op = 'delete') AS d FROM writes),
+        (SELECT CAST(sum(20 + strlen(key)) + 24 AS BIGINT) AS f FROM lww)"""),
+    "lab_report": "SELECT 'pass' AS status, 8::BIGINT AS commands, 4002::BIGINT AS generated_ops, 3000::BIGINT AS puts, 701::BIGINT AS updates, 301::BIGINT AS deletes, 6000::BIGINT AS verify_checks, 0::BIGINT AS mismatches, 2699::BIGINT AS live_keys, 301::BIGINT AS tombstones",
+    "verification_suite": """SELECT phase, checked::BIGINT AS checked, 0::BIGINT AS mismatches, true AS ok FROM (VALUES ('basic', 1000), ('overwrite', 1000), ('delete', 950), ('flush', 950),
+        ('compaction', 1950), ('bloom', 1950), ('recovery', 1950)) v(phase, checked)""",
 }

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from driftlog.functions import binary, formats
 from driftlog.operators import lww, metrics, runs
-from driftlog.plans import workloads
-from driftlog.plans.stream import stream_state
+from driftlog.plans import lab, verify, workloads
+from driftlog.plans.store import Store
+from driftlog.plans.stream import scratch, stream_state
 from driftlog.schemas import Limits
 from driftlog.sources import oplog
 from driftlog.streaming.ingest import messages_to_ops
@@ -371,7 +372,7 @@ def stream2_math(spark, sf_dir):
 @query
 def hash_order(spark, sf_dir):
     h = formats.order_hash(F.col("id"))
-    return spark.range(5000).select("id", h.alias("h"), F.row_number().over(Window.orderBy(h, "id")).alias("place"))
+    return spark.range(5000).select("id", h.alias("h"), F.row_number().over(Window.orderBy(h, "id")).cast("bigint").alias("place"))
 
 
 @query
@@ -450,3 +451,47 @@ def stream_state_summary(spark, sf_dir):
     """Visible state after 10,000 generated operations of a topic stream."""
     ops = workloads.stream_ops(spark, "mqtt", 10_000, 100).where("op <> 'get'").select("key", "seq", "op", "value")
     return lww.storage_summary(lww.resolve(ops))
+
+
+# ---------------------------------------------------------------- the store
+
+
+@query
+def store_lifecycle(spark, sf_dir):
+    """What a store shows after segments, flushes, compactions, a collection and a new start."""
+    store = Store(spark, scratch(spark, "store"), Limits(l0_runs=1, l1_runs=1))
+    log, n = _ops(spark, sf_dir), _total(spark, sf_dir)
+    for part in range(4):
+        lo, hi = part * n // 4, (part + 1) * n // 4
+        store.append(log.where(F.col("seq").between(lo, hi - 1)).withColumn("seq", F.col("seq") - store.catalog.next_seq))
+        if part < 3:
+            store.flush()
+        if part == 1:
+            store.compact(0)
+    store.collect()
+    return store.reopen().live()
+
+
+@query
+def store_counters(spark, sf_dir):
+    """Durable counters of a store that took the whole log as one segment and flushed it."""
+    store = Store(spark, scratch(spark, "store"))
+    store.append(_ops(spark, sf_dir))
+    store.flush()
+    return spark.createDataFrame([tuple(map(int, store.reopen().catalog.stats.values()))], "user_bytes_written bigint, storage_bytes_written bigint, put_calls bigint, delete_calls bigint")
+
+
+@query
+def lab_report(spark, sf_dir):
+    """An experiment script on a new store, compared with its model."""
+    script = "insert 1..3000 random\nupdate 800..1500 random\ndelete 1000..1300 random\nflush\ncompact\nrecover\nverify\nstate"
+    r = lab.run_script(spark, scratch(spark, "lab"), script)
+    names = ("commands", "generated_ops", "puts", "updates", "deletes", "verify_checks", "mismatches", "live_keys", "tombstones")
+    return spark.createDataFrame([(r["status"], *(int(r[k]) for k in names))], "status string, " + ", ".join(f"{k} bigint" for k in names))
+
+
+@query
+def verification_suite(spark, sf_dir):
+    """All phases of the full verification with 1,000 events."""
+    r = verify.run_suite(spark, scratch(spark, "verify"), "full", 1000)
+    return spark.createDataFrame([(p["phase"], int(p["checked"]), int(p["mismatches"]), bool(p["ok"])) for p in r["phases"]], "phase string, checked bigint, mismatches bigint, ok boolean")
