@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from driftlog.llm.components import components
 from driftlog.llm.files import opened, whole_file
-from driftlog.llm.shared import arrow_batches, id_and_text, new_path, tidy, written
+from driftlog.llm.shared import arrow_batches, delete_path, id_and_text, new_path, tidy, written
 from driftlog.llm.words import U, mix, shingle_sets
 
 #: documents, and bytes of their sets, in a block of a cluster
@@ -324,7 +324,8 @@ def join_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
     spark = docs.sparkSession
     arrow_batches(spark)
     d = id_and_text(docs)
-    s = written(d.mapInArrow(tidy(_sketches, width, percent), "doc_id long, n long, sig_a long, sig_b long, own binary, low binary, part int"), "sketches")
+    sketch_path, set_path = new_path(spark, "sketches"), new_path(spark, "sets")
+    s = written(d.mapInArrow(tidy(_sketches, width, percent), "doc_id long, n long, sig_a long, sig_b long, own binary, low binary, part int"), "sketches", path=sketch_path)
     sketches = s.select("n", "sig_a", "sig_b", "own", "low", "part")
 
     # rarity: keys are counted by ranges, and each part of the table is told which of its keys others have
@@ -347,14 +348,17 @@ def join_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
     ids = block_plan(wanted, "cluster", F.col("n") * 8)
     ids = F.broadcast(ids) if wanted.count() <= SMALL else ids
     texts = d.join(ids, F.col("doc_id") == F.col("rep")).select("node", "cluster", "side", "blocks", "text")
-    sets = written(texts.mapInArrow(tidy(_sets, width), "node long, cluster long, side int, blocks int, shingles binary"), "sets")
-    links = block_links(sets, percent)
-    labels = components(written(links, "links", parts))
+    sets = written(texts.mapInArrow(tidy(_sets, width), "node long, cluster long, side int, blocks int, shingles binary"), "sets", path=set_path)
+    links = written(block_links(sets, percent), "links", parts)
+    ids = written(s.select("doc_id", "n", "sig_a", "sig_b"), "sketch-ids", parts)
+    for path in (sketch_path, set_path, folder):  # the large tables have served
+        delete_path(spark, path)
+    labels = components(links)
 
     linked = classes.join(labels, classes["sig_a"] == labels["node"]).select("node", "rep", "label")
     smallest = linked.groupBy("label").agg(F.min("rep").alias("smallest"))
     to = written(linked.select("node", "label").distinct().join(smallest, "label").select("node", "smallest"), "link-components", parts)
-    out = s.select("doc_id", "n", "sig_a", "sig_b").join(classes, ["n", "sig_a", "sig_b"], "left").join(to, F.col("sig_a") == to["node"], "left")
+    out = ids.join(classes, ["n", "sig_a", "sig_b"], "left").join(to, F.col("sig_a") == to["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("smallest", "rep")).alias("component_id"))
 
 

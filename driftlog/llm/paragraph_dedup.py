@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from driftlog.llm.components import components
 from driftlog.llm.jaccard_join import CELLS, SMALL, _edges, _stars, block_links, block_plan
-from driftlog.llm.shared import arrow_batches, id_and_text, tidy, written
+from driftlog.llm.shared import arrow_batches, delete_path, id_and_text, new_path, tidy, written
 from driftlog.llm.words import U, distinct, mix, shingles, split_words, word_hashes
 
 
@@ -124,7 +124,8 @@ def repeated_paragraphs(docs: DataFrame, width: int = 5, percent: int = 80, leas
     spark = docs.sparkSession
     arrow_batches(spark)
     d = id_and_text(docs).where("doc_id IS NOT NULL")
-    p = written(d.mapInArrow(tidy(_find, width, least_words, bands, rows), "doc_id long, first_word long, words long, n long, sig_a long, sig_b long, keys binary"), "paragraphs")
+    all_path, set_path = new_path(spark, "paragraphs"), new_path(spark, "paragraph-sets")
+    p = written(d.mapInArrow(tidy(_find, width, least_words, bands, rows), "doc_id long, first_word long, words long, n long, sig_a long, sig_b long, keys binary"), "paragraphs", path=all_path)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), p.count() * bands // CELLS + 1)
     keyed = p.where("keys IS NOT NULL").select("sig_a", "keys").mapInArrow(tidy(_keyed), "key long, node long").repartition(parts, "key")
     clusters = components(written(keyed.mapInArrow(tidy(_edges), "a long, b long").distinct(), "paragraph-stars", parts))
@@ -137,13 +138,17 @@ def repeated_paragraphs(docs: DataFrame, width: int = 5, percent: int = 80, leas
     ids = block_plan(wanted, "cluster", F.col("n") * 8).groupBy("rep").agg(F.collect_list(F.struct("node", "cluster", "side", "blocks")).alias("wanted"))  # paragraphs of one text
     ids = F.broadcast(ids) if wanted.count() <= SMALL else ids
     texts = d.join(ids, F.col("doc_id") == F.col("rep")).select("wanted", "text")
-    sets = written(texts.mapInArrow(tidy(_sets, width, least_words), "node long, cluster long, side int, blocks int, shingles binary"), "paragraph-sets")
-    labels = components(written(block_links(sets, percent), "paragraph-links", parts))
+    sets = written(texts.mapInArrow(tidy(_sets, width, least_words), "node long, cluster long, side int, blocks int, shingles binary"), "paragraph-sets", path=set_path)
+    links = written(block_links(sets, percent), "paragraph-links", parts)
+    places = written(p.select("doc_id", "first_word", "words", "n", "sig_a", "sig_b"), "paragraph-places", parts)
+    for path in (all_path, set_path):  # the large tables have served
+        delete_path(spark, path)
+    labels = components(links)
 
     named = classes.join(labels, classes["sig_a"] == labels["node"], "left").select("n", "sig_a", "sig_b", "rep", "last_doc", F.coalesce("label", "sig_a").alias("component"))
     groups = named.groupBy("component").agg(F.min("rep").alias("keep"), F.max("last_doc").alias("last_doc")).where(F.col("keep.doc_id") < F.col("last_doc"))
     kept = written(named.join(groups.select("component", "keep"), "component").select("n", "sig_a", "sig_b", "keep"), "paragraph-groups", parts)
-    out = p.select("doc_id", "first_word", "words", "n", "sig_a", "sig_b").join(kept, ["n", "sig_a", "sig_b"])
+    out = places.join(kept, ["n", "sig_a", "sig_b"])
     return out.select(
         "doc_id", F.lit("paragraph").alias("kind"), "first_word", (F.col("first_word") + F.col("words") - 1).alias("last_word"),
         F.col("keep.doc_id").alias("keep_id"), (F.struct("doc_id", "first_word") != F.struct("keep.doc_id", "keep.first_word")).alias("removed"),

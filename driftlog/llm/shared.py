@@ -36,13 +36,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, files: int | None = None, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
 
     ``files``: at most so many files, for tables known to be small beside what they are made from.
+    ``path``: where, for a table that the caller drops when it has served.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     out = df if files is None else df.coalesce(files)
     out.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
