@@ -27,8 +27,12 @@ def whole_file(uri: str):
     store, path = store_of(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
     own = f"{path}.{uuid.uuid4().hex}.part"
-    with store.open_output_stream(own, compression=None) as out:
-        yield out
+    try:
+        with store.open_output_stream(own, compression=None) as out:
+            yield out
+    except BaseException:
+        store.delete_file(own)
+        raise
     store.move(own, path)
 
 
