@@ -1,12 +1,13 @@
 """Mixing documents to target weights of domains, with soft membership.
 
 Logistic models for toxic and for poor text, learned from a bounded sample of the labelled table over
-words that tell the classes apart and classes of shape, give every document a posterior over domains. Rates, one per document, are then fitted so that the expected token
-total of each domain, sum(rate * tokens * posterior), matches its target: least squares over relative
-errors, solved by projected gradient over all documents. A step needs one aggregate over the documents;
-what comes to the driver is one number per domain. The gradient is taken in the metric weighted by tokens,
-in which its Hessian is a mean of products of posteriors with eigenvalues of at most 1, so a step of 1 is
-stable and hard posteriors converge at once.
+words that tell the classes apart and classes of shape, give every document a posterior over domains.
+Rates, one per document, are then fitted so that the expected token total of each domain, sum(rate *
+tokens * posterior), matches its target: least squares over relative errors, solved by projected gradient
+over all documents. A step needs one aggregate over the documents; what comes to the driver is one number
+per domain. The gradient is taken in the metric weighted by tokens, in which its Hessian is a mean of
+products of posteriors with eigenvalues of at most 1, so a step of 1 is stable and hard posteriors
+converge at once.
 
 All of it is DataFrame expressions: words are exploded beside a broadcast table of at most
 ``MOST_FEATURES`` features and summed by document before the shuffle.

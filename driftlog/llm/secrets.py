@@ -12,8 +12,6 @@ id are candidates if one of them is, and verification decides for each; null ids
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
