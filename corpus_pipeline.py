@@ -26,7 +26,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.without_leaks(docs, read(spark, sf_dir, "benchmark"))
+    return decontaminate.without_leaks(docs, read(spark, sf_dir, "benchmark"), trimmed=False)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,10 +4,13 @@ A seed is a mask of word positions; the hash of a window covers the masked posit
 rest, so a substituted word at an ignored position does not hide a copy. The masks below hit every
 stretch of 13 words in which any two were substituted. Hashes of the test items are held in memory on
 each worker; every window of every training text is looked up, and around each hit the two texts are
-compared along the hit's diagonal. An overlap counts if its best-scoring stretch (a match gives 1, a
-substitution takes 4, so at least four words in five agree) has at least 13 words, or the whole item if
-that is shorter. Items of 8 to 12 words are found wherever a mask falls between their substitutions; an
-item with fewer words than a mask spans (8) says too little about its origin and is not searched.
+compared along the hit's diagonal. An overlap counts if in some 13 adjacent words of the item, or in the
+whole item if that is shorter, at least four words in five agree, wherever the others stand. Its place is
+the best-scoring stretch (a match gives 1, a substitution takes 4) if that has as many words, else the
+window with most words that agree; ``trimmed`` leaves the latter overlaps out, so substitutions near the
+ends of a short item hide it. An item of 8 to 12 words may have one substitution in five words, so it is
+cut into one piece more than that, and one piece at least is whole: the pieces are looked up like seeds.
+An item with fewer words than a mask spans (8) says too little about its origin and is not searched.
 
 Test items go to the workers in blocks of bounded size, each block against all texts; training texts are
 never shuffled. Words are lower-cased and stripped of all but letters and digits.
@@ -34,6 +37,8 @@ from driftlog.llm.words import U, hash_texts, mix, split_words
 #: positions that each mask looks at; together they hit 13 words with any two substituted (see the tests)
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 LEAST_WORDS = 13
+#: words of the shortest item that is searched
+LEAST_ITEM = max(m[-1] for m in MASKS) + 1
 #: characters of test items that are held by a worker at once
 BLOCK_CHARS = 16 << 20
 _FILTER_BITS = 22
@@ -69,6 +74,17 @@ def _windows(hashes: np.ndarray, counts: np.ndarray, mask: tuple[int, ...], salt
     return mix(out[at]), at
 
 
+def _pieces(starts: np.ndarray, counts: np.ndarray) -> dict[int, list[int]]:
+    """By size, the places of the pieces of items that are shorter than a window: one more than may have a substitution."""
+    out: dict[int, list[int]] = {}
+    for start, n in zip(starts.tolist(), counts.tolist(), strict=True):
+        if LEAST_ITEM <= n < LEAST_WORDS:
+            cuts = [n * k // (n // 5 + 1) for k in range(n // 5 + 2)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                out.setdefault(hi - lo, []).append(start + lo)
+    return out
+
+
 class Seeds:
     """Seed hashes of a block of test items."""
 
@@ -78,16 +94,19 @@ class Seeds:
         self.starts = np.cumsum(counts) - counts
         self.item = np.repeat(np.arange(len(counts)), counts)
         self.tables, self.filter = [], np.zeros(1 << _FILTER_BITS, bool)
-        for k, mask in enumerate(MASKS):
+        short = _pieces(self.starts, counts)
+        for k, mask in enumerate((*MASKS, *(tuple(range(size)) for size in sorted(short)))):
             seeds, at = _windows(hashes, counts, mask, k)
+            if k >= len(MASKS):
+                seeds, at = (x[np.isin(at, short[len(mask)])] for x in (seeds, at))
             order = np.argsort(seeds, kind="stable")
-            self.tables.append((seeds[order], at[order]))
+            self.tables.append((mask, seeds[order], at[order]))
             self.filter[seeds >> U(64 - _FILTER_BITS)] = True
 
     def hits(self, hashes: np.ndarray, counts: np.ndarray) -> set[tuple[int, int]]:
         """(item, place of its first word on the texts' words): diagonals to compare."""
         found: set[tuple[int, int]] = set()
-        for k, (mask, (seeds, places)) in enumerate(zip(MASKS, self.tables, strict=True)):
+        for k, (mask, seeds, places) in enumerate(self.tables):
             got, at = _windows(hashes, counts, mask, k)
             maybe = np.flatnonzero(self.filter[got >> U(64 - _FILTER_BITS)])
             lo, hi = np.searchsorted(seeds, got[maybe], "left"), np.searchsorted(seeds, got[maybe], "right")
@@ -107,7 +126,16 @@ def best_stretch(same: np.ndarray) -> tuple[int, int]:
     return int(np.flatnonzero(total[: end + 1] == low[end])[-1]), end
 
 
-def _overlaps(seeds: Seeds, texts: pa.Array) -> dict[tuple[int, int], tuple[int, int, int, int, int]]:
+def best_window(same: np.ndarray, words: int) -> tuple[int, int]:
+    """[start, end) of the window of so many words in which most agree, the first of equals; (0, 0) if under four in five."""
+    total = np.concatenate([[0], np.cumsum(same)])
+    agree = total[words:] - total[:-words]
+    if not len(agree) or 5 * agree.max() < 4 * words:
+        return 0, 0
+    return int(agree.argmax()), int(agree.argmax()) + words
+
+
+def _overlaps(seeds: Seeds, trimmed: bool, texts: pa.Array) -> dict[tuple[int, int], tuple[int, int, int, int, int]]:
     """For (row, item) pairs that overlap: length, minus first word, words that agree, first and last word."""
     hashes, counts = plain_words(texts)
     ends, best = np.cumsum(counts), {}
@@ -118,26 +146,28 @@ def _overlaps(seeds: Seeds, texts: pa.Array) -> dict[tuple[int, int], tuple[int,
         at = int(seeds.starts[item]) - diagonal
         same = hashes[lo:hi] == seeds.hashes[lo + at : hi + at]
         start, end = best_stretch(same)
-        if end - start >= min(LEAST_WORDS, n):
+        if end - start < (least := min(LEAST_WORDS, n)):
+            start, end = (0, 0) if trimmed else best_window(same, least)
+        if end > start:
             got = (end - start, -(lo + start - begin), int(same[start:end].sum()), lo + start - begin, lo + end - 1 - begin)
             best[row, item] = max(best.get((row, item), got), got)
     return best
 
 
-def _leaks(held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _leaks(held, trimmed: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seeds: Seeds = held.value
     for b in batches:
-        ids, best = b.column("doc_id").to_pylist(), _overlaps(seeds, b.column("text"))
+        ids, best = b.column("doc_id").to_pylist(), _overlaps(seeds, trimmed, b.column("text"))
         rows = [(ids[r], seeds.ids[i], m, size, int(seeds.counts[i]), first, last) for (r, i), (size, _, m, first, last) in sorted(best.items())]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         names = ["doc_id", "item_id", "matched", "overlap", "item_words", "first_word", "last_word"]
         yield pa.record_batch([pa.array([x[c] for x in rows], t) for c, t in enumerate(kinds)], names)
 
 
-def _clean(held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _clean(held, trimmed: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         clean = np.ones(b.num_rows, bool)
-        clean[[row for row, _ in _overlaps(held.value, pc.fill_null(b.column("text"), ""))]] = False
+        clean[[row for row, _ in _overlaps(held.value, trimmed, pc.fill_null(b.column("text"), ""))]] = False
         yield b.filter(pa.array(clean))
 
 
@@ -151,19 +181,19 @@ def _blocks(benchmark: DataFrame) -> Iterator:
             yield spark.sparkContext.broadcast(Seeds([r["item_id"] for r in got], [r["text"] for r in got]))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, trimmed: bool = True) -> DataFrame:
     """One row for each text and test item that overlap: how many words agree, and where in the text."""
     arrow_batches(docs.sparkSession)
     d, out = id_and_text(docs), None
     for held in _blocks(benchmark):
-        found = d.mapInArrow(tidy(_leaks, held), SCHEMA)
+        found = d.mapInArrow(tidy(_leaks, held, trimmed), SCHEMA)
         out = found if out is None else out.unionAll(found)
     return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, trimmed: bool = True) -> DataFrame:
     """``docs``, all columns, without the texts that overlap with a test item. Rows are judged one by one."""
     arrow_batches(docs.sparkSession)
     for held in _blocks(benchmark):
-        docs = docs.mapInArrow(tidy(_clean, held), docs.schema)
+        docs = docs.mapInArrow(tidy(_clean, held, trimmed), docs.schema)
     return docs

@@ -82,6 +82,29 @@ def test_best_stretches(same, want):
     assert (start, end) == want or start == end == 0 or (want[1] - want[0] == 0 and start == end)
 
 
+def test_a_substitution_anywhere_leaves_a_leak(spark):
+    rng = random.Random(5)
+    fresh = lambda k: [f"u{rng.randrange(10**9)}" for _ in range(k)]
+    items = {n: fresh(n) for n in (7, 8, 9, 10, 11, 12, 13, 15, 20)}
+    docs, want = [], set()
+    for n, item in items.items():
+        for k in range(4):
+            for wrong in itertools.combinations(range(n), k):
+                if k == 3 and rng.random() > 0.05:
+                    continue
+                same = [i not in wrong for i in range(n)]
+                w = min(13, n)
+                if n >= 8 and any(5 * sum(same[a : a + w]) >= 4 * w for a in range(n - w + 1)):
+                    want.add((len(docs), n))
+                docs.append((len(docs), " ".join(fresh(rng.randrange(9)) + [w if s else "other" for w, s in zip(item, same, strict=True)] + fresh(rng.randrange(9)))))
+    frame, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = decontaminate.find_leaks(frame, bench, trimmed=False).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(want) < len(docs)
+    assert all(5 * r["matched"] >= 4 * r["overlap"] and r["overlap"] >= min(13, r["item_words"]) for r in got)
+    kept = {r["doc_id"] for r in decontaminate.without_leaks(frame, bench, trimmed=False).collect()}
+    assert kept == {d for d, _ in docs} - {d for d, _ in want}
+
+
 # ---------------------------------------------------------------- languages
 
 
