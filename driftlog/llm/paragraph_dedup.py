@@ -1,11 +1,13 @@
 """Substring deduplication: near-duplicate paragraphs, and passages repeated inside paragraphs.
 
-Paragraphs. A paragraph is a line of a text with at least ``least_words`` words. Its set of word shingles
+Paragraphs. A paragraph is a line of a text with at least ``least_words`` words and, with ``blocks``, also
+all lines between blank ones together, so that wrapped text is compared as a whole. Its set of word shingles
 gets a MinHash signature in bands; a similarity of 0.8 collides in some band with probability
 1 - (1 - 0.8**rows)**bands, 0.9998 for the defaults. Paragraphs that share a band key are joined as stars,
 first inside a task and then between tasks, so a key never brings more rows to a task than there are
 tasks; connected stars are a cluster, inside which the exact Jaccard similarity decides (see
-``jaccard_join``). Linked paragraphs are a component; its first occurrence stays.
+``jaccard_join``). Linked paragraphs are a component; its first occurrence stays. Paragraphs shorter than a
+shingle link if they are equal, and are reported but not removed.
 
 Passages. A passage copied into the middle of a longer line leaves the line's similarity low, so no
 paragraph method can see it. All runs of ``width`` words are hashed, and of every ``window`` adjacent ones
@@ -35,7 +37,7 @@ from driftlog.llm.shared import arrow_batches, delete_path, id_and_text, new_pat
 from driftlog.llm.words import U, distinct, mix, shingles, split_words, word_hashes
 
 
-def paragraphs(texts: pa.Array, width: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def paragraphs(texts: pa.Array, width: int, least_words: int, blocks: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, number of words) of each paragraph; its sorted distinct shingles, and how many."""
     lines = pc.split_pattern(texts, "\n")
     per_text = pc.list_value_length(lines).to_numpy().astype(np.int64)
@@ -44,10 +46,23 @@ def paragraphs(texts: pa.Array, width: int, least_words: int) -> tuple[np.ndarra
     first_line = np.cumsum(per_text) - per_text
     before = np.cumsum(counts) - counts
     first_word = before - before[np.minimum(first_line, max(0, len(before) - 1))][owner] if len(before) else before
-    keep = counts >= least_words
-    hashes = word_hashes(words)[np.repeat(keep, counts)]
-    sets, n = distinct(*shingles(hashes, counts[keep], width))
-    return owner[keep], first_word[keep], counts[keep], sets, n
+    hashes = word_hashes(words)
+    found = []
+    for of, first, size, inside in [(owner, first_word, counts, hashes), *([_blocks(owner, first_word, counts, hashes)] if blocks else [])]:
+        keep = size >= least_words
+        found.append((of[keep], first[keep], size[keep], *distinct(*shingles(inside[np.repeat(keep, size)], size[keep], width))))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _blocks(owner: np.ndarray, first_word: np.ndarray, counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, first word, number of words, and hashes of all words) of the runs of two and more lines that are not blank."""
+    full = counts > 0
+    begins = full & np.r_[True, ~full[:-1] | (owner[1:] != owner[:-1])][: len(full)]
+    block = np.cumsum(begins)[full] - 1
+    size = np.bincount(block, weights=counts[full], minlength=int(begins.sum())).astype(np.int64)
+    several = np.bincount(block, minlength=len(size)) > 1
+    at = np.flatnonzero(begins)[several]
+    return owner[at], first_word[at], size[several], hashes[np.repeat(several, size)]
 
 
 def signatures(sets: np.ndarray, n: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -65,11 +80,11 @@ def signatures(sets: np.ndarray, n: np.ndarray, bands: int, rows: int) -> np.nda
     return out
 
 
-def _find(width: int, least_words: int, bands: int, rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find(width: int, least_words: int, blocks: bool, bands: int, rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Paragraphs with the hashes of their sets, and, once for each class of a task, band keys."""
     seen: set = set()
     for b in batches:
-        text, first, words, sets, n = paragraphs(b.column("text"), width, least_words)
+        text, first, words, sets, n = paragraphs(b.column("text"), width, least_words, blocks)
         if not len(n):
             continue
         starts = np.cumsum(n) - n
@@ -104,10 +119,10 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(keys[at : at + 100_000]), pa.array(nodes[at : at + 100_000])], ["key", "node"])
 
 
-def _sets(width: int, least_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(width: int, least_words: int, blocks: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets of the wanted paragraphs of each text (``wanted``: rows of node, cluster, side, blocks)."""
     for b in batches:
-        text, _, _, sets, n = paragraphs(b.column("text"), width, least_words)
+        text, _, _, sets, n = paragraphs(b.column("text"), width, least_words, blocks)
         wanted = [{w["node"]: w for w in x} for x in b.column("wanted").to_pylist()]
         out, at = [], 0
         for t, k in zip(text.tolist(), n.tolist(), strict=True):
@@ -119,13 +134,13 @@ def _sets(width: int, least_words: int, batches: Iterator[pa.RecordBatch]) -> It
         yield pa.record_batch([pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)], ["node", "cluster", "side", "blocks", "shingles"])
 
 
-def repeated_paragraphs(docs: DataFrame, width: int = 5, percent: int = 80, least_words: int = 25, bands: int = 12, rows: int = 3) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, width: int = 5, percent: int = 80, least_words: int = 25, bands: int = 12, rows: int = 3, blocks: bool = False) -> DataFrame:
     """Every occurrence of a paragraph that a near-duplicate of another document repeats."""
     spark = docs.sparkSession
     arrow_batches(spark)
     d = id_and_text(docs).where("doc_id IS NOT NULL")
     all_path, set_path = new_path(spark, "paragraphs"), new_path(spark, "paragraph-sets")
-    p = written(d.mapInArrow(tidy(_find, width, least_words, bands, rows), "doc_id long, first_word long, words long, n long, sig_a long, sig_b long, keys binary"), "paragraphs", path=all_path)
+    p = written(d.mapInArrow(tidy(_find, width, least_words, blocks, bands, rows), "doc_id long, first_word long, words long, n long, sig_a long, sig_b long, keys binary"), "paragraphs", path=all_path)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), p.count() * bands // CELLS + 1)
     keyed = p.where("keys IS NOT NULL").select("sig_a", "keys").mapInArrow(tidy(_keyed), "key long, node long").repartition(parts, "key")
     clusters = components(written(keyed.mapInArrow(tidy(_edges), "a long, b long").distinct(), "paragraph-stars", parts))
@@ -138,7 +153,7 @@ def repeated_paragraphs(docs: DataFrame, width: int = 5, percent: int = 80, leas
     ids = block_plan(wanted, "cluster", F.col("n") * 8).groupBy("rep").agg(F.collect_list(F.struct("node", "cluster", "side", "blocks")).alias("wanted"))  # paragraphs of one text
     ids = F.broadcast(ids) if wanted.count() <= SMALL else ids
     texts = d.join(ids, F.col("doc_id") == F.col("rep")).select("wanted", "text")
-    sets = written(texts.mapInArrow(tidy(_sets, width, least_words), "node long, cluster long, side int, blocks int, shingles binary"), "paragraph-sets", path=set_path)
+    sets = written(texts.mapInArrow(tidy(_sets, width, least_words, blocks), "node long, cluster long, side int, blocks int, shingles binary"), "paragraph-sets", path=set_path)
     links = written(block_links(sets, percent), "paragraph-links", parts)
     places = written(p.select("doc_id", "first_word", "words", "n", "sig_a", "sig_b"), "paragraph-places", parts)
     for path in (all_path, set_path):  # the large tables have served
@@ -151,7 +166,7 @@ def repeated_paragraphs(docs: DataFrame, width: int = 5, percent: int = 80, leas
     out = places.join(kept, ["n", "sig_a", "sig_b"])
     return out.select(
         "doc_id", F.lit("paragraph").alias("kind"), "first_word", (F.col("first_word") + F.col("words") - 1).alias("last_word"),
-        F.col("keep.doc_id").alias("keep_id"), (F.struct("doc_id", "first_word") != F.struct("keep.doc_id", "keep.first_word")).alias("removed"),
+        F.col("keep.doc_id").alias("keep_id"), ((F.struct("doc_id", "first_word") != F.struct("keep.doc_id", "keep.first_word")) & (F.col("words") >= width)).alias("removed"),
     )
 
 
@@ -211,4 +226,4 @@ def repeated_passages(docs: DataFrame, width: int = 30, window: int = 20) -> Dat
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Paragraphs and passages: ``doc_id, kind, first_word, last_word, keep_id, removed``."""
-    return repeated_paragraphs(docs).unionByName(repeated_passages(docs))
+    return repeated_paragraphs(docs, least_words=1, blocks=True).unionByName(repeated_passages(docs))

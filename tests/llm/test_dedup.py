@@ -210,6 +210,27 @@ def test_paragraphs_match_brute_force(spark):
     assert got == paragraph_expectation(rows, 5, 80, 25)
 
 
+def test_short_lines_and_wrapped_paragraphs_are_found(spark):
+    rng = random.Random(3)
+    fresh = lambda k: [f"u{rng.randrange(10**9)}" for _ in range(k)]
+    wrapped, short, tiny = fresh(96), " ".join(fresh(9)), "so it goes"
+    wrap = lambda w, k: "\n".join(" ".join(w[i : i + k]) for i in range(0, len(w), k))
+    near = ["other" if i in (5, 50) else w for i, w in enumerate(wrapped)]
+    rows = [
+        (1, wrap(wrapped, 12) + "\n\n" + " ".join(fresh(40))),
+        (2, " ".join(fresh(7)) + "\n\n" + wrap(near, 11)),
+        (3, short + "\n" + " ".join(fresh(30))),
+        (4, " ".join(fresh(20)) + "\n" + short + "\n\n" + tiny),
+        (5, tiny + "\n" + " ".join(fresh(12)) + "\n\n" + " ".join(fresh(3))),
+        (6, ""),
+        (7, "\n \n"),
+    ]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {tuple(r) for r in paragraph_dedup.repeated_spans(docs).where("kind = 'paragraph'").collect()}
+    want = {(1, 0, 95, 1, False), (2, 7, 102, 1, True), (3, 0, 8, 3, False), (4, 20, 28, 3, True), (4, 29, 31, 4, False), (5, 0, 2, 4, False)}
+    assert got == {(d, "paragraph", *x) for d, *x in want}
+
+
 def test_passages_inside_lines_are_found(spark):
     rng = random.Random(2)
     fresh = lambda k: [f"u{rng.randrange(10**9)}" for _ in range(k)]
