@@ -30,7 +30,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.sampled(docs, mixing.mix(docs, read(spark, sf_dir, "labels"), TARGETS))
+    return mixing.sampled(docs, mixing.mix(docs, read(spark, sf_dir, "labels"), TARGETS), sure=1.0)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,11 +131,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], **options
     return fit_rates(posteriors(docs, learn(docs, labels)), targets, **options).withColumn("rate", F.round("rate", 6))
 
 
-def sampled(docs: DataFrame, mixed: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
-    """``docs``, all columns, as the rates of ``mixed`` decide: a rate of one half and more keeps a document,
-    below that a hash of the document decides, with the rate as its chance to stay."""
+def sampled(docs: DataFrame, mixed: DataFrame, most_broadcast: int = 1_000_000, sure: float = 0.5) -> DataFrame:
+    """``docs``, all columns, as the rates of ``mixed`` decide: a rate of ``sure`` and more keeps a document,
+    below that a hash of the document decides, with the rate as its chance to stay. Only with a ``sure`` of 1
+    do the kept tokens follow the targets."""
     chance = F.pmod(F.xxhash64("doc_id", "h", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
-    gone = mixed.where((F.col("rate") < 0.5) & (chance >= F.col("rate"))).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    gone = mixed.where((F.col("rate") < sure) & (chance >= F.col("rate"))).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
     gone = written(gone, "mix-gone")
     gone = F.broadcast(gone) if gone.count() <= most_broadcast else gone
     text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))

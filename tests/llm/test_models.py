@@ -232,6 +232,16 @@ def test_rates_decide_what_stays(spark):
     assert 200 < sum(i is not None and i < 1000 for i in kept) < 300 and {None, *range(1000, 2000)} <= kept
 
 
+def test_kept_tokens_meet_the_targets(spark):
+    texts = [(i, f"t{i}") for i in range(20_000)]
+    docs = spark.createDataFrame(texts, DOCS)
+    poor = (F.col("doc_id") % 8 == 0).cast("double")  # a seventh of the good tokens, a ninth is asked for
+    soft = docs.select("doc_id", F.xxhash64("text").alias("h"), F.lit(10).cast("long").alias("tokens"), (1 - poor).alias("p_good"), poor.alias("p_poor"), F.lit(0.0).alias("p_toxic"))
+    kept = mixing.sampled(docs, mixing.fit_rates(soft, TARGETS), sure=1.0).select("doc_id").join(soft, "doc_id")
+    good, bad = kept.agg(F.sum(F.col("tokens") * F.col("p_good")), F.sum(F.col("tokens") * F.col("p_poor"))).first()
+    assert good == 175_000 and abs(bad / (good + bad) - TARGETS["poor"]) < 0.005
+
+
 def test_no_python_in_mixing(spark, soft):
     import re
 
