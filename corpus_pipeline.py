@@ -22,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_of_each(docs, jaccard_join.join_groups(docs, width=5, percent=80))
+    return jaccard_join.one_of_each(docs, jaccard_join.join_groups(docs, width=5, percent=80, texts=True))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,8 +75,8 @@ def _sketches(width: int, percent: int, batches: Iterator[pa.RecordBatch]) -> It
             own.append(_cells(s, n_cells(band, percent)).tobytes() if n else None)
             low.append(_cells(s, n_cells(band - 1, percent)).tobytes() if band > 0 and percent * n <= 100 * (2**band - 1) else None)
         yield pa.record_batch(
-            [b.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(np.array(sig_a, U).view(np.int64)), pa.array(np.array(sig_b, U).view(np.int64)), pa.array(own, pa.binary()), pa.array(low, pa.binary()), pa.array(np.full(len(counts), part, np.int32))],
-            ["doc_id", "n", "sig_a", "sig_b", "own", "low", "part"],
+            [b.column("doc_id"), b.column("h"), pa.array(counts.astype(np.int64)), pa.array(np.array(sig_a, U).view(np.int64)), pa.array(np.array(sig_b, U).view(np.int64)), pa.array(own, pa.binary()), pa.array(low, pa.binary()), pa.array(np.full(len(counts), part, np.int32))],
+            ["doc_id", "h", "n", "sig_a", "sig_b", "own", "low", "part"],
         )
 
 
@@ -319,13 +319,16 @@ def block_links(sets: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(tidy(_links, percent), "a long, b long")
 
 
-def join_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id`` (smallest id reachable by links)."""
+def join_groups(docs: DataFrame, width: int = 4, percent: int = 85, texts: bool = False) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id`` (smallest id reachable by links).
+
+    ``texts``: also ``h``, the hash of the text, and ``label``, the same for linked rows only.
+    """
     spark = docs.sparkSession
     arrow_batches(spark)
-    d = id_and_text(docs)
+    d = id_and_text(docs).withColumn("h", F.xxhash64("text"))
     sketch_path, set_path = new_path(spark, "sketches"), new_path(spark, "sets")
-    s = written(d.mapInArrow(tidy(_sketches, width, percent), "doc_id long, n long, sig_a long, sig_b long, own binary, low binary, part int"), "sketches", path=sketch_path)
+    s = written(d.mapInArrow(tidy(_sketches, width, percent), "doc_id long, h long, n long, sig_a long, sig_b long, own binary, low binary, part int"), "sketches", path=sketch_path)
     sketches = s.select("n", "sig_a", "sig_b", "own", "low", "part")
 
     # rarity: keys are counted by ranges, and each part of the table is told which of its keys others have
@@ -347,32 +350,40 @@ def join_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
     wanted = written(wanted, "clustered", parts)
     ids = block_plan(wanted, "cluster", F.col("n") * 8)
     ids = F.broadcast(ids) if wanted.count() <= SMALL else ids
-    texts = d.join(ids, F.col("doc_id") == F.col("rep")).select("node", "cluster", "side", "blocks", "text")
-    sets = written(texts.mapInArrow(tidy(_sets, width), "node long, cluster long, side int, blocks int, shingles binary"), "sets", path=set_path)
+    found = d.join(ids, F.col("doc_id") == F.col("rep")).select("node", "cluster", "side", "blocks", "text")
+    sets = written(found.mapInArrow(tidy(_sets, width), "node long, cluster long, side int, blocks int, shingles binary"), "sets", path=set_path)
     links = written(block_links(sets, percent), "links", parts)
-    ids = written(s.select("doc_id", "n", "sig_a", "sig_b"), "sketch-ids", parts)
+    ids = written(s.select("doc_id", "h", "n", "sig_a", "sig_b"), "sketch-ids", parts)
     for path in (sketch_path, set_path, folder):  # the large tables have served
         delete_path(spark, path)
     labels = components(links)
 
     linked = classes.join(labels, classes["sig_a"] == labels["node"]).select("node", "rep", "label")
     smallest = linked.groupBy("label").agg(F.min("rep").alias("smallest"))
-    to = written(linked.select("node", "label").distinct().join(smallest, "label").select("node", "smallest"), "link-components", parts)
+    to = written(linked.select("node", "label").distinct().join(smallest, "label").select("node", "smallest", "label"), "link-components", parts)
     out = ids.join(classes, ["n", "sig_a", "sig_b"], "left").join(to, F.col("sig_a") == to["node"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("smallest", "rep")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("smallest", "rep")).alias("component_id"), *([F.col("h"), F.coalesce("label", "sig_a").alias("label")] if texts else []))
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """``docs``, all columns, with one document of each group of ``join_groups``: that with the smallest id.
 
-    Rows that share an id and are linked are one document; rows with a null id all stay.
+    Rows that share an id and are linked are one document; rows with a null id all stay. Rows that share an id
+    and are not linked are judged one by one if ``groups`` has the texts' hashes, else by their id alone.
     """
-    groups = groups.where("doc_id IS NOT NULL AND n_shingles > 0")
-    gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    again = written(groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")), "repeated-ids")
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    if "h" not in groups.columns:
+        groups = groups.join(docs.select(F.col("doc_id").alias("_id"), text.alias("h")).distinct(), F.col("doc_id") == F.col("_id")).withColumn("label", F.col("component_id"))
+    groups = groups.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id", "label", "component_id", "h").agg(F.count("*").alias("n"))
+    groups = written(groups, "near-groups")
+    several = groups.where("doc_id = component_id").groupBy("doc_id", "label").agg(F.min("h").alias("first"), F.count("*").alias("texts")).where("texts > 1").select("doc_id", "label", "first")
+    other = groups.join(several, ["doc_id", "label"]).where("doc_id = component_id AND h <> first")
+    gone = written(groups.where("doc_id <> component_id").select("doc_id", "h").unionAll(other.select("doc_id", "h")).select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")).distinct(), "near-copies")
+    again = written(groups.where("n > 1").select(F.col("doc_id").alias("_again"), F.col("h").alias("_h")).distinct(), "repeated-ids")
     small = lambda t: F.broadcast(t) if t.count() <= SMALL else t
-    left = docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    left = docs.join(small(gone), (F.col("doc_id") == F.col("_gone")) & (text == F.col("_h")), "left_anti")
     if again.isEmpty():
         return left
-    once = left.join(small(again), F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(small(again), F.col("doc_id") == F.col("_again"), "left_anti").unionByName(once)
+    same = (F.col("doc_id") == F.col("_again")) & (text == F.col("_h"))
+    once = left.join(small(again), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(small(again), same, "left_anti").unionByName(once)

@@ -124,6 +124,14 @@ def test_one_of_each_group_stays(spark):
     assert kept.columns == docs.columns and sorted(map(str, (r["doc_id"] for r in kept.collect()))) == ["1", "5", "None"]
 
 
+def test_unlike_texts_of_one_id_stay(spark):
+    a, b, c = "a b c d e f", "p q r s t u", "k l m n o p"
+    rows = [(5, a), (5, a), (5, b), (7, b), (7, c), (5, a + " "), (8, "g h i j k l"), (8, "z y x w v u"), (None, a)]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = [tuple(r) for r in jaccard_join.one_of_each(docs, jaccard_join.join_groups(docs, texts=True)).collect()]
+    assert sorted((str(i), t.strip()) for i, t in kept) == sorted([("5", a), ("5", b), ("7", c), ("8", rows[6][1]), ("8", rows[7][1]), ("None", a)])
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_match_brute_force(spark, seed):
     rng, groups = random.Random(seed), Union()
