@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlog.llm.shared import written
+from driftlog.llm.shared import Scratch, written
 
 #: edges that go to one task when a round is written
 ROWS_A_FILE = 250_000
@@ -23,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges do no harm; rows with a null end are ignored; no edges give no rows.
     """
     files = most = edges.count() // ROWS_A_FILE + 1
-    now = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges", files)
+    scratch = Scratch(edges.sparkSession)
+    now = scratch.written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges", files)
     moves: list[DataFrame] = []
     while n := now.count():
         files = min(files, n // ROWS_A_FILE + 1)
@@ -31,15 +32,18 @@ def components(edges: DataFrame) -> DataFrame:
         seed = F.lit(len(moves))
         near = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", seed).alias("h"), F.col("b").alias("v"))).alias("near"))
         own = F.struct(F.xxhash64("a", seed).alias("h"), F.col("a").alias("v"))
-        move = written(near.select(F.col("a").alias("node"), F.least("near", own).getField("v").alias("label")), "cc-moves", files)
+        move = scratch.written(near.select(F.col("a").alias("node"), F.least("near", own).getField("v").alias("label")), "cc-moves", files)
         moves.append(move)
         to_a, to_b = move.select(F.col("node").alias("a"), F.col("label").alias("x")), move.select(F.col("node").alias("b"), F.col("label").alias("y"))
         ends = now.join(to_a, "a").join(to_b, "b").where("x <> y")
-        now = written(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges", files)
+        now = scratch.written(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges", files)
     if not moves:
+        scratch.drop()
         return edges.sparkSession.createDataFrame([], "node long, label long")
     out = moves[0]
     for move in moves[1:]:
         later = move.select(F.col("node").alias("label"), F.col("label").alias("further"))
         out = out.join(later, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
-    return written(out, "cc-labels", most)
+    out = written(out, "cc-labels", most)
+    scratch.drop()
+    return out

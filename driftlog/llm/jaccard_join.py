@@ -7,15 +7,16 @@ and m shingles with a Jaccard similarity of at least p % differ in at most D = (
 shingles, so with k > D they agree in at least k - D cells. By the pigeonhole principle they then share
 one of the D + 1 cells that come first in any order that is the same for all. k is fixed for a size band
 (sizes from a power of two to the next); a document that can pair with the band below has that band's
-sketch too. The order is by how often a cell occurs in the corpus, then by how many shingles it holds: all
+sketch too, and prefixes and cells of a band allow for partners of the band above. The order is by how often a cell occurs in the corpus, then by how many shingles it holds: all
 cells are counted, by ranges of keys, so cells that nobody shares fill the prefix first and are not sent at
 all, and unlike documents that share a passage do not meet.
 
 Cells are the join keys. Documents that share one form a chain of stars, first inside a task and then
 between tasks, so a key never brings more rows to a task than there are tasks. Connected stars are a
 cluster; inside a cluster one-bit parity sketches, whose Hamming distance lower-bounds the symmetric
-difference too, leave the pairs that the exact comparison of the sets then decides. A cluster of any size
-is compared block by block: only links are emitted, and none that the block's links already imply.
+difference too, leave the pairs that the exact comparison of the sets then decides, all of them. A cluster of
+any size is compared by pairs of blocks; what is emitted is, for each class, how many documents it links
+with and one member of its component, never the pairs.
 
 Equal sets are one class and stand for one document in all this. Classes are told apart by 128 bits of
 hash and the size, shingles by 64 bits.
@@ -23,11 +24,12 @@ hash and the size, shingles by 64 bits.
 Defined results: a null or empty text, or one without words, has the empty set and links with nothing; a
 text shorter than the shingle width is one shingle; rows that share an id are
 separate documents; a null id is never the smallest, and a class with null ids alone links with nothing
-and has a null component; other columns are ignored; an empty table gives an empty result.
+(it counts in no ``n_links`` either) and has a null component; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,17 +40,19 @@ from pyspark.sql import functions as F
 
 from driftlog.llm.components import components
 from driftlog.llm.files import opened, whole_file
-from driftlog.llm.shared import arrow_batches, delete_path, id_and_text, new_path, tidy, written
+from driftlog.llm.shared import Scratch, arrow_batches, id_and_text, own_name, spread_join, tidy, written
 from driftlog.llm.words import U, mix, shingle_sets
 
-#: documents, and bytes of their sets, in a block of a cluster
-BLOCK_DOCS, BLOCK_BYTES = 512, 16 << 20
+#: documents in a block of a cluster, blocks from which on blocks grow instead, documents in a block at most, and bytes of sets
+BLOCK_DOCS, MANY_BLOCKS, MOST_BLOCK_DOCS, BLOCK_BYTES = 128, 32, 2048, 16 << 20
 #: cells of a partition, and of a range of keys that are counted together
 CELLS = 2_000_000
 #: times that a task announces a key which several of its documents have
 MOST_TOLD = 8
 #: ids that may be broadcast
 SMALL = 400_000
+#: distinct shingles that are compared at a time
+_COLUMNS = 4096
 
 
 def most_apart(n: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -56,8 +60,14 @@ def most_apart(n: int | np.ndarray, percent: int) -> int | np.ndarray:
     return n * (100 - percent) // (100 + percent)
 
 
+def largest_prefix(n: int, percent: int) -> int:
+    """Cells that a set of ``n`` and any larger set it can link with cannot differ in, all of them."""
+    return int(most_apart(n + 100 * n // percent, percent)) + 1
+
+
 def n_cells(band: int, percent: int) -> int:
-    return int(most_apart(2 * (2 ** (band + 1) - 1), percent)) * 6 // 5 + 1
+    """Cells of a band: more than a set of it and a partner, also one of the next band, can differ in."""
+    return largest_prefix(2 ** (band + 1) - 1, percent) * 6 // 5 + 1
 
 
 def _sketches(width: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,14 +111,15 @@ def _keys(b: pa.RecordBatch, percent: int, seen: set) -> Iterator[tuple[np.ndarr
             continue
         seen.add((n, a, s))
         band = n.bit_length() - 1
-        for raw, level, partner in ((own, band, min(100 * n // percent, 2 ** (band + 1) - 1)), (low, band - 1, 2**band - 1)):
+        # partners of the own band's cells may be of the next band, whose cells of this band they meet
+        for raw, level, length in ((own, band, largest_prefix(n, percent)), (low, band - 1, int(most_apart(n + 2**band - 1, percent)) + 1)):
             if raw is not None:
                 cells = np.frombuffer(raw, U)
                 keys.append(mix(cells + U(0x9E3779B97F4A7C15) * np.arange(1, len(cells) + 1, dtype=U) + U((level + 1) * 0xD1B54A32D192ED03 % 2**64)))
                 held.append(cells & U(15))
                 owner.append(np.full(len(cells), len(nodes)))
                 nodes.append(a)
-                lengths.append(int(most_apart(n + partner, percent)) + 1)
+                lengths.append(length)
     if keys:
         yield np.concatenate(keys), np.concatenate(held).astype(np.int64), np.concatenate(owner), np.array(nodes, np.int64), np.array(lengths)
 
@@ -122,45 +133,51 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Record
 
 
 def _announce(percent: int, ranges: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All keys of each part, cut by ranges of keys: one row for a range and part, not for a key."""
+    """All keys of each part, cut by ranges of keys: one row for a range and part, not for a key. Every part has a row in range 0."""
     held: dict[int, tuple[set, list]] = {}
     for part, b in _by_part(batches):
         seen, got = held.setdefault(part, (set(), []))
         got += [k for k, *_ in _keys(b, percent, seen)]
     for part, (_, got) in held.items():
-        if got:
-            keys, n = np.unique(np.concatenate(got), return_counts=True)
-            keys = np.repeat(keys, np.minimum(n, MOST_TOLD))
-            cut = np.searchsorted((keys >> U(32)) * U(ranges) >> U(32), np.arange(ranges + 1, dtype=U)).tolist()
-            rows = [(r, keys[cut[r] : cut[r + 1]].tobytes()) for r in range(ranges) if cut[r] < cut[r + 1]]
-            for at in range(0, len(rows), 200):
-                some = rows[at : at + 200]
-                yield pa.record_batch([pa.array([r for r, _ in some], pa.int32()), pa.array([part] * len(some), pa.int32()), pa.array([k for _, k in some], pa.binary())], ["range", "part", "keys"])
+        keys, n = np.unique(np.concatenate([np.zeros(0, U), *got]), return_counts=True)
+        keys = np.repeat(keys, np.minimum(n, MOST_TOLD))
+        cut = np.searchsorted((keys >> U(32)) * U(ranges) >> U(32), np.arange(ranges + 1, dtype=U)).tolist()
+        rows = [(r, keys[cut[r] : cut[r + 1]].tobytes()) for r in range(ranges) if cut[r] < cut[r + 1] or not r]
+        for at in range(0, len(rows), 200):
+            some = rows[at : at + 200]
+            yield pa.record_batch([pa.array([r for r, _ in some], pa.int32()), pa.array([part] * len(some), pa.int32()), pa.array([k for _, k in some], pa.binary())], ["range", "part", "keys"])
+
+
+def _answers(rows: list[tuple[int, np.ndarray]], every: bool) -> pa.RecordBatch:
+    """For each (part, keys it has) those that occur more than once, and how often: one sort of all keys. ``every``: also parts with none."""
+    owner = np.repeat(np.arange(len(rows)), [len(k) for _, k in rows])
+    keys = np.concatenate([k for _, k in rows])
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    n = np.diff(first, append=len(keys))
+    times = np.repeat(n, n)
+    keep = times > 1
+    keep[1:] &= (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])  # a part is answered once
+    keys, times, owner = keys[keep], np.minimum(times[keep], 65_535).astype(np.uint16), owner[keep]
+    by = np.argsort(owner, kind="stable")
+    cut = np.searchsorted(owner[by], np.arange(len(rows) + 1)).tolist()
+    out = [(part, keys[by[lo:hi]].tobytes(), times[by[lo:hi]].tobytes()) for (part, _), lo, hi in zip(rows, cut, cut[1:], strict=False) if lo < hi or every]
+    return pa.record_batch([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "keys", "often"])
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """To each part, those of its keys in a range that occur more than once in the corpus, and how often."""
-
-    def answers(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate([k for _, k in rows]), return_counts=True)
-        keys, n = keys[n > 1], np.minimum(n[n > 1], 65_535).astype(np.uint16)
-        out = []
-        for part, told in rows:
-            at = np.flatnonzero(np.isin(keys, told, assume_unique=False, kind="sort"))
-            if len(at):
-                out.append((part, keys[at].tobytes(), n[at].tobytes()))
-        return pa.record_batch([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "keys", "often"])
-
     at, rows = -1, []
     for b in batches:
         for r, part, raw in zip(b.column("range").to_pylist(), b.column("part").to_pylist(), b.column("keys").to_pylist(), strict=True):
             if r != at and rows:
-                yield answers(rows)
+                yield _answers(rows, at == 0)
                 rows = []
             at = r
             rows.append((part, np.frombuffer(raw, U)))
     if rows:
-        yield answers(rows)
+        yield _answers(rows, at == 0)
 
 
 def _file_answers(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,13 +203,11 @@ def _file_answers(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 
 
 def _shared_keys(folder: str, part: int) -> tuple[np.ndarray, np.ndarray]:
-    try:
-        with opened(f"{folder}/part-{part}") as f:
-            raw = f.read()
-    except FileNotFoundError:  # none of its keys occurs elsewhere
-        return np.zeros(1, U), np.ones(1, np.uint16)
+    """Keys of a part that others have. Every part has a file, with no keys at least: one that is missing is an error."""
+    with opened(f"{folder}/part-{part}") as f:
+        raw = f.read()
     n = len(raw) // 10
-    return np.frombuffer(raw[: 8 * n], U), np.frombuffer(raw[8 * n :], np.uint16)
+    return (np.frombuffer(raw[: 8 * n], U), np.frombuffer(raw[8 * n :], np.uint16)) if n else (np.zeros(1, U), np.ones(1, np.uint16))
 
 
 def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -247,122 +262,253 @@ def _sets(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         ends = np.cumsum(counts).tolist()
         got = [sets[e - n : e] for e, n in zip(ends, counts.tolist(), strict=True)]
         own = [len(x) > 0 and int(np.bitwise_xor.reduce(x).view(np.int64)) == node for x, node in zip(got, b.column("node").to_pylist(), strict=True)]
-        out = pa.record_batch([*(b.column(c) for c in ("node", "cluster", "side", "blocks")), pa.array([x.tobytes() for x in got], pa.binary())], ["node", "cluster", "side", "blocks", "shingles"])
+        out = pa.record_batch([*(b.column(c) for c in ("node", "cluster", "side", "copies")), pa.array([x.tobytes() for x in got], pa.binary())], ["node", "cluster", "side", "copies", "shingles"])
         yield out.filter(pa.array(own, pa.bool_()))
 
 
-def _block_links(percent: int, left: int, right: int, nodes: list[int], sides: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between two sides of a block that no earlier link of the block implies."""
-    size, side = np.array([len(x) for x in sets], np.int64), np.array(sides)
-    words = 1 << max(0, int(4 * size.max() - 1).bit_length() - 6)  # at least four bits for each shingle of the largest set
-    sketch = np.zeros((len(sets), words), U)
-    for i, x in enumerate(sets):
-        bit = (mix(x) % U(64 * words)).astype(np.int64)
-        np.bitwise_xor.at(sketch[i], bit >> 6, U(1) << (bit & 63).astype(U))
-    root = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    found, cols = [], np.flatnonzero(side == right)
-    for i in np.flatnonzero(side == left).tolist():
-        others = cols[cols > i] if left == right else cols
-        n, m = size[i], size[others]
-        others = others[100 * np.minimum(n, m) >= percent * np.maximum(n, m)]
-        if not len(others):
-            continue
-        apart = np.bitwise_count(sketch[others] ^ sketch[i]).sum(1, dtype=np.int64)
-        near = apart <= most_apart(n + size[others], percent)
-        for j in others[near][np.argsort(apart[near], kind="stable")].tolist():
-            if find(i) != find(j):
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                    root[find(i)] = find(j)
-                    found.append((nodes[i], nodes[j]))
-    return found
-
-
-def _links(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of the blocks of a partition, whose rows come sorted by block."""
+# ---------------------------------------------------------------- clusters
+
+
+class Block:
+    """Sets of classes, each once: nodes, how many documents each stands for, and sorted distinct shingles."""
+
+    def __init__(self, rows: list[tuple[int, int, bytes]]) -> None:
+        rows = sorted({node: (node, copies, raw) for node, copies, raw in rows}.values(), key=lambda r: (len(r[2]), r[0]))
+        self.nodes = np.array([r[0] for r in rows], np.int64)
+        self.copies = np.array([r[1] for r in rows], np.int64)
+        self.sets = [np.frombuffer(r[2], U) for r in rows]
+        self.size = np.array([len(x) for x in self.sets], np.int64)
+
+    def sketches(self, words: int) -> np.ndarray:
+        """One-bit parity sketches."""
+        out = np.zeros((len(self.sets), words), U)
+        for i, x in enumerate(self.sets):
+            bit = (mix(x) % U(64 * words)).astype(np.int64)
+            np.bitwise_xor.at(out[i], bit >> 6, U(1) << (bit & 63).astype(U))
+        return out
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``a`` with all of ``b``, by products of incidence matrices."""
+    flat = np.concatenate([*a, *b])
+    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    _, column, n = np.unique(flat, return_inverse=True, return_counts=True)
+    several = n > 1
+    place = np.cumsum(several) - 1
+    keep = several[column]
+    column, owner = place[column[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(a), len(b)), np.float64)
+    cuts = np.searchsorted(column, np.arange(0, int(several.sum()) + _COLUMNS, _COLUMNS)).tolist()
+    for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        held = np.zeros((len(a) + len(b), _COLUMNS), np.float32)
+        held[owner[lo:hi], column[lo:hi] - k * _COLUMNS] = 1
+        out += held[: len(a)] @ held[len(a) :].T
+    return out.astype(np.int64)
+
+
+def linked_pairs(a: Block, b: Block, percent: int) -> np.ndarray:
+    """Whether sets of two blocks link. Parity sketches leave the pairs whose sets are compared, all of them."""
+    words = 1 << max(0, int(4 * max(a.size[-1], b.size[-1]) - 1).bit_length() - 6)  # at least four bits for each shingle of the largest set
+    left = a.sketches(words)
+    right = left if a is b else b.sketches(words)
+    near = np.zeros((len(left), len(right)), bool)
+    # sizes ascend: the partners that sizes allow are one stretch
+    lo = np.searchsorted(100 * b.size, percent * a.size, "left")
+    hi = np.searchsorted(percent * b.size, 100 * a.size, "right")
+    for i, (x, y) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
+        if x < y:
+            near[i, x:y] = np.bitwise_count(right[x:y] ^ left[i]).sum(1, dtype=np.int64) <= most_apart(a.size[i] + b.size[x:y], percent)
+    if a is b:
+        near &= np.tri(len(left), k=-1, dtype=bool)
+    rows, cols = np.nonzero(near)
+    if not len(rows):
+        return near
+    if len(rows) <= 4 * (len(left) + len(right)):
+        both = np.array([len(np.intersect1d(a.sets[i], b.sets[j], assume_unique=True)) for i, j in zip(rows.tolist(), cols.tolist(), strict=True)])
+    else:
+        r, c = np.unique(rows), np.unique(cols)
+        both = _common([a.sets[i] for i in r.tolist()], [b.sets[j] for j in c.tolist()])[np.searchsorted(r, rows), np.searchsorted(c, cols)]
+    near[rows, cols] = 100 * both >= percent * (a.size[rows] + b.size[cols] - both)
+    return near | near.T if a is b else near
+
+
+def _least_reached(linked: np.ndarray) -> np.ndarray:
+    """For each member of a symmetric relation the smallest one it reaches."""
+    label = np.arange(len(linked))
+    while True:
+        new = np.minimum(label, np.where(linked, label[None, :], len(label)).min(1, initial=len(label)))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def pair_links(a: Block, b: Block, percent: int) -> pa.RecordBatch:
+    """For members of two blocks (or of one, twice) that link: a member of the same component here, and the documents they link with."""
+    linked = linked_pairs(a, b, percent)
+    if a is b:
+        nodes, links, whole = a.nodes, linked @ a.copies, linked
+    else:
+        nodes, links = np.concatenate([a.nodes, b.nodes]), np.concatenate([linked @ b.copies, a.copies @ linked])
+        whole = np.block([[np.zeros((len(a.nodes),) * 2, bool), linked], [linked.T, np.zeros((len(b.nodes),) * 2, bool)]])
+    some = np.flatnonzero(links > 0)
+    to = nodes[some][_least_reached(whole[np.ix_(some, some)])] if len(some) else np.zeros(0, np.int64)
+    return pa.record_batch([pa.array(nodes[some]), pa.array(to.astype(np.int64)), pa.array(links[some].astype(np.int64))], ["node", "to", "links"])
+
+
+_LINKS = "node long, to long, links long"
+
+
+def _by_cluster(names: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list]]:
+    """Groups of rows that come sorted by ``names``: their key, and (node, copies, shingles) of each row with a node."""
     at, rows = None, []
+    for b in batches:
+        for *key, node, copies, raw in zip(*(b.column(c).to_pylist() for c in (*names, "node", "copies", "shingles")), strict=True):
+            if at != key:
+                if at is not None:
+                    yield tuple(at), rows
+                at, rows = key, []
+            if node is not None:
+                rows.append((node, copies, raw))
+    if at is not None:
+        yield tuple(at), rows
+
+
+def _small_links(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of whole clusters."""
+    for _, rows in _by_cluster(("cluster",), batches):
+        if len(rows) > 1:
+            block = Block(rows)
+            yield pair_links(block, block, percent)
+
 
-    def links() -> pa.RecordBatch:
-        found = _block_links(percent, at[1], at[2], *map(list, zip(*rows, strict=True))) if len(rows) > 1 else []
-        a, b = np.array(found, np.int64).reshape(-1, 2).T
-        return pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+_PART = struct.Struct("<qqq")
 
-    for batch in batches:
-        for cluster, lo, hi, side, node, raw in zip(*(batch.column(c).to_pylist() for c in ("cluster", "lo", "hi", "side", "node", "shingles")), strict=True):
-            if at != (cluster, lo, hi):
-                if len(rows) > 1:
-                    yield links()
-                at, rows = (cluster, lo, hi), []
-            rows.append((node, side, np.frombuffer(raw, U)))
-    if len(rows) > 1:
-        yield links()
+
+def _file_blocks(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One file for each block of a large cluster, also for an empty one."""
+    for (cluster, side), rows in _by_cluster(("cluster", "side"), batches):
+        with whole_file(f"{folder}/{cluster}-{side}") as out:
+            for node, copies, raw in rows:
+                out.write(_PART.pack(node, copies, len(raw)) + raw)
+        yield pa.record_batch([pa.array([cluster]), pa.array([side], pa.int32())], ["cluster", "side"])
+
+
+def _read_block(folder: str, cluster: int, side: int) -> Block:
+    with opened(f"{folder}/{cluster}-{side}") as f:
+        raw, at, rows = f.read(), 0, []
+    while at < len(raw):
+        node, copies, n = _PART.unpack_from(raw, at)
+        rows.append((node, copies, raw[at + _PART.size : at + _PART.size + n]))
+        at += _PART.size + n
+    return Block(rows)
+
+
+def _pair_links(folder: str, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of pairs of blocks, read from their files."""
+    for b in batches:
+        for cluster, lo, hi in zip(*(b.column(c).to_pylist() for c in ("cluster", "lo", "hi")), strict=True):
+            left = _read_block(folder, cluster, lo)
+            right = left if lo == hi else _read_block(folder, cluster, hi)
+            if len(left.nodes) and len(right.nodes):
+                yield pair_links(left, right, percent)
 
 
 def block_plan(nodes: DataFrame, cluster: str, size: Column) -> DataFrame:
     """``nodes`` of clusters of two and more, with their ``side`` of so many ``blocks``."""
     sizes = nodes.groupBy(cluster).agg(F.count("*").alias("docs"), F.sum(size).alias("bytes")).where("docs > 1")
-    sizes = sizes.select(F.col(cluster).alias("of"), F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    by_docs = F.greatest(F.least(F.ceil(F.col("docs") / BLOCK_DOCS), F.lit(MANY_BLOCKS)), F.ceil(F.col("docs") / MOST_BLOCK_DOCS))
+    sizes = sizes.select(F.col(cluster).alias("of"), F.greatest(by_docs, F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"), F.col("docs").alias("members"))
     return nodes.join(sizes, nodes[cluster] == sizes["of"]).drop("of").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
-def block_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (``a``, ``b``) inside clusters: every pair of sides of a cluster is one group of bounded size."""
-    dealt = sets.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("cluster", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "shingles")
-    return dealt.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(tidy(_links, percent), "a long, b long")
+def cluster_links(sets: DataFrame, planned: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Every linked class of ``sets`` (node, cluster, side, copies, shingles): rows (``node``, ``to`` in its component, ``links``: documents).
+
+    ``planned``: the clusters with their ``blocks``. Clusters of one block are groups of bounded size. A larger one is written
+    in blocks, a file each, and every pair of blocks is one row of a task, however many blocks the cluster has.
+    """
+    spark = sets.sparkSession
+    large = scratch.written(planned.where("blocks > 1").select("cluster", "blocks").distinct(), "large-clusters", 1)
+    clusters, pairs = large.agg(F.count("*"), F.coalesce(F.sum(F.expr("blocks * (blocks + 1) div 2")), F.lit(0))).first()
+    few = F.broadcast(large.select("cluster")) if clusters <= SMALL else large.select("cluster")
+    small = sets.join(few, "cluster", "left_anti") if clusters else sets
+    out = small.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(tidy(_small_links, percent), _LINKS)
+    if not clusters:
+        return scratch.written(out, "links")
+    folder = scratch.path("blocks")
+    every = large.select(F.lit(None).cast("long").alias("node"), "cluster", F.explode(F.expr("sequence(0, blocks - 1)")).alias("side"), F.lit(0).cast("long").alias("copies"), F.lit(None).cast("binary").alias("shingles"))
+    dealt = sets.join(few, "cluster", "left_semi").unionByName(every).repartition("cluster", "side").sortWithinPartitions("cluster", "side")
+    dealt.mapInArrow(tidy(_file_blocks, folder), "cluster long, side int").count()
+    tasks = large.select("cluster", "blocks", F.explode(F.expr("sequence(0, blocks - 1)")).alias("lo")).select("cluster", "lo", F.explode(F.expr("sequence(lo, blocks - 1)")).alias("hi"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = scratch.written(tasks, "block-pairs")
+    dealt = tasks.repartition(min(pairs, max(least, pairs // 32)))
+    return scratch.written(out.unionAll(dealt.mapInArrow(tidy(_pair_links, folder, percent), _LINKS)), "links")
+
+
+def link_edges(links: DataFrame) -> DataFrame:
+    return links.where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b"))
 
 
 def join_groups(docs: DataFrame, width: int = 4, percent: int = 85, texts: bool = False) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id`` (smallest id reachable by links).
+    """One row per document: ``doc_id, n_shingles, component_id`` (smallest id reachable by links), ``n_links`` (documents it links with).
 
     ``texts``: also ``h``, the hash of the text, and ``label``, the same for linked rows only.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
+    scratch, sketch_scratch = Scratch(spark), Scratch(spark)
     d = id_and_text(docs).withColumn("h", F.xxhash64("text"))
-    sketch_path, set_path = new_path(spark, "sketches"), new_path(spark, "sets")
-    s = written(d.mapInArrow(tidy(_sketches, width, percent), "doc_id long, h long, n long, sig_a long, sig_b long, own binary, low binary, part int"), "sketches", path=sketch_path)
+    s = sketch_scratch.written(d.mapInArrow(tidy(_sketches, width, percent), "doc_id long, h long, n long, sig_a long, sig_b long, own binary, low binary, part int"), "sketches")
     sketches = s.select("n", "sig_a", "sig_b", "own", "low", "part")
 
     # rarity: keys are counted by ranges, and each part of the table is told which of its keys others have
     cells = int(s.agg(F.sum(F.expr(f"n * {100 - percent} * 3 div {100 + percent} + 2"))).first()[0] or 0)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cells // CELLS + 1)
-    folder = new_path(spark, "shared-keys")
+    folder = sketch_scratch.path("shared-keys")
     told = sketches.mapInArrow(tidy(_announce, percent, parts), "range int, part int, keys binary").repartition(parts, "range").sortWithinPartitions("range")
     answers = told.mapInArrow(tidy(_answer), "part int, keys binary, often binary").repartition("part").sortWithinPartitions("part")
     answers.mapInArrow(tidy(_file_answers, folder), "part int").count()
 
     # candidates: stars of documents that share a rare cell
     keyed = sketches.mapInArrow(tidy(_prefixes, percent, folder), "key long, node long").repartition(parts, "key")
-    stars = written(keyed.mapInArrow(tidy(_edges), "a long, b long").distinct(), "star-edges", parts)
+    stars = scratch.written(keyed.mapInArrow(tidy(_edges), "a long, b long").distinct(), "star-edges", parts)
+    ids = scratch.written(s.select("doc_id", "h", "n", "sig_a", "sig_b"), "sketch-ids", parts)
+    sketch_scratch.drop()  # the large table has served
     clusters = components(stars)
 
     # sets of one document of each clustered class
-    classes = written(s.where("n > 0").groupBy("n", "sig_a", "sig_b").agg(F.min("doc_id").alias("rep")), "classes", parts)
-    wanted = classes.join(clusters, classes["sig_a"] == clusters["node"]).where("rep IS NOT NULL").select("rep", "node", "n", F.col("label").alias("cluster"))
-    wanted = written(wanted, "clustered", parts)
-    ids = block_plan(wanted, "cluster", F.col("n") * 8)
-    ids = F.broadcast(ids) if wanted.count() <= SMALL else ids
-    found = d.join(ids, F.col("doc_id") == F.col("rep")).select("node", "cluster", "side", "blocks", "text")
-    sets = written(found.mapInArrow(tidy(_sets, width), "node long, cluster long, side int, blocks int, shingles binary"), "sets", path=set_path)
-    links = written(block_links(sets, percent), "links", parts)
-    ids = written(s.select("doc_id", "h", "n", "sig_a", "sig_b"), "sketch-ids", parts)
-    for path in (sketch_path, set_path, folder):  # the large tables have served
-        delete_path(spark, path)
-    labels = components(links)
-
-    linked = classes.join(labels, classes["sig_a"] == labels["node"]).select("node", "rep", "label")
-    smallest = linked.groupBy("label").agg(F.min("rep").alias("smallest"))
-    to = written(linked.select("node", "label").distinct().join(smallest, "label").select("node", "smallest", "label"), "link-components", parts)
-    out = ids.join(classes, ["n", "sig_a", "sig_b"], "left").join(to, F.col("sig_a") == to["node"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("smallest", "rep")).alias("component_id"), *([F.col("h"), F.coalesce("label", "sig_a").alias("label")] if texts else []))
+    classes = scratch.written(ids.where("n > 0").groupBy("n", "sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes", parts)
+    wanted = classes.join(clusters, classes["sig_a"] == clusters["node"]).where("rep IS NOT NULL").select("rep", "node", "n", "copies", F.col("label").alias("cluster"))
+    wanted = scratch.written(wanted, "clustered", parts)
+    planned = scratch.written(block_plan(wanted, "cluster", F.col("n") * 8), "cluster-plan", parts)
+    few = F.broadcast(planned) if planned.count() <= SMALL else planned
+    found = d.join(few, F.col("doc_id") == F.col("rep")).select("node", "cluster", "side", "copies", "text")
+    set_scratch = Scratch(spark)
+    sets = set_scratch.written(found.mapInArrow(tidy(_sets, width), "node long, cluster long, side int, copies long, shingles binary"), "sets")
+    links = cluster_links(sets, planned, percent, set_scratch)
+    degrees = scratch.written(links.groupBy("node").agg(F.sum("links").alias("links")), "degrees", parts)
+    edges = scratch.written(link_edges(links).distinct(), "link-edges", parts)
+    set_scratch.drop()
+    labels = components(edges)
+
+    linked = scratch.written(classes.join(labels, classes["sig_a"] == labels["node"]).select("node", "rep", "label"), "linked", parts)
+    smallest = scratch.written(linked.groupBy("label").agg(F.min("rep").alias("smallest"), F.count("*").alias("members")), "smallest", parts)
+    to = spread_join(linked, smallest, ["label"], "members").groupBy("node").agg(F.min("smallest").alias("smallest"), F.min("label").alias("label"))
+    known = classes.join(to, classes["sig_a"] == to["node"], "left").drop("node").join(degrees, F.col("sig_a") == degrees["node"], "left")
+    known = known.select(
+        "n", "sig_a", "sig_b", "copies", F.coalesce("smallest", "rep").alias("component_id"), F.coalesce("label", "sig_a").alias("label"),
+        F.when(F.col("rep").isNull(), 0).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
+    )
+    known = scratch.written(known, "class-links", parts)
+    out = spread_join(ids.where("n > 0"), known, ["n", "sig_a", "sig_b"], "copies").select("doc_id", "h", "n", "component_id", "label", "n_links")
+    empty = ids.where("n = 0").select("doc_id", "h", "n", F.col("doc_id").alias("component_id"), F.col("sig_a").alias("label"), F.lit(0).cast("long").alias("n_links"))
+    out = written(out.unionByName(empty).withColumnRenamed("n", "n_shingles"), "groups", parts)
+    scratch.drop()
+    return out.select("doc_id", "n_shingles", "component_id", "n_links", *(["h", "label"] if texts else []))
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -372,18 +518,20 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     and are not linked are judged one by one if ``groups`` has the texts' hashes, else by their id alone.
     """
     text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    the_id, the_hash = own_name("near_id", docs, groups), own_name("near_hash", docs, groups)
     if "h" not in groups.columns:
-        groups = groups.join(docs.select(F.col("doc_id").alias("_id"), text.alias("h")).distinct(), F.col("doc_id") == F.col("_id")).withColumn("label", F.col("component_id"))
+        groups = groups.join(docs.select(F.col("doc_id").alias(the_id), text.alias("h")).distinct(), F.col("doc_id") == F.col(the_id)).withColumn("label", F.col("component_id"))
     groups = groups.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id", "label", "component_id", "h").agg(F.count("*").alias("n"))
     groups = written(groups, "near-groups")
     several = groups.where("doc_id = component_id").groupBy("doc_id", "label").agg(F.min("h").alias("first"), F.count("*").alias("texts")).where("texts > 1").select("doc_id", "label", "first")
     other = groups.join(several, ["doc_id", "label"]).where("doc_id = component_id AND h <> first")
-    gone = written(groups.where("doc_id <> component_id").select("doc_id", "h").unionAll(other.select("doc_id", "h")).select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")).distinct(), "near-copies")
-    again = written(groups.where("n > 1").select(F.col("doc_id").alias("_again"), F.col("h").alias("_h")).distinct(), "repeated-ids")
+    named = lambda t: t.select(F.col("doc_id").alias(the_id), F.col("h").alias(the_hash)).distinct()
+    gone = written(named(groups.where("doc_id <> component_id").select("doc_id", "h").unionAll(other.select("doc_id", "h"))), "near-copies")
+    again = written(named(groups.where("n > 1")), "repeated-ids")
     small = lambda t: F.broadcast(t) if t.count() <= SMALL else t
-    left = docs.join(small(gone), (F.col("doc_id") == F.col("_gone")) & (text == F.col("_h")), "left_anti")
+    same = (F.col("doc_id") == F.col(the_id)) & (text == F.col(the_hash))
+    left = docs.join(small(gone), same, "left_anti")
     if again.isEmpty():
         return left
-    same = (F.col("doc_id") == F.col("_again")) & (text == F.col("_h"))
     once = left.join(small(again), same, "left_semi").dropDuplicates(["doc_id", "text"])
     return left.join(small(again), same, "left_anti").unionByName(once)

@@ -1,8 +1,9 @@
 """DuckDB SQL for those corpus queries that SQL can express.
 
 Spans are found by the plain patterns of the contracts: extracted matches and the texts between them give
-places as running lengths. Token files, classifiers and set-similarity joins have no SQL; their tests
-compare them with brute force.
+places as running lengths. The Jaccard join counts common shingles
+of all pairs and follows links by recursion. Token files and classifiers have no SQL; their tests compare
+them with brute force.
 """
 
 from __future__ import annotations
@@ -90,6 +91,16 @@ ORACLE_SQL: dict[str, str] = {
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
         r AS (SELECT doc_id, norm, count(*) OVER (PARTITION BY norm) AS group_size, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r""",
+    "op9_jaccard_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+              ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS g FROM d),
+        k AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+        e AS (SELECT a, b FROM p JOIN k x ON x.doc_id = a JOIN k y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.c)
+        SELECT r.doc_id, coalesce(any_value(k.n), 0) AS n_shingles, min(r.c) AS component_id, coalesce(any_value(l.links), 0) AS n_links
+        FROM r LEFT JOIN k ON k.doc_id = r.doc_id LEFT JOIN (SELECT a, count(*) AS links FROM e GROUP BY a) l ON l.a = r.doc_id GROUP BY r.doc_id""",
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         r AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS keep FROM p)

@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlog.llm.components import components
-from driftlog.llm.jaccard_join import CELLS, SMALL, _edges, _stars, block_links, block_plan
-from driftlog.llm.shared import arrow_batches, delete_path, id_and_text, new_path, tidy, written
+from driftlog.llm.jaccard_join import CELLS, SMALL, _edges, _stars, block_plan, cluster_links, link_edges
+from driftlog.llm.shared import Scratch, arrow_batches, id_and_text, spread_join, tidy, written
 from driftlog.llm.words import U, distinct, mix, shingles, split_words, word_hashes
 
 
@@ -120,7 +120,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(width: int, least_words: int, blocks: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets of the wanted paragraphs of each text (``wanted``: rows of node, cluster, side, blocks)."""
+    """Sets of the wanted paragraphs of each text (``wanted``: rows of node, cluster, side, copies)."""
     for b in batches:
         text, _, _, sets, n = paragraphs(b.column("text"), width, least_words, blocks)
         wanted = [{w["node"]: w for w in x} for x in b.column("wanted").to_pylist()]
@@ -129,45 +129,51 @@ def _sets(width: int, least_words: int, blocks: bool, batches: Iterator[pa.Recor
             s = sets[at : at + k]
             at += k
             if (w := wanted[t].pop(int(np.bitwise_xor.reduce(s).view(np.int64)), None)) is not None:
-                out.append((w["node"], w["cluster"], w["side"], w["blocks"], s.tobytes()))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        yield pa.record_batch([pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)], ["node", "cluster", "side", "blocks", "shingles"])
+                out.append((w["node"], w["cluster"], w["side"], w["copies"], s.tobytes()))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        yield pa.record_batch([pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)], ["node", "cluster", "side", "copies", "shingles"])
 
 
-def repeated_paragraphs(docs: DataFrame, width: int = 5, percent: int = 80, least_words: int = 25, bands: int = 12, rows: int = 3, blocks: bool = False) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, width: int = 5, percent: int = 80, least_words: int = 1, bands: int = 12, rows: int = 3, blocks: bool = True) -> DataFrame:
     """Every occurrence of a paragraph that a near-duplicate of another document repeats."""
     spark = docs.sparkSession
     arrow_batches(spark)
+    scratch, set_scratch = Scratch(spark), Scratch(spark)
     d = id_and_text(docs).where("doc_id IS NOT NULL")
-    all_path, set_path = new_path(spark, "paragraphs"), new_path(spark, "paragraph-sets")
-    p = written(d.mapInArrow(tidy(_find, width, least_words, blocks, bands, rows), "doc_id long, first_word long, words long, n long, sig_a long, sig_b long, keys binary"), "paragraphs", path=all_path)
+    p = set_scratch.written(d.mapInArrow(tidy(_find, width, least_words, blocks, bands, rows), "doc_id long, first_word long, words long, n long, sig_a long, sig_b long, keys binary"), "paragraphs")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), p.count() * bands // CELLS + 1)
     keyed = p.where("keys IS NOT NULL").select("sig_a", "keys").mapInArrow(tidy(_keyed), "key long, node long").repartition(parts, "key")
-    clusters = components(written(keyed.mapInArrow(tidy(_edges), "a long, b long").distinct(), "paragraph-stars", parts))
+    stars = scratch.written(keyed.mapInArrow(tidy(_edges), "a long, b long").distinct(), "paragraph-stars", parts)
+    places = scratch.written(p.select("doc_id", "first_word", "words", "n", "sig_a", "sig_b"), "paragraph-places", parts)
+    set_scratch.drop()  # the large table has served
+    clusters = components(stars)
 
     first = F.struct("doc_id", "first_word")
-    classes = p.groupBy("n", "sig_a", "sig_b").agg(F.min(first).alias("rep"), F.max("doc_id").alias("last_doc"))
-    classes = written(classes, "paragraph-classes")
-    wanted = classes.join(clusters, classes["sig_a"] == clusters["node"]).select(F.col("rep.doc_id").alias("rep"), "node", "n", F.col("label").alias("cluster"))
-    wanted = written(wanted, "paragraph-clustered", parts)
-    ids = block_plan(wanted, "cluster", F.col("n") * 8).groupBy("rep").agg(F.collect_list(F.struct("node", "cluster", "side", "blocks")).alias("wanted"))  # paragraphs of one text
-    ids = F.broadcast(ids) if wanted.count() <= SMALL else ids
+    classes = places.groupBy("n", "sig_a", "sig_b").agg(F.min(first).alias("rep"), F.max("doc_id").alias("last_doc"), F.count("*").alias("copies"))
+    classes = scratch.written(classes, "paragraph-classes", parts)
+    wanted = classes.join(clusters, classes["sig_a"] == clusters["node"]).select(F.col("rep.doc_id").alias("rep"), "node", "n", "copies", F.col("label").alias("cluster"))
+    wanted = scratch.written(wanted, "paragraph-clustered", parts)
+    planned = scratch.written(block_plan(wanted, "cluster", F.col("n") * 8), "paragraph-plan", parts)
+    ids = planned.groupBy("rep").agg(F.collect_list(F.struct("node", "cluster", "side", "copies")).alias("wanted"))  # paragraphs of one text
+    ids = F.broadcast(ids) if planned.count() <= SMALL else ids
     texts = d.join(ids, F.col("doc_id") == F.col("rep")).select("wanted", "text")
-    sets = written(texts.mapInArrow(tidy(_sets, width, least_words, blocks), "node long, cluster long, side int, blocks int, shingles binary"), "paragraph-sets", path=set_path)
-    links = written(block_links(sets, percent), "paragraph-links", parts)
-    places = written(p.select("doc_id", "first_word", "words", "n", "sig_a", "sig_b"), "paragraph-places", parts)
-    for path in (all_path, set_path):  # the large tables have served
-        delete_path(spark, path)
-    labels = components(links)
-
-    named = classes.join(labels, classes["sig_a"] == labels["node"], "left").select("n", "sig_a", "sig_b", "rep", "last_doc", F.coalesce("label", "sig_a").alias("component"))
-    groups = named.groupBy("component").agg(F.min("rep").alias("keep"), F.max("last_doc").alias("last_doc")).where(F.col("keep.doc_id") < F.col("last_doc"))
-    kept = written(named.join(groups.select("component", "keep"), "component").select("n", "sig_a", "sig_b", "keep"), "paragraph-groups", parts)
-    out = places.join(kept, ["n", "sig_a", "sig_b"])
-    return out.select(
+    sets = set_scratch.written(texts.mapInArrow(tidy(_sets, width, least_words, blocks), "node long, cluster long, side int, copies long, shingles binary"), "paragraph-sets")
+    edges = scratch.written(link_edges(cluster_links(sets, planned, percent, set_scratch)).distinct(), "paragraph-links", parts)
+    set_scratch.drop()
+    labels = components(edges)
+
+    named = classes.join(labels, classes["sig_a"] == labels["node"], "left").select("n", "sig_a", "sig_b", "rep", "last_doc", "copies", F.coalesce("label", "sig_a").alias("component"))
+    named = scratch.written(named, "paragraph-components", parts)
+    groups = named.groupBy("component").agg(F.min("rep").alias("keep"), F.max("last_doc").alias("last_doc"), F.count("*").alias("members")).where(F.col("keep.doc_id") < F.col("last_doc"))
+    groups = scratch.written(groups, "paragraph-keepers", parts)
+    kept = scratch.written(spread_join(named, groups.select("component", "keep", "members"), ["component"], "members").select("n", "sig_a", "sig_b", "keep", "copies"), "paragraph-groups", parts)
+    out = spread_join(places, kept, ["n", "sig_a", "sig_b"], "copies").select(
         "doc_id", F.lit("paragraph").alias("kind"), "first_word", (F.col("first_word") + F.col("words") - 1).alias("last_word"),
         F.col("keep.doc_id").alias("keep_id"), ((F.struct("doc_id", "first_word") != F.struct("keep.doc_id", "keep.first_word")) & (F.col("words") >= width)).alias("removed"),
     )
+    out = written(out, "repeated-paragraphs")
+    scratch.drop()
+    return out
 
 
 # ---------------------------------------------------------------- passages
@@ -211,19 +217,24 @@ def _runs(width: int, window: int, batches: Iterator[pa.RecordBatch]) -> Iterato
 
 def repeated_passages(docs: DataFrame, width: int = 30, window: int = 20) -> DataFrame:
     """Stretches of words that another document has too."""
-    arrow_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    scratch = Scratch(spark)
     runs = id_and_text(docs).where("doc_id IS NOT NULL").mapInArrow(tidy(_runs, width, window), "run long, doc_id long, at long")
+    runs = scratch.written(runs, "selected-runs")
     # partial sums before the shuffle: a run that many documents share arrives as one row from each task
-    shared = runs.groupBy("run").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last")).where("keep_id < last").select("run", "keep_id")
-    shared = written(shared, "shared-runs")
-    found = runs.join(shared, "run").select("doc_id", "at", "keep_id", (F.col("doc_id") != F.col("keep_id")).alias("removed"))
+    shared = runs.groupBy("run").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last"), F.count("*").alias("times")).where("keep_id < last")
+    shared = scratch.written(shared.select("run", "keep_id", "times"), "shared-runs")
+    found = spread_join(runs, shared, ["run"], "times").select("doc_id", "at", "keep_id", (F.col("doc_id") != F.col("keep_id")).alias("removed"))
     place = Window.partitionBy("doc_id", "removed").orderBy("at")
     found = found.withColumn("fresh", F.coalesce(F.col("at") > F.lag("at").over(place) + width, F.lit(True)).cast("long"))
     found = found.withColumn("stretch", F.sum("fresh").over(place.rowsBetween(Window.unboundedPreceding, 0)))
     out = found.groupBy("doc_id", "removed", "stretch").agg(F.min("at").alias("first_word"), (F.max("at") + width - 1).alias("last_word"), F.min("keep_id").alias("keep_id"))
-    return out.select("doc_id", F.lit("passage").alias("kind"), "first_word", "last_word", "keep_id", "removed")
+    out = written(out.select("doc_id", F.lit("passage").alias("kind"), "first_word", "last_word", "keep_id", "removed"), "repeated-passages")
+    scratch.drop()
+    return out
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Paragraphs and passages: ``doc_id, kind, first_word, last_word, keep_id, removed``."""
-    return repeated_paragraphs(docs, least_words=1, blocks=True).unionByName(repeated_passages(docs))
+    return repeated_paragraphs(docs).unionByName(repeated_passages(docs))

@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="driftlog-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         path = f"file://{own}"
@@ -49,6 +51,49 @@ def written(df: DataFrame, name: str, files: int | None = None, path: str | None
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables written to the shared folder for one computation, removed together when they have served."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def path(self, name: str) -> str:
+        self.paths.append(new_path(self.spark, name))
+        return self.paths[-1]
+
+    def written(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+        return written(df, name, files, self.path(name))
+
+    def drop(self) -> None:
+        while self.paths:
+            delete_path(self.spark, self.paths.pop())
+
+
+#: most keys that ``spread_join`` calls hot, and rows under which no key is
+MOST_HOT, LEAST_HOT = 50_000, 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """Inner join with ``right``, a written table of one row a key; its column ``rows`` says how many rows of ``left`` have the key.
+
+    Keys with many rows are broadcast, at most ``MOST_HOT`` of them since their rows add up to the whole;
+    the others are joined by a shuffle, in which no key is large. ``left`` is read twice.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    limit = max(LEAST_HOT, total // MOST_HOT)
+    hot, cold = F.broadcast(right.where(F.col(rows) > limit)), right.where(F.col(rows) <= limit)
+    rest = left.join(F.broadcast(right.where(F.col(rows) > limit).select(*keys)), keys, "left_anti").join(cold, keys)
+    return left.join(hot, keys).unionByName(rest)
+
+
+def own_name(name: str, *frames: DataFrame) -> str:
+    """``name``, made longer until no column of the frames has it (in any case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written_one(df: DataFrame, name: str) -> DataFrame:
     """``written`` for a list of files or tasks: one row per task of the job that made it, in one file."""
     return written(df.repartition(1), name)

@@ -70,14 +70,65 @@ def corpus(seed, n=160, vocabulary=400):
 @pytest.mark.parametrize(("seed", "width", "percent"), [(1, 4, 85), (2, 5, 80), (3, 1, 90)])
 def test_join_groups_match_brute_force(spark, seed, width, percent):
     rows = corpus(seed)
-    sets, groups = {i: shingle_set(words_of(t), width) for i, t in rows}, Union()
+    sets, groups, links = {i: shingle_set(words_of(t), width) for i, t in rows}, Union(), collections.Counter()
     for a in sets:
         for b in sets:
             if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 groups.join(a, b)
+                links.update((a, b))
     docs = spark.createDataFrame(rows, DOCS).repartition(4).selectExpr("*", "1 AS node", "2 AS n", "'x' AS label")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join_groups(docs, width, percent).collect()}
-    assert got == {i: (len(s), groups.find(i)) for i, s in sets.items()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.join_groups(docs, width, percent).collect()}
+    assert got == {i: (len(s), groups.find(i), links[i]) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize(("percent", "sizes"), [(85, [(15, 17), (30, 35), (60, 70), (127, 149), (28, 32), (64, 75)]), (80, [(28, 35), (120, 150), (15, 18), (13, 16), (52, 65)])])
+def test_no_link_across_size_bands_is_lost(spark, percent, sizes):
+    """Pairs whose sizes stand on both sides of a power of two: one the head of the other, or parted by cuts in its middle."""
+    rng, rows = random.Random(percent), []
+    for small, large in sizes:
+        for k in range(300):
+            w = [f"v{rng.randrange(10**9)}" for _ in range(large + 3)]
+            cut = large - small
+            other = w[:-cut] if k % 2 else w[cut:]
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(other))]
+    got = jaccard_join.join_groups(spark.createDataFrame(rows, DOCS).repartition(8), 4, percent)
+    assert got.where("n_links <> 1 OR component_id <> doc_id - doc_id % 2").count() == 0
+
+
+def test_dense_and_sparse_verification_agree():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 300).astype(U)
+    rows = []
+    for i in range(90):
+        own = rng.integers(0, 2**63, int(rng.integers(0, 50))).astype(U)
+        s = np.unique(np.concatenate([base[int(rng.integers(0, 30)) : int(rng.integers(270, 300))], own])) if i % 3 else np.unique(own)
+        if len(s):
+            rows.append((i, 1 + i % 4, s.tobytes()))
+    rows += rows[:3]  # a class that is given twice counts once
+    for a, b in ((jaccard_join.Block(rows), None), (jaccard_join.Block(rows[:40]), jaccard_join.Block(rows[40:87]))):
+        other = b or a
+        want = np.array([[100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y)) for y in other.sets] for x in a.sets])
+        if b is None:
+            np.fill_diagonal(want, False)
+        assert (jaccard_join.linked_pairs(a, other, 85) == want).all() and want.any()
+        assert (jaccard_join._common(a.sets, other.sets) == [[len(np.intersect1d(x, y)) for y in other.sets] for x in a.sets]).all()
+        got = {r["node"]: r["links"] for r in jaccard_join.pair_links(a, other, 85).to_pylist()}
+        assert got == {int(n): int(want[i] @ other.copies) for i, n in enumerate(a.nodes) if want[i].any()} | ({} if b is None else {int(n): int(a.copies @ want[:, j]) for j, n in enumerate(b.nodes) if want[:, j].any()})
+
+
+def test_a_lost_file_of_shared_keys_is_an_error(tmp_path):
+    (tmp_path / "part-1").write_bytes(b"")
+    assert len(jaccard_join._shared_keys(str(tmp_path), 1)[0]) == 1
+    with pytest.raises(FileNotFoundError):
+        jaccard_join._shared_keys(str(tmp_path), 2)
+
+
+def test_very_long_texts_join(spark):
+    rng = random.Random(8)
+    w = [f"v{rng.randrange(5000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:-500])), (3, " ".join(w[:30_000])), (4, " ".join(reversed(w)))]
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard_join.join_groups(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
 
 
 def test_small_blocks_find_the_same_links(spark, monkeypatch):
@@ -86,14 +137,17 @@ def test_small_blocks_find_the_same_links(spark, monkeypatch):
     whole = sorted(map(tuple, jaccard_join.join_groups(docs).collect()))
     monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 3)
     assert sorted(map(tuple, jaccard_join.join_groups(docs).collect())) == whole
+    monkeypatch.setattr(jaccard_join, "MANY_BLOCKS", 2)
+    monkeypatch.setattr(jaccard_join, "MOST_BLOCK_DOCS", 5)
+    assert sorted(map(tuple, jaccard_join.join_groups(docs).collect())) == whole
 
 
 def test_joining_with_repeated_and_null_ids(spark):
     same = "a b c d e f g"
     rows = [(7, same), (7, same), (3, same), (None, same), (7, "other words stand here now"), (None, "nobody has this text at all")]
     got = sorted(map(str, jaccard_join.join_groups(spark.createDataFrame(rows, DOCS)).collect()))
-    want = [(7, 4, 3), (7, 4, 3), (3, 4, 3), (None, 4, 3), (7, 2, 7), (None, 3, None)]
-    assert got == sorted(f"Row(doc_id={a}, n_shingles={b}, component_id={c})" for a, b, c in want)
+    want = [(7, 4, 3, 3), (7, 4, 3, 3), (3, 4, 3, 3), (None, 4, 3, 3), (7, 2, 7, 0), (None, 3, None, 0)]
+    assert got == sorted(f"Row(doc_id={a}, n_shingles={b}, component_id={c}, n_links={d})" for a, b, c, d in want)
     assert jaccard_join.join_groups(spark.createDataFrame([], DOCS)).count() == 0
 
 
@@ -115,6 +169,9 @@ def test_more_cells_than_linked_sets_can_differ_in(percent):
         assert jaccard_join.n_cells(band, percent) > jaccard_join.most_apart(2 * top, percent)
         for n in range(2**band, min(top, 2**band + 300) + 1):  # the prefix never needs more cells than there are
             assert jaccard_join.most_apart(n + min(100 * n // percent, top), percent) < jaccard_join.n_cells(band, percent)
+            # partners may be of the next band, where 100 * n // percent is the largest of them
+            assert jaccard_join.largest_prefix(n, percent) > jaccard_join.most_apart(n + 100 * n // percent, percent)
+            assert jaccard_join.largest_prefix(n, percent) < jaccard_join.n_cells(band, percent)
 
 
 def test_one_of_each_group_stays(spark):
@@ -127,8 +184,10 @@ def test_one_of_each_group_stays(spark):
 def test_unlike_texts_of_one_id_stay(spark):
     a, b, c = "a b c d e f", "p q r s t u", "k l m n o p"
     rows = [(5, a), (5, a), (5, b), (7, b), (7, c), (5, a + " "), (8, "g h i j k l"), (8, "z y x w v u"), (None, a)]
-    docs = spark.createDataFrame(rows, DOCS)
-    kept = [tuple(r) for r in jaccard_join.one_of_each(docs, jaccard_join.join_groups(docs, texts=True)).collect()]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], DOCS + ", near_id int, NEAR_HASH int, h int")
+    kept = jaccard_join.one_of_each(docs, jaccard_join.join_groups(docs, texts=True))
+    assert kept.columns == docs.columns
+    kept = [tuple(r)[:2] for r in kept.collect()]
     assert sorted((str(i), t.strip()) for i, t in kept) == sorted([("5", a), ("5", b), ("7", c), ("8", rows[6][1]), ("8", rows[7][1]), ("None", a)])
 
 
@@ -214,7 +273,7 @@ def test_paragraphs_match_brute_force(spark):
         rows.append((i, "\n".join(text)))
     rows += [(100, None), (101, ""), (102, "\n\n")]
     docs = spark.createDataFrame(rows, DOCS).repartition(3).selectExpr("*", "1 AS words", "2 AS keep")
-    got = {tuple(r) for r in paragraph_dedup.repeated_paragraphs(docs).collect()}
+    got = {tuple(r) for r in paragraph_dedup.repeated_paragraphs(docs, least_words=25, blocks=False).collect()}
     assert got == paragraph_expectation(rows, 5, 80, 25)
 
 
