@@ -10,7 +10,8 @@ the best-scoring stretch (a match gives 1, a substitution takes 4) if that has a
 window with most words that agree; ``trimmed`` leaves the latter overlaps out, so substitutions near the
 ends of a short item hide it. An item of 8 to 12 words may have one substitution in five words, so it is
 cut into one piece more than that, and one piece at least is whole: the pieces are looked up like seeds.
-An item with fewer words than a mask spans (8) says too little about its origin and is not searched.
+An item with fewer words than a mask spans (8) must be there word for word; ``least_item`` says from how many
+words on, as a few common words say nothing about their origin.
 
 Test items go to the workers in blocks of bounded size, each block against all texts; training texts are
 never shuffled. Words are lower-cased and stripped of all but letters and digits.
@@ -37,11 +38,13 @@ from driftlog.llm.words import U, hash_texts, mix, split_words
 #: positions that each mask looks at; together they hit 13 words with any two substituted (see the tests)
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 LEAST_WORDS = 13
-#: words of the shortest item that is searched
+#: words of the shortest item in which words may differ
 LEAST_ITEM = max(m[-1] for m in MASKS) + 1
 #: characters of test items that are held by a worker at once
 BLOCK_CHARS = 16 << 20
 _FILTER_BITS = 22
+#: hits, and words, that are compared at once
+PORTION = 1 << 21
 _OTHER = re.compile(r"[\W_]+")
 SCHEMA = "doc_id long, item_id long, matched int, overlap int, item_words int, first_word long, last_word long"
 
@@ -74,11 +77,13 @@ def _windows(hashes: np.ndarray, counts: np.ndarray, mask: tuple[int, ...], salt
     return mix(out[at]), at
 
 
-def _pieces(starts: np.ndarray, counts: np.ndarray) -> dict[int, list[int]]:
+def _pieces(starts: np.ndarray, counts: np.ndarray, least_item: int) -> dict[int, list[int]]:
     """By size, the places of the pieces of items that are shorter than a window: one more than may have a substitution."""
     out: dict[int, list[int]] = {}
     for start, n in zip(starts.tolist(), counts.tolist(), strict=True):
-        if LEAST_ITEM <= n < LEAST_WORDS:
+        if max(1, least_item) <= n < LEAST_ITEM:
+            out.setdefault(n, []).append(start)
+        if max(LEAST_ITEM, least_item) <= n < LEAST_WORDS:
             cuts = [n * k // (n // 5 + 1) for k in range(n // 5 + 2)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 out.setdefault(hi - lo, []).append(start + lo)
@@ -88,13 +93,13 @@ def _pieces(starts: np.ndarray, counts: np.ndarray) -> dict[int, list[int]]:
 class Seeds:
     """Seed hashes of a block of test items."""
 
-    def __init__(self, item_ids: list, texts: list[str]) -> None:
+    def __init__(self, item_ids: list, texts: list[str], least_item: int) -> None:
         hashes, counts = plain_words(pa.array(texts, pa.string()))
         self.ids, self.hashes, self.counts = item_ids, hashes, counts
         self.starts = np.cumsum(counts) - counts
         self.item = np.repeat(np.arange(len(counts)), counts)
         self.tables, self.filter = [], np.zeros(1 << _FILTER_BITS, bool)
-        short = _pieces(self.starts, counts)
+        short = _pieces(self.starts, counts, least_item)
         for k, mask in enumerate((*MASKS, *(tuple(range(size)) for size in sorted(short)))):
             seeds, at = _windows(hashes, counts, mask, k)
             if k >= len(MASKS):
@@ -103,19 +108,25 @@ class Seeds:
             self.tables.append((mask, seeds[order], at[order]))
             self.filter[seeds >> U(64 - _FILTER_BITS)] = True
 
-    def hits(self, hashes: np.ndarray, counts: np.ndarray) -> set[tuple[int, int]]:
-        """(item, place of its first word on the texts' words): diagonals to compare."""
-        found: set[tuple[int, int]] = set()
+    def hits(self, hashes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, place of its first word on the texts' words, a word of the text): diagonals to compare, each once a portion."""
         for k, (mask, seeds, places) in enumerate(self.tables):
             got, at = _windows(hashes, counts, mask, k)
             maybe = np.flatnonzero(self.filter[got >> U(64 - _FILTER_BITS)])
             lo, hi = np.searchsorted(seeds, got[maybe], "left"), np.searchsorted(seeds, got[maybe], "right")
-            for i in np.flatnonzero(hi > lo).tolist():
-                where = int(at[maybe[i]])
-                for place in places[lo[i] : hi[i]].tolist():
-                    item = int(self.item[place])
-                    found.add((item, where - (place - int(self.starts[item])), where))
-        return found
+            some = hi > lo
+            where, lo, n = at[maybe[some]], lo[some], (hi - lo)[some]
+            ends = np.cumsum(n)
+            begin = 0
+            while begin < len(n):  # a seed of many items is taken in portions
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PORTION, "right")))
+                size = n[begin:end]
+                place = places[np.repeat(lo[begin:end] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+                item, spot = self.item[place], np.repeat(where[begin:end], size)
+                diagonal = spot - (place - self.starts[item])
+                _, first = np.unique(np.stack([item, diagonal]), axis=1, return_index=True)
+                yield item[first], diagonal[first], spot[first]
+                begin = end
 
 
 def best_stretch(same: np.ndarray) -> tuple[int, int]:
@@ -135,22 +146,50 @@ def best_window(same: np.ndarray, words: int) -> tuple[int, int]:
     return int(agree.argmax()), int(agree.argmax()) + words
 
 
+def _agreeing(same: np.ndarray, size: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether in some window of ``least`` words of a row four words in five agree, or all of a few (``same``: the rows' words
+    one after another)."""
+    need = np.where(least < LEAST_ITEM, least, (4 * least + 4) // 5)
+    start = np.cumsum(size) - size
+    total = np.concatenate([[0], np.cumsum(same)])
+    windows = np.maximum(0, size - least + 1)
+    row = np.repeat(np.arange(len(size)), windows)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows) + start[row]
+    good = total[at + least[row]] - total[at] >= need[row]
+    return np.bincount(row[good], minlength=len(size)) > 0
+
+
 def _overlaps(seeds: Seeds, trimmed: bool, texts: pa.Array) -> dict[tuple[int, int], tuple[int, int, int, int, int]]:
     """For (row, item) pairs that overlap: length, minus first word, words that agree, first and last word."""
     hashes, counts = plain_words(texts)
-    ends, best = np.cumsum(counts), {}
+    ends, best, done = np.cumsum(counts), {}, set()
     for item, diagonal, where in seeds.hits(hashes, counts):
-        row = int(np.searchsorted(ends, where, "right"))
-        begin, n = int(ends[row] - counts[row]), int(seeds.counts[item])
-        lo, hi = max(diagonal, begin), min(diagonal + n, int(ends[row]))
-        at = int(seeds.starts[item]) - diagonal
-        same = hashes[lo:hi] == seeds.hashes[lo + at : hi + at]
-        start, end = best_stretch(same)
-        if end - start < (least := min(LEAST_WORDS, n)):
-            start, end = (0, 0) if trimmed else best_window(same, least)
-        if end > start:
-            got = (end - start, -(lo + start - begin), int(same[start:end].sum()), lo + start - begin, lo + end - 1 - begin)
-            best[row, item] = max(best.get((row, item), got), got)
+        row = np.searchsorted(ends, where, "right")
+        lo, hi = np.maximum(diagonal, (ends - counts)[row]), np.minimum(diagonal + seeds.counts[item], ends[row])
+        size, least = hi - lo, np.minimum(LEAST_WORDS, seeds.counts[item])
+        shift = seeds.starts[item] - diagonal
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // PORTION)) + 1).tolist(), len(size)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            n = size[a:b]
+            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[a:b], n)
+            every = hashes[at] == seeds.hashes[at + np.repeat(shift[a:b], n)]
+            first = np.cumsum(n) - n
+            # a best stretch that is long enough begins with such a window, too
+            for k in np.flatnonzero(_agreeing(every, n, least[a:b])).tolist():
+                i, r, begin = int(item[a + k]), int(row[a + k]), int(lo[a + k])
+                if (i, begin, int(diagonal[a + k])) in done:
+                    continue
+                done.add((i, begin, int(diagonal[a + k])))
+                same = every[first[k] : first[k] + n[k]]
+                start, end = best_stretch(same)
+                if end - start < least[a + k]:
+                    start, end = (0, 0) if trimmed else best_window(same, int(least[a + k]))
+                if end > start:
+                    begin -= int(ends[r] - counts[r])
+                    got = (end - start, -(begin + start), int(same[start:end].sum()), begin + start, begin + end - 1)
+                    best[r, i] = max(best.get((r, i), got), got)
     return best
 
 
@@ -171,29 +210,29 @@ def _clean(held, trimmed: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[p
         yield b.filter(pa.array(clean))
 
 
-def _blocks(benchmark: DataFrame) -> Iterator:
+def _blocks(benchmark: DataFrame, least_item: int) -> Iterator:
     """The test items' seeds, in blocks of bounded size, as broadcasts."""
     spark = benchmark.sparkSession
     items = benchmark.select("item_id", "text").where("text IS NOT NULL")
     n = (items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS + 1
     for block in range(n):
         if got := items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).orderBy("item_id", "text").collect():
-            yield spark.sparkContext.broadcast(Seeds([r["item_id"] for r in got], [r["text"] for r in got]))
+            yield spark.sparkContext.broadcast(Seeds([r["item_id"] for r in got], [r["text"] for r in got], least_item))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, trimmed: bool = True) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, trimmed: bool = True, least_item: int = LEAST_ITEM) -> DataFrame:
     """One row for each text and test item that overlap: how many words agree, and where in the text."""
     arrow_batches(docs.sparkSession)
     d, out = id_and_text(docs), None
-    for held in _blocks(benchmark):
+    for held in _blocks(benchmark, least_item):
         found = d.mapInArrow(tidy(_leaks, held, trimmed), SCHEMA)
         out = found if out is None else out.unionAll(found)
     return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, trimmed: bool = True) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, trimmed: bool = True, least_item: int = LEAST_ITEM) -> DataFrame:
     """``docs``, all columns, without the texts that overlap with a test item. Rows are judged one by one."""
     arrow_batches(docs.sparkSession)
-    for held in _blocks(benchmark):
+    for held in _blocks(benchmark, least_item):
         docs = docs.mapInArrow(tidy(_clean, held, trimmed), docs.schema)
     return docs

@@ -36,8 +36,10 @@ SCRIPTS = (
 )
 NAMES = tuple(sorted({name for _, name in SCRIPTS}))
 BUCKETS = 1 << 16
-#: languages that are learned, the most frequent ones; a label fits into a byte
-MOST_LANGUAGES = 250
+#: code points after the last letter; what follows are marks of variation
+LAST, MARKS = 0x33480, (0xE0100, 0xE01F0)
+#: back pointers of Viterbi that are held at once
+MOST_BACK = 32_000_000
 #: a language uses a script if so much of its letters is in it
 LEAST_SHARE = 0.005
 #: most that one word can say against a language
@@ -50,7 +52,7 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     import unicodedata
 
     low = np.zeros(0x110000, np.uint32)
-    for c in range(0x110000):
+    for c in (*range(LAST), *range(*MARKS)):
         if (ch := chr(c)).isalpha() or (c > 0x2FF and unicodedata.category(ch)[0] == "M"):
             low[c] = ord(x) if len(x := ch.lower()) == 1 else c
     starts = np.array([a for a, _ in SCRIPTS])
@@ -115,29 +117,55 @@ class Model:
 
 
 def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
-    """The best label of every word; all texts take one step at a time together, the longest first."""
+    """The best label of every word; all texts take one step at a time together, the longest first.
+
+    Back pointers are held for a stretch of steps; of earlier stretches only the state at their start is
+    kept, from which they are walked again.
+    """
     rank = np.argsort(-counts, kind="stable")
     n_of, first = counts[rank], (np.cumsum(counts) - counts)[rank]
-    steps = int(counts.max(initial=0))
+    steps, languages = int(counts.max(initial=0)), scores.shape[1]
     active = np.searchsorted(-n_of, -np.arange(steps), "left").tolist()  # texts with more words than t
-    back, state = [], np.zeros((len(counts), scores.shape[1]), np.float32)
-    own = np.arange(scores.shape[1], dtype=np.uint8)
+    own = np.arange(languages, dtype=np.uint16)
+    labels, state = np.zeros(len(scores), np.uint16), np.zeros((len(counts), languages), np.float32)
+    cut, held = [0], 0
     for t, k in enumerate(active):
-        now, e = state[:k], scores[first[:k] + t]
-        if t:
-            best = now.argmax(1)
-            change = now[np.arange(k), best] - penalty
-            turn = change[:, None] > now
-            back.append(np.where(turn, best[:, None], own).astype(np.uint8))
-            np.maximum(now, change[:, None], out=now)
-        now += e
-    labels = np.zeros(len(scores), np.uint8)
-    at = state.argmax(1)
-    for t in range(steps - 1, -1, -1):
-        k = active[t]
-        labels[first[:k] + t] = at[:k]
-        if t:
-            at[:k] = back[t - 1][np.arange(k), at[:k]]
+        held += k * languages
+        if held > MOST_BACK:
+            cut.append(t)
+            held = k * languages
+    cut = sorted({*cut, steps})
+
+    def walk(start: int, end: int, back: list | None) -> None:
+        for t in range(start, end):
+            k = active[t]
+            now = state[:k]
+            if t:
+                best = now.argmax(1)
+                change = now[np.arange(k), best] - penalty
+                if back is not None:
+                    back.append(np.where(change[:, None] > now, best[:, None], own).astype(np.uint16))
+                np.maximum(now, change[:, None], out=now)
+            now += scores[first[:k] + t]
+
+    starts = []
+    for start, end in zip(cut, cut[1:], strict=False):
+        starts.append(state[: active[start]].copy())
+        if end < steps:
+            walk(start, end, None)
+    at = None
+    for k, (start, end) in reversed(list(enumerate(zip(cut, cut[1:], strict=False)))):
+        back: list = [] if start else [None]
+        state[: len(starts[k])] = starts[k]
+        walk(start, end, back)
+        if at is None:
+            at = np.zeros(len(counts), np.int64)
+        for t in range(end - 1, start - 1, -1):
+            n, later = active[t], active[t + 1] if t + 1 < steps else 0
+            at[later:n] = state[later:n].argmax(1)  # texts that end here
+            labels[first[:n] + t] = at[:n]
+            if t:
+                at[:n] = back[t - start][np.arange(n), at[:n]]
     return labels
 
 
@@ -148,10 +176,11 @@ def _count(languages: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[
     """Trigrams and letters of a task's sample, by language: two tables of fixed size."""
     grams = np.zeros((BUCKETS, len(languages)), np.int64)
     script = np.zeros((len(NAMES), len(languages)), np.int64)
+    number = {x: k for k, x in enumerate(languages)}
     for b in batches:
         lang = b.column("lang").to_pylist()
         w = read_words(b.column("text"))
-        of_word = np.repeat(np.array([languages.index(x) for x in lang], np.int64), w.counts)
+        of_word = np.repeat(np.array([number[x] for x in lang], np.int64), w.counts)
         for k in set(of_word.tolist()):
             times = np.bincount(w.place[of_word == k], minlength=len(w.letters))
             grams[:, k] += np.bincount(w.bucket, times[w.owner], BUCKETS).astype(np.int64)
@@ -163,13 +192,12 @@ def learn(labelled: DataFrame, per_language: int = 3000, tasks: int = 16, smooth
     """Fit on ``doc_id, text, lang``: at most about ``per_language`` rows of each language."""
     arrow_batches(labelled.sparkSession)
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", "text")
-    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    sizes = {r["lang"]: r["n"] for r in counted.collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(NAMES), 0), bool))
-    part = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, per_language / n))) for x, n in sizes.items()])
-    sample = rows.where(F.col("lang").isin(languages)).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20)).repartition(tasks)
+    part = F.broadcast(labelled.sparkSession.createDataFrame([(x, min(1.0, per_language / n)) for x, n in sizes.items()], "lang string, part double"))
+    sample = rows.join(part, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("part") * (1 << 20)).repartition(tasks)
     grams, script = np.zeros((BUCKETS, len(languages)), np.int64), np.zeros((len(NAMES), len(languages)), np.int64)
     for r in sample.select("lang", "text").mapInArrow(tidy(_count, languages), "grams binary, script binary").toLocalIterator():
         grams += np.frombuffer(r["grams"], np.int64).reshape(grams.shape)

@@ -25,8 +25,8 @@ BASE = (
 )
 #: further kinds; these need the threshold besides their check
 MORE = (
-    ("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+", f"length(replace(x.v, ' ', '')) BETWEEN 15 AND 34 AND {S.alone('text', '[A-Za-z0-9]')} AND {S.mod97('x.v')}", "true"),
-    ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", f"left(x.v, 3) NOT IN ('000', '666') AND left(x.v, 1) <> '9' AND substring(x.v, 5, 2) <> '00' AND right(x.v, 4) <> '0000' AND {S.alone('text', '[0-9-]')}", "contains({t}, '-')"),
+    ("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+", f"length(replace(x.v, ' ', '')) BETWEEN 15 AND 34 AND {S.alone('[A-Za-z0-9]')} AND {S.mod97('x.v')}", "true"),
+    ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", f"left(x.v, 3) NOT IN ('000', '666') AND left(x.v, 1) <> '9' AND substring(x.v, 5, 2) <> '00' AND right(x.v, 4) <> '0000' AND {S.alone('[0-9-]')}", "contains({t}, '-')"),
 )
 #: score of a confirmed match without context; checksums weigh more than a bare form
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
@@ -45,17 +45,16 @@ def find_pii(docs: DataFrame, reach: int = 40, bonus: float = 0.2, threshold: fl
     with any score once their check confirms them.
     """
     rules = BASE + MORE
-    out = id_and_text(docs)
     t = "text"
-    out = out.select("doc_id", t, *[F.when(F.expr(need.format(t=t)), S.matches(t, p)).otherwise(F.expr("CAST(array() AS array<string>)")).alias(f"m_{k}") for k, p, _, need in rules])
-    out = out.select("doc_id", t, *[S.located(t, f"m_{k}", p, k, i, ok).alias(f"s_{k}") for i, (k, p, ok, _) in enumerate(rules)])
-    out = out.select("doc_id", t, F.expr(f"concat({', '.join(f's_{k}' for k, *_ in rules)})").alias("all"))
+    found = S.with_spans(id_and_text(docs), t, [(k, p, ok, F.expr(need.format(t=t))) for k, p, ok, need in rules])
+    found = found.select("doc_id", t, F.expr(f"concat({', '.join(f's_{k}' for k, *_ in rules)})").alias("all"))
+    found = found.select("doc_id", "all", F.expr(f"CASE WHEN size(all) > 0 THEN {S.chunks(t)} END").alias("pieces"))
     words = "CASE x.kind " + " ".join(f"WHEN '{k}' THEN '(?i)(?<![A-Za-z])(?:{w})'" for k, w in CONTEXT.items()) + " END"
     prior = "CASE x.kind " + " ".join(f"WHEN '{k}' THEN {v}D" for k, v in PRIOR.items()) + " END"
-    near = f"concat_ws(' ', substring({t}, greatest(1, x.s + 1 - {reach}), least(x.s, {reach})), substring({t}, x.e + 1, {reach}))"
+    near = f"concat_ws(' ', {S.around('pieces', f'greatest(0, x.s - {reach})', f'least(x.s, {reach})')}, {S.around('pieces', 'x.e', str(reach))})"
     scored = f"transform(all, x -> named_struct('kind', x.kind, 'rank', x.rank, 's', x.s, 'e', x.e, 'v', x.v, 'score', round(least(1.0D, {prior} + CASE WHEN regexp_like({near}, {words}) THEN {bonus}D ELSE 0D END), 3)))"
     kept = f"filter({scored}, x -> x.rank < {len(BASE)} OR x.score >= {threshold})"
-    return out.select("doc_id", F.expr(f"CASE WHEN size(all) = 0 THEN filter({scored}, x -> false) ELSE {S.in_order(kept)} END").alias("spans"))
+    return found.select("doc_id", F.expr(f"CASE WHEN size(all) = 0 THEN filter({scored}, x -> false) ELSE {S.in_order(kept)} END").alias("spans"))
 
 
 def pii_digest(found: DataFrame) -> DataFrame:

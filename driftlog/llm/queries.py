@@ -36,10 +36,10 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), trimmed=False)
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), trimmed=False, least_item=5)
 
 
-#: share of the tokens that each domain is to have; the good ones are all kept
+#: share of the tokens that each domain is to have; the good ones set the total
 TARGETS = {"good": 0.9, "poor": 0.1, "toxic": 0.0}
 
 

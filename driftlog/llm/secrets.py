@@ -1,13 +1,13 @@
 """Secrets in texts, found through a trigram inverted index.
 
-Every rule has a Boolean trigram query that its regex implies: an OR of ANDs over lower-cased trigrams
-that any match must contain. The index holds, for the trigrams that some rule names, which documents
-contain them (postings, one row per trigram and document). A rule's candidates are the documents whose
-postings satisfy one of its conjunctions; only these are verified with the regex. A rule without a
-mandatory trigram (a bare class such as hex) scans every text.
-
-Defined results: null and empty texts have no spans; every input row gives one row; rows that share an
-id are candidates if one of them is, and verification decides for each; null ids stay null.
+Every rule's Boolean trigram query is derived from its regex (``trigrams``): alternatives of trigrams in
+lower case, one of which any match contains whole. The index is a table of postings: for each trigram that
+some rule names, the rows that contain it, by id and hash of the text. A rule's candidates are the rows in
+the intersection of the postings of one of its alternatives; only these are verified with the regex. A rule
+without a mandatory trigram (a bare class such as hex) scans every text.
+
+Defined results: null and empty texts have no spans; every input row gives one row; rows that share id and
+text are candidates together; null ids stay null; other columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -17,60 +17,49 @@ from pyspark.sql import functions as F
 
 from driftlog.llm import spans as S
 from driftlog.llm.shared import id_and_text, written
+from driftlog.llm.trigrams import trigram_query
 
 _KEY = r"(?i:password|passwd|secret|token|api_?key)"
-#: kind, pattern, literals of which a match contains one (None: nothing is mandatory), SQL check on a match
+#: kind, pattern, SQL check on a match
 BASE = (
-    ("assign", rf"""{_KEY}["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", ("password", "passwd", "secret", "token", "apikey", "api_key"),
+    ("assign", rf"""{_KEY}["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""",
      rf"""length(regexp_extract(x.v, {S.quoted(rf'''^{_KEY}["']?[\x20]*[:=][\x20]*["']?([A-Za-z0-9+/_.=-]+)$''')}, 1)) >= 8"""),
-    ("access", r"AKIA[A-Z0-9]{12,}", ("akia",), "true"),
-    ("hex", r"[0-9a-f]{32,}", None, "true"),
+    ("access", r"AKIA[A-Z0-9]{12,}", "true"),
+    ("hex", r"[0-9a-f]{32,}", "true"),
 )
 #: further kinds
 MORE = (
-    ("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", ("private key-----",), "true"),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", (".eyj",), "true"),
-    ("gittoken", r"gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), S.alone("text", "[A-Za-z0-9]")),
+    ("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", "true"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true"),
+    ("gittoken", r"gh[pousr]_[A-Za-z0-9]{36,}", S.alone("[A-Za-z0-9]")),
 )
 
 
-def trigram_query(literals: tuple[str, ...] | None) -> list[list[str]] | None:
-    """OR of ANDs of trigrams for a regex one of whose literals must occur; None: scan fully."""
-    if literals is None or any(len(x) < 3 for x in literals):
-        return None
-    return [sorted({x[i : i + 3] for i in range(len(x) - 2)}) for x in literals]
-
-
 def build_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """Postings (``tri``: place in ``trigrams``, ``doc_id``) for every whole text."""
-    low = id_and_text(docs).select("doc_id", F.lower("text").alias("low"))
-    tests = ", ".join(f"CASE WHEN contains(low, {S.quoted(t)}) THEN {i} END" for i, t in enumerate(trigrams))
-    return low.select("doc_id", F.expr(f"explode(array_compact(array({tests})))").alias("tri"))
+    """Postings ``tri, doc_id, h`` (hash of the text) for every whole text."""
+    low = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("h"), F.lower("text").alias("low"))
+    tests = ", ".join(f"CASE WHEN contains(low, {S.quoted(t)}) THEN {S.quoted(t)} END" for t in trigrams)
+    return low.select(F.expr(f"explode(array_compact(array({tests})))").alias("tri"), "doc_id", "h")
 
 
-def candidates(index: DataFrame, queries: dict[int, list[list[str]]], trigrams: list[str]) -> DataFrame:
-    """(``doc_id``, ``rules``: bits of the rules whose Boolean query the document's postings satisfy)."""
-    place = {t: i for i, t in enumerate(trigrams)}
-    held = index.groupBy("doc_id").agg(F.expr("bit_or(shiftleft(1L, tri))").alias("bits"))
-    bits = "0L"
-    for rule, ors in queries.items():
-        masks = [sum(1 << place[t] for t in ands) for ands in ors]
-        bits += f" + CASE WHEN {' OR '.join(f'(bits & {m}L) = {m}L' for m in masks)} THEN {1 << rule}L ELSE 0L END"
-    return held.select("doc_id", F.expr(bits).alias("rules")).where("rules <> 0")
+def candidates(index: DataFrame, queries: dict[int, list[frozenset[str]]]) -> DataFrame:
+    """(``doc_id``, ``h``, ``rules``: bits of the rules of which the row is in all postings of an alternative)."""
+    terms = [(rule, k, len(ands), t) for rule, ors in queries.items() for k, ands in enumerate(ors) for t in sorted(ands)]
+    terms = F.broadcast(index.sparkSession.createDataFrame(terms, "rule int, alternative int, needed int, tri string"))  # as long as the rules are
+    both = index.join(terms, "tri").groupBy("rule", "alternative", "needed", "doc_id", "h").agg(F.count_distinct("tri").alias("held")).where("held = needed")
+    return both.groupBy("doc_id", "h").agg(F.expr("bit_or(shiftleft(1L, rule))").alias("rules"))
 
 
 def find_secrets(docs: DataFrame, rules: tuple = BASE + MORE) -> DataFrame:
-    """One row per document: ``doc_id`` and ``spans``, an array of (kind, rank, s, e, v)."""
-    queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r[2])) is not None}
-    trigrams = sorted({t for ors in queries.values() for ands in ors for t in ands})
-    assert len(trigrams) < 63, "one word of bits holds the postings of a document"
-    hits = written(candidates(build_index(docs, trigrams), queries, trigrams), "secret-candidates")
-    d = id_and_text(docs)
-    d = d.join(hits.withColumnRenamed("doc_id", "_id"), d["doc_id"].eqNullSafe(F.col("_id")), "left").select("doc_id", "text", F.coalesce("rules", F.lit(0)).alias("rules"))
-    none = F.expr("CAST(array() AS array<string>)")
-    d = d.select("doc_id", "text", *[(F.when(F.expr(f"rules & {1 << i} <> 0"), S.matches("text", p)).otherwise(none) if i in queries else S.matches("text", p)).alias(f"m_{k}") for i, (k, p, _, _) in enumerate(rules)])
-    d = d.select("doc_id", *[S.located("text", f"m_{k}", p, k, i, ok).alias(f"s_{k}") for i, (k, p, _, ok) in enumerate(rules)])
-    return d.select("doc_id", F.expr(S.in_order(f"concat({', '.join(f's_{r[0]}' for r in rules)})")).alias("spans"))
+    """One row per document: ``doc_id`` and ``spans``, an array of (kind, rank, s, e, v, b, a)."""
+    queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r[1])) is not None}
+    named = sorted({t for ors in queries.values() for ands in ors for t in ands})
+    hits = written(candidates(build_index(docs, named), queries), "secret-candidates")
+    d = id_and_text(docs).withColumn("h", F.xxhash64("text"))
+    hits = hits.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "rules")
+    d = d.join(hits, d["doc_id"].eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left").select("doc_id", "text", F.coalesce("rules", F.lit(0)).alias("rules"))
+    found = S.with_spans(d, "text", [(k, p, ok, F.expr(f"rules & {1 << i} <> 0") if i in queries else None) for i, (k, p, ok) in enumerate(rules)])
+    return found.select("doc_id", F.expr(S.in_order(f"concat({', '.join(f's_{r[0]}' for r in rules)})")).alias("spans"))
 
 
 def secret_digest(found: DataFrame) -> DataFrame:

@@ -124,17 +124,23 @@ class Encoder:
 
     A byte-level BPE splits a text into words before it merges, and a new word starts at every single
     space that other characters surround. So a text may be cut there, every distinct piece encoded
-    once by the library, and the ids joined. Texts with longer runs of white space are encoded uncut.
+    once by the library, and the ids joined. Texts with longer runs of white space, or in which the string
+    of an added token stands, are encoded uncut, and so is every text if the tokenizer is of another kind.
     """
 
     def __init__(self, path: str, end_id: int, most: int = 2_000_000) -> None:
+        import json
         import os
+        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.most = Tokenizer.from_file(path), end_id, most
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        kind = json.loads(self.tokenizer.to_str())
+        before = kind.get("pre_tokenizer") or {}
+        self.cut = not kind.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        self.uncut = "|".join([_RUN, *(re.escape(t["content"]) for t in kind.get("added_tokens", []) if t["content"])])
         vocab = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)
         self.spaced[[i for w, i in vocab.items() if w[:1] == "\u0120"]] = True
@@ -206,9 +212,11 @@ class Encoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, each with the end id; number of ids of each text)"""
+        if not self.cut:
+            return self._uncut(texts)
         if self.words > self.most:
             self._clear()
-        uncut = pc.match_substring_regex(texts, _RUN)
+        uncut = pc.match_substring_regex(texts, self.uncut)
         pieces = pc.split_pattern(pc.if_else(uncut, "", texts), " ")
         counts = pc.list_value_length(pieces).to_numpy()
         first = np.cumsum(counts) - counts

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlog.llm.files import opened, remove, whole_file
-from driftlog.llm.shared import arrow_batches, new_path, one_per_task, tidy, written_one
+from driftlog.llm.shared import LEAST_HOT, MOST_HOT, arrow_batches, new_path, one_per_task, tidy, written, written_one
 
 _INDEX = struct.Struct("<QQ")
 _STEP = 1 << 20
@@ -93,8 +93,16 @@ def write_archives(pages: DataFrame, revisit_bytes: int = 1000, folder: str | No
     p = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     p = p.select("*", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha1"))
     # partial sums before the shuffle: a payload that many pages share arrives as one row from each task
-    shared = p.where(F.col("size") >= revisit_bytes).groupBy("sha1", "size").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1").select("sha1", "size", "keep")
-    p = p.join(shared, ["sha1", "size"], "left")
+    shared = p.where(F.col("size") >= revisit_bytes).groupBy("sha1", "size").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1")
+    shared = written(shared.select("sha1", "size", "keep", "n"), "shared-payloads")
+    # payloads of many pages are broadcast, MOST_HOT at most as their pages add up; their pages are spread over the shuffle by page
+    limit = max(LEAST_HOT, (shared.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
+    hot = F.broadcast(shared.where(F.col("n") > limit).select("sha1", "size", F.col("keep").alias("hot_keep"), F.lit(True).alias("hot")))
+    cold = shared.where(F.col("n") <= limit).select(F.concat_ws("-", "sha1", "size").alias("key"), "keep")
+    p = p.join(hot, ["sha1", "size"], "left")
+    gone = F.col("hot") & ~F.col("page_id").eqNullSafe(F.col("hot_keep"))
+    p = p.withColumn("payload", F.when(gone, F.lit(b"")).otherwise(F.col("payload"))).withColumn("key", F.when(F.col("hot"), F.concat(F.lit("page "), F.coalesce(F.col("page_id"), F.xxhash64("url")).cast("string"))).otherwise(F.concat_ws("-", "sha1", "size")))
+    p = p.join(cold, "key", "left").withColumn("keep", F.coalesce("hot_keep", "keep"))
     again = F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))
     p = p.select("page_id", "url", F.when(again, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "size", "sha1", F.when(again, F.col("keep")).alias("refers_to"))
     return written_one(p.mapInArrow(tidy(_write, folder or new_path(pages.sparkSession, "warc"), date, level), "archive string, n long"), "warc-streams")

@@ -20,14 +20,14 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
 def test_cut_texts_have_the_ids_of_uncut_ones(library):
     rng = random.Random(3)
     parts = [" ", "  ", "\n", "\t", " \n", "a", "b.", "é", "　", "\xa0", "'s", "12", "\x1c", "​", "!", "foo", "<|endoftext|>", "\r\n", "\x85", "\U0001f600", " "]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(5000)] + ["", " ", "   ", "word " * 3000]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(5000)] + ["", " ", "   ", "word " * 3000, "a <|endoftext|> b", "<|endoftext|>" * 9, "x <|endof text|>"]
+    assert library("a <|endoftext|> b") == [64, 220, 50256, 275]
     encoder = Encoder(tokenizer_path(), 0, most=500)  # the cache is dropped now and then
     for at in range(0, len(texts), 700):
         some = texts[at : at + 700]
@@ -58,11 +58,11 @@ def test_levels_hold_what_goes_on():
 
 
 def test_documents_read_back(spark, library):
-    rows = [(5, "five is here"), (None, "nobody"), (1, None), (3, "three"), (3, "three again"), (-2, "x" * 50_000)]
+    rows = [(5, "five is here"), (None, "nobody"), (1, None), (3, "three"), (3, "three again"), (-2, "x" * 50_000), (4, "an end <|endoftext|> inside")]
     docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "0 AS start", "'t' AS tie")
     got = [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_store.read_tokens(token_store.write_tokens(docs, tokenizer_path(), shard_tokens=8)).collect()]
     want, at = {}, 0
-    for i in (None, -2, 1, 3, 5):
+    for i in (None, -2, 1, 3, 4, 5):
         for t in [t or "" for d, t in rows if d == i]:
             ids = library(t) + [0]
             want.setdefault(i, []).append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
@@ -72,7 +72,7 @@ def test_documents_read_back(spark, library):
     for d, start, n, _ in order:
         assert start == at
         at += n
-    assert [d for d, *_ in order] == [None, -2, 1, 3, 3, 5]
+    assert [d for d, *_ in order] == [None, -2, 1, 3, 3, 4, 5]
 
 
 def test_no_documents(spark):

@@ -1,9 +1,12 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 
 from driftlog.llm import pii, secrets
+from driftlog.llm.trigrams import trigram_query
 
 DOCS = "doc_id long, text string"
 EDGE = [
@@ -68,18 +71,62 @@ def test_context_raises_a_score(spark):
     assert got == {1: 0.8, 2: 0.6}
 
 
-def test_rules_without_mandatory_trigrams_scan_fully():
-    assert secrets.trigram_query(None) is None and secrets.trigram_query(("ab",)) is None
-    assert secrets.trigram_query(("akia",)) == [["aki", "kia"]]
-
-
-def test_every_match_satisfies_its_trigram_query(spark):
-    """A candidate is never lost: texts with a match are among the rule's candidates."""
-    docs = spark.createDataFrame([(1, "xTOKEN=abc"), (2, "PassWD : q"), (3, "api_key=1"), (4, "APIKEY:2"), (5, "tok en"), (6, "AKIA"), (7, "pass word")], DOCS)
-    queries = {0: secrets.trigram_query(secrets.BASE[0][2]), 1: secrets.trigram_query(secrets.BASE[1][2])}
-    trigrams = sorted({t for q in queries.values() for c in q for t in c})
-    got = {r["doc_id"]: r["rules"] for r in secrets.candidates(secrets.build_index(docs, trigrams), queries, trigrams).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 6: 2}
+def test_queries_come_from_the_patterns():
+    q = {k: trigram_query(p) for k, p, _ in secrets.BASE + secrets.MORE}
+    grams = lambda t: frozenset(t[i : i + 3] for i in range(len(t) - 2))
+    assert q["hex"] is None and q["access"] == [grams("akia")] and trigram_query("ab") is None and trigram_query("(abc)?") is None
+    assert set(q["assign"]) == {grams(x) for x in ("password", "passwd", "secret", "token", "apikey", "api_key")}
+    assert set(q["gittoken"]) == {grams(f"gh{x}_") for x in "pousr"}
+    assert q["jwt"] == [frozenset({"eyj", ".ey"})] and grams("private key-----") < q["pem"][0]
+    assert trigram_query("abc(def|ghi)+x*jkl") is not None and trigram_query("(abc|[a-z]+)d") is None
+    assert set(trigram_query("x(?:abc|abcd)y{2}")) == {grams("xabcyy"), grams("xabcdyy")}
+
+
+def test_every_match_satisfies_its_trigram_query():
+    """A candidate is never lost: texts with a match hold one alternative of the rule's query whole."""
+    rng = random.Random(4)
+    patterns = [p for _, p, _ in secrets.BASE + secrets.MORE] + ["(foo|ba[rz])+qux?", "a.c(de){2,3}", "[xy]{3}z|hello"]
+    parts = ["foo", "bar", "baz", "qu", "qux", "a-c", "de", "dede", "xyx", "yyyz", "hello", "Token", "=", "abcdefgh9", "api_", "KEY", ": ", "AKIA", "B" * 16, "eyJ" + "a" * 9, ".", "ghp_" + "x" * 40, "-----BEGIN ", "PRIVATE KEY-----", " "]
+    hits = 0
+    for _ in range(20_000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 8)))
+        for p in patterns:
+            if re.search(p, t) and (q := trigram_query(p)) is not None:
+                hits += 1
+                assert any(all(x in t.lower() for x in ands) for ands in q), (p, t, q)
+    assert hits > 5000
+
+
+def test_postings_are_intersected(spark):
+    docs = spark.createDataFrame([(1, "xTOKEN=abc"), (2, "PassWD : q"), (3, "api_key=1"), (4, "APIKEY:2"), (5, "tok en"), (6, "AKIA"), (7, "pass word"), (None, "secret token"), (None, "x"), (1, "no")], DOCS)
+    queries = {i: trigram_query(secrets.BASE[i][1]) for i in (0, 1)}
+    index = secrets.build_index(docs, sorted({t for q in queries.values() for c in q for t in c}))
+    assert index.columns == ["tri", "doc_id", "h"]
+    got = sorted((str(r["doc_id"]), r["rules"]) for r in secrets.candidates(index, queries).collect())
+    assert got == [("1", 1), ("2", 1), ("3", 1), ("4", 1), ("6", 2), ("None", 1)]
+
+
+@pytest.mark.parametrize("unit", ["10.0.0.1 ", "1.2.3.4,é"])
+def test_many_matches_in_one_text(spark, unit):
+    n = 40_000
+    began = time.time()
+    r = pii.pii_digest(pii.find_pii(spark.createDataFrame([(1, unit * n)], DOCS))).collect()[0]
+    assert time.time() - began < 30
+    size, at = len(unit), len(unit.rstrip(" ,é"))
+    assert r["n_ip"] == n and r["spans"] == ",".join(f"ip:{i * size}:{i * size + at}" for i in range(n))
+    began, word = time.time(), "0123456789abcdef" * 2
+    r = secrets.secret_digest(secrets.find_secrets(spark.createDataFrame([(1, f"{word} " * n)], DOCS))).collect()[0]
+    assert time.time() - began < 30 and r["spans"] == ",".join(f"hex:{i * 33}:{i * 33 + 32}" for i in range(n))
+
+
+def test_context_is_read_across_chunks(spark, monkeypatch):
+    from driftlog.llm import spans
+
+    rows = [(i, "é" * i + " call +1 (361) 555-8283 and then mail to a@b.co" + " x" * 50) for i in range(0, 60, 3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    whole = [[s["score"] for s in r["spans"]] for r in pii.find_pii(docs).orderBy("doc_id").collect()]
+    monkeypatch.setattr(spans, "CHUNK", 41)
+    assert [[s["score"] for s in r["spans"]] for r in pii.find_pii(docs).orderBy("doc_id").collect()] == whole == [[0.8, 1.0]] * 20
 
 
 def test_no_python_on_the_main_path(spark):
