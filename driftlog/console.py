@@ -2,7 +2,8 @@
 
     python -m driftlog.console ROOT [PORT]
 
-A GET or POST of ``/api/<name>`` calls the method of that name with the body's JSON fields.
+``/api/<name>`` calls the method of that name with the body's JSON fields, ``/api/verify/<suite>`` a suite of
+verification. What only reads is asked for with GET (POST works, too), all else with POST.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from driftlog.sources.oplog import bulk_records
 class Console:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root, self.store = spark, root.rstrip("/"), Store(spark, f"{root.rstrip('/')}/store", WEB)
-        self.lock, self.tracing, self.stopping, self.worker = threading.Lock(), False, False, None
+        self.lock, self.stopping, self.worker = threading.Lock(), False, None
+        if not self.store.catalog.version:
+            self.store.set_tracing(False)
         self.progress: dict[str, object] = {"status": "idle", "done": 0, "operations": 0}
 
     # reading
@@ -41,17 +44,17 @@ class Console:
         return {"state": self.store.state(), "metrics": self.store.metrics(), "files": len(self.store.describe_files())}
 
     def debug_files(self) -> dict:
-        return {"files": self.store.describe_files(), "orphans": self.store.orphans()}
+        return {"kinds": self.store.bytes_by_kind(), "files": self.store.describe_files(), "orphans": self.store.orphans()}
 
     def trace_status(self) -> dict:
-        return {"enabled": self.tracing}
+        return {"enabled": self.store.catalog.tracing}
 
     def trace_toggle(self) -> dict:
-        self.tracing = not self.tracing
+        self.store.set_tracing(not self.store.catalog.tracing)
         return self.trace_status()
 
     def trace_read(self) -> dict:
-        return {"lines": self.store.trace() if self.tracing else []}
+        return {"lines": self.store.trace()}
 
     # writing
 
@@ -95,7 +98,8 @@ class Console:
 
     # streams: one at a time, micro-batch by micro-batch
 
-    def stream_start(self, mode: str = "stream1", operations: int = 10_000, devices: int = 100, batch: int = 5000) -> dict:
+    def stream_start(self, mode: str = "stream1", operations: int = 10_000, devices: int = 100, batch: int = 5000, rate: float = 0.0) -> dict:
+        """``rate``: at most so many operations a second (0: as fast as batches go)."""
         if self.worker is not None and self.worker.is_alive():
             raise RuntimeError("a stream is already running")
         operations = workloads.clamp(operations, 100, 500_000)
@@ -103,6 +107,7 @@ class Console:
         self.stopping, self.progress = False, {"status": "running", "mode": mode, "done": 0, "operations": operations, **dict.fromkeys(("put", "update", "delete", "get"), 0)}
 
         def work() -> None:
+            began = time.monotonic()
             for at in range(0, operations, batch):
                 if self.stopping:
                     break
@@ -112,6 +117,8 @@ class Console:
                 for r in part.groupBy("op").count().collect():
                     self.progress[r["op"]] += r["count"]
                 self.progress["done"] = min(operations, at + batch)
+                while rate > 0 and not self.stopping and (wait := began + self.progress["done"] / rate - time.monotonic()) > 0:
+                    time.sleep(min(wait, 0.2))
             self.progress["status"] = "stopped" if self.stopping else "done"
 
         self.worker = threading.Thread(target=work, daemon=True)
@@ -162,6 +169,7 @@ class Console:
 
 
 CALLS = tuple(n for n in vars(Console) if not n.startswith("_"))
+READS = ("metrics", "lsm_state", "debug_state", "debug_files", "trace_status", "trace_read", "stream_status")
 
 
 def handler(console: Console) -> type[BaseHTTPRequestHandler]:
@@ -169,19 +177,31 @@ def handler(console: Console) -> type[BaseHTTPRequestHandler]:
         def _answer(self) -> None:
             name = self.path.partition("?")[0].removeprefix("/api/").replace("/", "_").replace("-", "_")
             body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
-            status, out = 404, {"error": "not found"}
-            if self.path.startswith("/api/") and name in CALLS:
+            options = {}
+            if name.removeprefix("verify_") in verify.SUITES and name.startswith("verify_"):
+                name, options = "verify", {"suite": name.removeprefix("verify_")}
+            if not self.path.startswith("/api/") or name not in CALLS:
+                status, out = 404, {"error": "not found"}
+            elif self.command == "GET" and name not in READS:
+                status, out = 405, {"error": "use POST"}
+            else:
                 try:
-                    status, out = 200, getattr(console, name)(**(json.loads(body) if body else {}))
+                    status, out = 200, getattr(console, name)(**({**json.loads(body), **options} if body else options))
                 except (TypeError, ValueError, RuntimeError) as e:
                     status, out = 400, {"error": str(e)}
-            text = json.dumps(out, default=str).encode()
+            self._send(status, json.dumps(out, default=str).encode())
+
+        def _send(self, status: int, text: bytes) -> None:
             self.send_response(status)
-            self.send_header("Content-Type", "application/json")
+            for k, v in (("Content-Type", "application/json"), ("Access-Control-Allow-Origin", "*"), ("Access-Control-Allow-Methods", "GET, POST, OPTIONS"), ("Access-Control-Allow-Headers", "Content-Type")):
+                self.send_header(k, v)
             self.send_header("Content-Length", str(len(text)))
             self.end_headers()
             self.wfile.write(text)
 
+        def do_OPTIONS(self) -> None:
+            self._send(204, b"")
+
         do_GET = do_POST = _answer
 
         def log_message(self, *_) -> None:

@@ -20,6 +20,31 @@ def le32(n: Column) -> Column:
     return F.unhex(F.regexp_replace(F.lpad(F.hex(n.cast("bigint")), 8, "0"), "(..)(..)(..)(..)", "$4$3$2$1"))
 
 
+def from_le(raw: Column) -> Column:
+    """The number that up to seven bytes hold, lowest first."""
+    digits = F.hex(raw)
+    turned = F.array_join(F.reverse(F.transform(F.sequence(F.lit(0), F.octet_length(raw) - 1), lambda i: F.substring(digits, 2 * i + 1, F.lit(2)))), "")
+    return F.when(F.octet_length(raw) > 0, F.conv(turned, 16, 10).cast("bigint"))
+
+
+def record_bytes(key: Column, value: Column) -> Column:
+    """A log record as bytes: checksum, both sizes, key and value; a null value is a tombstone."""
+    size = F.coalesce(F.octet_length(value).cast("bigint"), F.lit(TOMBSTONE_SIZE))
+    return F.concat(le32(record_crc(key, value)), le32(F.octet_length(key)), le32(size), key.cast("binary"), F.coalesce(value, F.lit("")).cast("binary"))
+
+
+def parsed_record(raw: Column) -> Column:
+    """``key``, ``value`` (null: a tombstone) and whether the stored checksum is right; null where the sizes do not fit."""
+    part = lambda at, n: F.substring(raw, at, n)
+    n_key, n_value = from_le(part(F.lit(5), F.lit(4))), from_le(part(F.lit(9), F.lit(4)))
+    gone = n_value == TOMBSTONE_SIZE
+    n = F.when(gone, F.lit(0)).otherwise(n_value)
+    key = part(F.lit(13), n_key.cast("int")).cast("string")
+    value = F.when(~gone, part((n_key + 13).cast("int"), n.cast("int")).cast("string"))
+    fits = (F.octet_length(raw) >= 12) & (F.octet_length(raw) == 12 + n_key + n)
+    return F.when(fits, F.struct(key.alias("key"), value.alias("value"), (from_le(part(F.lit(1), F.lit(4))) == record_crc(key, value)).alias("intact")))
+
+
 def record_crc(key: Column, value: Column) -> Column:
     """CRC-32 of a log record: both sizes, then key and value; a null value is a tombstone."""
     size = F.coalesce(F.octet_length(value).cast("bigint"), F.lit(TOMBSTONE_SIZE))
@@ -39,10 +64,33 @@ def murmur64a(data: bytes, seed: int = MURMUR_SEED) -> int:
     return h ^ (h >> MURMUR_SHIFT)
 
 
+def murmur64a_all(keys: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(MurmurHash64A of each string as unsigned 64-bit numbers, whether it is there at all): all strings take a step together."""
+    there = keys.notna().to_numpy()
+    raw = [k.encode() if ok else b"" for k, ok in zip(keys, there, strict=True)]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    words = (size + 7) // 8
+    flat = np.frombuffer(b"".join(r.ljust(8 * w, b"\x00") for r, w in zip(raw, words.tolist(), strict=True)), "<u8").astype(np.uint64)
+    first = np.cumsum(words) - words
+    m, shift = np.uint64(MURMUR_MULTIPLIER), np.uint64(MURMUR_SHIFT)
+    h = np.uint64(MURMUR_SEED) ^ (size.astype(np.uint64) * m)
+    order = np.argsort(-size, kind="stable")  # strings with more words first
+    longest = (size // 8)[order]
+    for step in range(int(longest[0]) if len(longest) else 0):
+        at = order[: int(np.searchsorted(-longest, -step, "left"))]
+        k = flat[first[at] + step] * m
+        h[at] = (h[at] ^ ((k ^ (k >> shift)) * m)) * m
+    tail = np.flatnonzero(size % 8)
+    h[tail] = (h[tail] ^ flat[first[tail] + size[tail] // 8]) * m
+    h = (h ^ (h >> shift)) * m
+    return h ^ (h >> shift), there
+
+
 @pandas_udf(LongType())
 def murmur64a_udf(keys: pd.Series) -> pd.Series:
-    """MurmurHash64A of a column of strings, as signed 64-bit numbers."""
-    return pd.Series(np.array([murmur64a(k.encode()) for k in keys], np.uint64).view(np.int64))
+    """MurmurHash64A of a column of strings, as signed 64-bit numbers; null for null."""
+    h, there = murmur64a_all(keys)
+    return pd.Series(h.view(np.int64), dtype="Int64").where(pd.Series(there))
 
 
 def bloom_bits(n: Column, p: float) -> Column:
@@ -60,17 +108,37 @@ class BloomFilter:
     def __init__(self, n: int, p: float = 0.01) -> None:
         import math
 
+        n = max(1, n)
         bits = math.ceil(-n * math.log(p) / math.log(2) ** 2)
-        self.k, self.bytes = max(1, math.ceil(bits / n * math.log(2))), bytearray((bits + 7) // 8)
+        self.k, self.bytes = max(1, math.ceil(bits / n * math.log(2))), np.zeros((bits + 7) // 8, np.uint8)
+
+    @classmethod
+    def load(cls, k: int, raw: bytes) -> BloomFilter:
+        out = cls(1)
+        out.k, out.bytes = k, np.frombuffer(raw, np.uint8)
+        return out
 
-    def _places(self, key: str) -> list[int]:
-        h = murmur64a(key.encode())
-        turned = (h >> 32 | h << 32) & _WORD
-        return [((h + i * turned) & _WORD) % (8 * len(self.bytes)) for i in range(self.k)]
+    def _places(self, keys: pd.Series) -> np.ndarray:
+        h, _ = murmur64a_all(keys)
+        turned = h >> np.uint64(32) | h << np.uint64(32)
+        return (h[:, None] + np.arange(self.k, dtype=np.uint64) * turned[:, None]) % np.uint64(8 * len(self.bytes))
+
+    def add_all(self, keys: pd.Series) -> None:
+        at = self._places(keys).ravel()
+        np.bitwise_or.at(self.bytes, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
     def add(self, key: str) -> None:
-        for i in self._places(key):
-            self.bytes[i >> 3] |= 1 << (i & 7)
+        self.add_all(pd.Series([key]))
 
     def may_contain(self, key: str) -> bool:
-        return all(self.bytes[i >> 3] >> (i & 7) & 1 for i in self._places(key))
+        at = self._places(pd.Series([key])).ravel()
+        return bool((self.bytes[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all())
+
+
+def filter_rows(batches):
+    """For ``mapInPandas`` over ``chunk, key``: a Bloom filter for each chunk of a batch, with the range of keys that it answers for."""
+    for batch in batches:
+        for chunk, rows in batch.groupby("chunk"):
+            bloom = BloomFilter(len(rows))
+            bloom.add_all(rows["key"])
+            yield pd.DataFrame({"chunk": [chunk], "min_key": [rows["key"].min()], "max_key": [rows["key"].max()], "k": [bloom.k], "bits": [bloom.bytes.tobytes()]})

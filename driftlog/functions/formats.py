@@ -87,3 +87,28 @@ def message_key(topic: Column, payload: Column, seq: Column) -> Column:
     place = F.concat(F.lit("mqtt:"), topic)
     built = F.when(is_state(topic), place).otherwise(F.concat(place, F.lit(":"), suffix))
     return F.coalesce(F.when(route(topic, payload).isin("delete", "get"), target).otherwise(named), built)
+
+
+def display_bytes(n: Column) -> Column:
+    """Bytes for people: whole bytes, else one decimal of KB, MB or GB."""
+    n = F.coalesce(n.cast("double"), F.lit(0.0))
+    step = F.when(n < 1024, 0).when(n < 1024.0**2, 1).when(n < 1024.0**3, 2).otherwise(3)
+    unit = F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), step + 1)
+    scaled = n / F.pow(F.lit(1024.0), step)
+    return F.concat_ws(" ", F.when(step == 0, F.format_string("%.0f", scaled)).otherwise(F.format_string("%.1f", scaled)), unit)
+
+
+def display_factor(x: Column) -> Column:
+    """An amplification for people."""
+    return F.format_string("%.2fx", F.coalesce(x.cast("double"), F.lit(0.0)))
+
+
+def display_number(n: Column) -> Column:
+    """A whole number with commas, after three digits and then after every two."""
+    text = F.coalesce(n.cast("bigint"), F.lit(0)).cast("string")
+    return F.regexp_replace(text, r"(?<=[0-9])(?=(?:[0-9]{2})*[0-9]{3}$)", ",")
+
+
+def sequence_of_path(path: Column) -> Column:
+    """The number after the last ``sst_`` of a path, 0 without one."""
+    return F.coalesce(F.regexp_extract(path, r"^.*sst_([0-9]+)", 1).try_cast("bigint"), F.lit(0).cast("bigint"))

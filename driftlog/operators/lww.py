@@ -67,10 +67,18 @@ def running_sum(frame: DataFrame, value: Column, order: str, block: Column, keys
 
 
 def version_rank(writes: DataFrame, block: int = 1 << 20) -> DataFrame:
-    """``version``: 1 for a key's first write; ``newest_rank``: 1 for its newest, the others are shadowed."""
-    numbered = running_sum(writes, F.lit(1), "seq", block_of("seq", block), ["key"], "version")
-    total = writes.groupBy("key").agg(F.count("*").alias("_n"))
-    return numbered.join(total, "key").withColumn("newest_rank", F.col("_n") - F.col("version") + 1).drop("_n")
+    """``version``: 1 for a key's first write; ``newest_rank``: 1 for its newest, the others are shadowed.
+
+    Totals reach the writes by key and block, so a hot key is as spread as its blocks are.
+    """
+    rows = writes.withColumn("_b", block_of("seq", block))
+    inside = Window.partitionBy("key", "_b").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    per_block = rows.groupBy("key", "_b").agg(F.count("*").alias("_s"))
+    every = Window.partitionBy("key")
+    between = every.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_block.select("key", "_b", F.coalesce(F.sum("_s").over(between), F.lit(0)).alias("_before"), F.sum("_s").over(every).alias("_n"))
+    out = rows.withColumn("_in", F.count("*").over(inside)).join(starts, ["key", "_b"]).withColumn("version", F.col("_before") + F.col("_in"))
+    return out.withColumn("newest_rank", F.col("_n") - F.col("version") + 1).drop("_b", "_in", "_before", "_n")
 
 
 def as_of(reads: DataFrame, writes: DataFrame, block: int = 1 << 20) -> DataFrame:

@@ -31,10 +31,39 @@ def range_overlaps(meta: DataFrame) -> DataFrame:
     return a.join(b, (F.col("a.run_seq") < F.col("b.run_seq")) & meet).select(F.col("a.run_seq").alias("run_a"), F.col("b.run_seq").alias("run_b"))
 
 
-def candidate_runs(keys: DataFrame, meta: DataFrame) -> DataFrame:
-    """For each key, how many runs have it inside their key range."""
-    hit = keys.join(F.broadcast(meta), (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key")), "left")
-    return hit.groupBy("key").agg(F.count("run_seq").alias("candidates"))
+def candidate_runs(keys: DataFrame, meta: DataFrame, most: int = 1000) -> DataFrame:
+    """For each key, how many runs have it inside their key range.
+
+    Ranges that begin at or before a key, less those that end before it: two as-of counts over the sorted
+    bounds. Up to ``most`` runs the bounds are an array in every row; beyond that the bounds cut the keys into
+    stretches, in each of which one window runs over the keys and the bounds.
+    """
+    bounds = meta.agg(F.count("*").alias("n")).first()["n"]
+    if bounds <= most:
+        ends = meta.agg(F.sort_array(F.collect_list("min_key")).alias("lo"), F.sort_array(F.collect_list("max_key")).alias("hi"))
+        at = keys.crossJoin(F.broadcast(ends))  # one row
+        begun, over = F.size(F.filter("lo", lambda x: x <= F.col("key"))), F.size(F.filter("hi", lambda x: x < F.col("key")))
+        return at.select("key", (begun - over).cast("bigint").alias("candidates"))
+    events = keys.select("key", F.lit(1).alias("at"), F.lit(0).alias("v")).unionAll(meta.select("min_key", F.lit(0), F.lit(1))).unionAll(meta.select("max_key", F.lit(2), F.lit(-1)))
+    events = events.select("key", "at", "v", F.struct("key", "at").alias("place"))
+    cut = blocks_by_range(events, "key", 256)
+    # a key counts the ranges that begin up to it; those that end at it end behind it
+    counted = running_sum(cut, F.col("v"), "place", F.col("block"), [], "candidates")
+    return counted.where("at = 1").select("key", F.col("candidates").cast("bigint").alias("candidates"))
+
+
+def blocks_by_range(frame: DataFrame, column: str, blocks: int) -> DataFrame:
+    """``frame`` with ``block``: which of about so many stretches of ``column`` a row falls into, by sampled splitters."""
+    cuts = sorted({r[column] for r in frame.select(column).where(F.col(column).isNotNull()).sample(min(1.0, 64 * blocks / max(1, frame.count())), seed=1).distinct().collect()})
+    splitters = cuts[:: max(1, len(cuts) // blocks)]
+    if not splitters:
+        return frame.withColumn("block", F.lit(0))
+    return frame.withColumn("block", F.size(F.filter(F.array(*map(F.lit, splitters)), lambda x: x <= F.col(column))))
+
+
+def retained(meta: DataFrame, lo: Column, hi: Column) -> DataFrame:
+    """Runs that a compaction of the keys from ``lo`` to ``hi`` leaves as they are."""
+    return meta.where(~((F.col("max_key") >= lo) & (F.col("min_key") <= hi)))
 
 
 def merge_levels(levels: DataFrame) -> DataFrame:
@@ -48,10 +77,10 @@ def compact(source: DataFrame, target: DataFrame) -> DataFrame:
     return merge_levels(both).drop("level")
 
 
-def chunks(merged: DataFrame, threshold: int, prefix: int = 8) -> DataFrame:
+def chunks(merged: DataFrame, threshold: int, blocks: int = 256) -> DataFrame:
     """Which chunk of about ``threshold`` bytes of keys each entry falls into, in key order."""
     size = F.octet_length("key") + ENTRY_BYTES
-    cut = running_sum(merged.select("key"), size, "key", F.substring("key", 1, prefix), [], "_bytes", inclusive=False)
+    cut = running_sum(blocks_by_range(merged.select("key"), "key", blocks), size, "key", F.col("block"), [], "_bytes", inclusive=False)
     return cut.select("key", F.expr(f"_bytes div {threshold}").alias("chunk"))
 
 

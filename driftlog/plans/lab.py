@@ -88,6 +88,10 @@ class Lab:
     ranges: list[tuple[int, int, int, str]] = field(default_factory=list)  # step, first id, last id, verb: for versions
     model: DataFrame | None = None
     at: int = 0
+    before: dict[str, int] = field(default_factory=dict)  # counters when the script began
+
+    def __post_init__(self) -> None:
+        self.before = dict(self.store.catalog.stats)
 
     def _bulk(self, n: int, step: Step) -> DataFrame:
         """Operations of a range step. An event's version is the number of inserts and updates of it so far."""
@@ -150,7 +154,7 @@ class Lab:
             self.counts["commands"] += 1
             if step.bad:
                 ok = False
-                self.steps.append(("parse", False, f"Unsupported command: {step.text}"))
+                self.steps.append(("parse", False, f"cannot understand: {step.text}"))
             elif step.ids is not None:
                 self._apply(self._bulk(n, step), step.verb, step.ids[1] - step.ids[0] + 1)
                 self.steps.append((step.verb, True, step.text))
@@ -163,7 +167,7 @@ class Lab:
                 self._maintain(step.verb)
         if not self.counts["commands"]:
             ok = False
-            self.steps.append(("parse", False, "No commands were provided."))
+            self.steps.append(("parse", False, "the script has no command"))
         else:
             self.verify()
         return self.report(ok)
@@ -176,14 +180,31 @@ class Lab:
             self.store.compact(0 if verb == "compact" else 1)
             self.counts["compactions"] += 1
         elif verb == "recover":
-            self.store = self.store.reopen()
+            reads, self.store = self.store.reads, self.store.reopen()
+            for k, n in reads.items():  # a session's counters go on
+                self.store.reads[k] += n
             self.counts["recoveries"] += 1
         self.steps.append((verb, True, str(self.store.catalog.levels())))
 
     def report(self, ok: bool) -> dict[str, object]:
         want = self._expected().agg(F.count_if(F.col("op") != "delete").alias("live"), F.count_if(F.col("op") == "delete").alias("gone")).first()
         passed = ok and not self.counts["mismatches"]
-        return {"status": "pass" if passed else "fail", **self.counts, "model_live_keys": want["live"], "model_deleted_keys": want["gone"], **self.store.metrics(), "levels": self.store.catalog.levels(), "memory": self.store.memory(), "steps": self.steps, "mismatch_details": self.details}
+        m, kinds, memory, levels = self.store.metrics(), self.store.bytes_by_kind(), self.store.memory(), self.store.catalog.levels()
+        written = {k: m[k] - self.before[k] for k in ("user_bytes_written", "storage_bytes_written")}
+        share = lambda a, b: a / b if b else 0.0
+        values = self.store.value_bytes()
+        disk = kinds["segment"]["bytes"] + kinds["run"]["bytes"]
+        return {
+            **m, "status": "pass" if passed else "fail", **self.counts,
+            "script_user_bytes_written": written["user_bytes_written"], "script_storage_bytes_written": written["storage_bytes_written"],
+            "model_live_keys": want["live"], "model_deleted_keys": want["gone"],
+            "memtable_entries": memory["entries"], "memtable_bytes": memory["bytes"], "flush_threshold": self.store.limits.flush_bytes,
+            **{f"l{n}_count": levels.get(n, 0) for n in (0, 1, 2)},
+            "wal_bytes": kinds["segment"]["bytes"], "sst_files": kinds["run"]["files"], "sst_bytes": kinds["run"]["bytes"], "vlog_bytes": values, "total_disk_bytes": disk,
+            "live_keys_estimate": m["live_keys"], "tombstones_estimate": m["tombstones"], "live_logical_bytes_estimate": m["live_logical_bytes"],
+            "space_amplification_estimate": share(disk, m["live_logical_bytes"]), "write_amplification": share(written["storage_bytes_written"], written["user_bytes_written"]),
+            "levels": levels, "memory": memory, "steps": self.steps, "mismatch_details": self.details,
+        }
 
 
 def run_script(spark: SparkSession, root: str, script: str) -> dict[str, object]:

@@ -13,12 +13,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftlog.functions.binary import BloomFilter, filter_rows, record_crc
 from driftlog.operators import lww, metrics, runs
+from driftlog.package import ship_package
 from driftlog.plans.catalog import Catalog, Files, Run
 from driftlog.schemas import ENTRY_BYTES, FOOTER_BYTES, VALUE_HEADER, Limits
-from driftlog.sources.oplog import accepted
+from driftlog.sources.oplog import accepted, checked
 
 ROW = "key string, seq bigint, op string, value string"
+#: events that a store remembers, keys that one Bloom filter answers for, and levels that maintenance goes down
+MOST_TRACED, FILTER_KEYS, MOST_LEVELS = 200, 1 << 20, 32
 
 
 class Store:
@@ -27,7 +31,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, limits: Limits = Limits()) -> None:
         self.spark, self.root, self.limits = spark, root.rstrip("/"), limits
         self.files = Files(spark, self.root)
-        self.events: list[tuple[str, str]] = []
+        self.damage: dict[str, object] = {}
         self.reads = {"get_calls": 0, "sst_considered": 0, "bloom_skips": 0, "sst_searches": 0, "vlog_reads": 0}
         self.catalog = Catalog.load(self.files)
         self._recover()
@@ -45,7 +49,7 @@ class Store:
         self.maintain()
         rows = good.where("op <> 'get'").withColumn("seq", F.col("seq") + self.catalog.next_seq)
         name = self._name("segment")
-        rows.select("key", "seq", "op", "value").write.parquet(f"{self.root}/{name}")
+        rows.select("key", "seq", "op", "value", record_crc(F.col("key"), F.when(F.col("op") != "delete", F.col("value"))).alias("crc")).write.parquet(f"{self.root}/{name}")
         seen = self._segments([name]).agg(
             F.count("*").alias("n"), F.max("seq").alias("last"), F.coalesce(F.sum(metrics.user_bytes()), F.lit(0)).alias("user"),
             F.coalesce(F.sum(metrics.storage_bytes()), F.lit(0)).alias("stored"), F.count_if(F.col("op") == "delete").alias("deletes"),
@@ -86,8 +90,9 @@ class Store:
     def live(self) -> DataFrame:
         return self.current().where("op <> 'delete'").select("key", "value")
 
-    def get(self, key: str) -> tuple[bool, str | None]:
-        """Newest first: segments, then runs whose key range holds the key, which alone are opened."""
+    def get(self, key: str, bypass_filter: bool = False) -> tuple[bool, str | None]:
+        """Newest first: segments, then runs. A run is opened if its Bloom filter for the key's range may hold
+        the key, or, with ``bypass_filter``, whatever it says. Below level 0, runs of other ranges are not considered."""
         self.reads["get_calls"] += 1
         names = list(self.catalog.segments)
         found = self._newest(self._segments(names), key) if names else None
@@ -95,8 +100,10 @@ class Store:
             for run in self.catalog.level(level):
                 if found is not None:
                     break
+                if level and not run.min_key <= key <= run.max_key:
+                    continue
                 self.reads["sst_considered"] += 1
-                if not run.min_key <= key <= run.max_key:
+                if not bypass_filter and not self.may_contain(run, key):
                     self.reads["bloom_skips"] += 1
                     continue
                 self.reads["sst_searches"] += 1
@@ -106,6 +113,23 @@ class Store:
         self.reads["vlog_reads"] += 1
         return True, found["value"]
 
+    def may_contain(self, run: Run, key: str) -> bool:
+        """What the run's filters say. A key outside all their ranges is certainly not there."""
+        if not run.min_key <= key <= run.max_key:
+            return False
+        filters = self.spark.read.schema("min_key string, max_key string, k int, bits binary").parquet(f"{self.root}/{run.filters}")
+        near = filters.where((F.col("min_key") <= key) & (F.col("max_key") >= key)).select("k", "bits")
+        return any(BloomFilter.load(r["k"], bytes(r["bits"])).may_contain(key) for r in near.toLocalIterator())
+
+    def memory_scan(self, first: str | None = None, last: str | None = None) -> DataFrame:
+        """The newest write of each key that is not flushed yet, in the order of keys, between two keys."""
+        rows = self._segments(self.catalog.segments)
+        if first is not None:
+            rows = rows.where(F.col("key") >= first)
+        if last is not None:
+            rows = rows.where(F.col("key") <= last)
+        return lww.resolve(rows).orderBy("key")
+
     def _newest(self, rows: DataFrame, key: str):
         return rows.where(F.col("key") == key).orderBy(F.desc("seq")).limit(1).first()
 
@@ -120,19 +144,52 @@ class Store:
         return f"{kind}-{n:08d}-{uuid.uuid4().hex[:8]}"
 
     def _commit(self, event: str, detail: str) -> None:
+        if self.catalog.tracing:
+            self.catalog.trace = [*self.catalog.trace, f"{event} | {detail}"][-MOST_TRACED:]
         self.catalog.commit(self.files)
-        self.events.append((event, detail))
-
-    def _write_runs(self, rows: DataFrame, level: int) -> list[Run]:
-        """Rows as one sorted run: ranges of keys in files, sorted inside, with Bloom filters on the key."""
-        name = self._name("run")
-        rows.select("key", "seq", "op", "value").repartitionByRange("key").sortWithinPartitions("key").write.options(**{"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true"}).parquet(f"{self.root}/{name}")
-        m = self._segments([name]).agg(F.min("key").alias("a"), F.max("key").alias("z"), F.count("*").alias("n"), F.sum(F.octet_length("key")).alias("b")).first()
-        if not m["n"]:
+
+    def set_tracing(self, on: bool) -> None:
+        """Whether events are kept from now on; the store remembers it."""
+        if on != self.catalog.tracing:
+            self.catalog.tracing = on
+            self._commit("trace", "enabled" if on else "disabled")
+
+    def _write_runs(self, rows: DataFrame, level: int, chunk_bytes: int | None = None) -> list[Run]:
+        """Rows as sorted runs, each with Bloom filters over its keys.
+
+        Without ``chunk_bytes`` one run, of ranges of keys in files; else as many runs, by ranges of keys, as
+        there are so many bytes of keys.
+        """
+        name, rows = self._name("run"), rows.select("key", "seq", "op", "value")
+        at = f"{self.root}/{name}"
+        if chunk_bytes is None:
+            rows.repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{at}/chunk=0")
+        else:
+            size = rows.agg(F.sum(F.octet_length("key") + ENTRY_BYTES)).first()[0] or 0
+            chunked = rows.repartitionByRange(size // chunk_bytes + 1, "key").withColumn("chunk", F.spark_partition_id())
+            chunked.sortWithinPartitions("chunk", "key").write.partitionBy("chunk").parquet(at)
+        written = self.spark.read.schema(f"{ROW}, chunk int").parquet(at)
+        made = written.groupBy("chunk").agg(F.min("key").alias("a"), F.max("key").alias("z"), F.count("*").alias("n"), F.sum(F.octet_length("key")).alias("b")).orderBy("chunk").collect()  # a row for each run
+        if not made:
             self.files.remove(name)
             return []
-        self.catalog.stats["storage_bytes_written"] += m["b"] + ENTRY_BYTES * m["n"] + FOOTER_BYTES
-        return [Run(self.catalog.next_name - 1, level, name, m["a"], m["z"], m["n"], m["b"])]
+        out = []
+        for i, m in enumerate(made):
+            if i:
+                self.catalog.next_name += 1
+            path = f"{name}/chunk={m['chunk']}"
+            out.append(Run(self.catalog.next_name - 1, level, path, m["a"], m["z"], m["n"], m["b"], f"{name}/_filters/chunk={m['chunk']}"))
+            self.catalog.stats["storage_bytes_written"] += m["b"] + ENTRY_BYTES * m["n"] + FOOTER_BYTES
+        ship_package(self.spark)
+        setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(setting)
+        self.spark.conf.set(setting, str(FILTER_KEYS))
+        try:  # the folder's name begins with a line, so readers of the run do not see it
+            filters = written.select("chunk", "key").mapInPandas(filter_rows, "chunk int, min_key string, max_key string, k int, bits binary")
+            filters.write.partitionBy("chunk").parquet(f"{at}/_filters")
+        finally:
+            self.spark.conf.set(setting, before)
+        return out
 
     def memory(self) -> dict[str, int]:
         """Entries of the not yet flushed state, and the bytes that count towards a flush."""
@@ -152,20 +209,32 @@ class Store:
         return True
 
     def compact(self, level: int = 0) -> bool:
-        """All runs of a level, with the runs of the next that their keys meet, as one run of the next."""
+        """All runs of a level, with the runs of the next that their keys meet, as runs of the next by ranges of keys.
+
+        Runs of the next level that their keys do not meet stay as they are.
+        """
         source = self.catalog.level(level)
         if not source:
             return False
         lo, hi = min(r.min_key for r in source), max(r.max_key for r in source)
         target = [r for r in self.catalog.level(level + 1) if r.max_key >= lo and r.min_key <= hi]
-        merged = self._write_runs(runs.compact(self._ranked(source), self._ranked(target)), level + 1)
+        retained = len(self.catalog.level(level + 1)) - len(target)
+        merged = self._write_runs(runs.compact(self._ranked(source), self._ranked(target)), level + 1, self.limits.flush_bytes)
         gone = {r.path for r in source + target}
         self.catalog.runs = [r for r in self.catalog.runs if r.path not in gone] + merged
-        self._commit("compact", f"level {level}: {len(source)} runs, {len(target)} of the next")
-        for path in gone:
-            self.files.remove(path)
+        self._commit("compact", f"level {level}: {len(source)} runs, {len(target)} of the next, {retained} retained, {len(merged)} written")
+        for run in source + target:
+            self._drop(run)
         return True
 
+    def _drop(self, run: Run) -> None:
+        """Remove a run's files, and its folder when no other run of it is left."""
+        self.files.remove(run.path)
+        self.files.remove(run.filters)
+        name = run.path.partition("/")[0]
+        if not any(r.path.partition("/")[0] == name for r in self.catalog.runs + self.catalog.pending):
+            self.files.remove(name)
+
     def _ranked(self, found: list[Run]) -> DataFrame:
         """Rows of runs with ``run_seq``."""
         parts = [self._rows([r]).withColumn("run_seq", F.lit(r.run_seq)) for r in found]
@@ -175,16 +244,19 @@ class Store:
         return out
 
     def maintain(self) -> None:
-        """Compact levels over their limit, then flush if enough is in memory."""
-        for level in sorted(self.catalog.levels(), reverse=True):
-            if len(self.catalog.level(level)) > self.limits.of_level(level):
+        """Compact every level over its limit, and those that this brings over theirs; then flush if enough is in memory."""
+        level = 0
+        while level <= max(self.catalog.levels(), default=-1) and level < MOST_LEVELS:
+            deepest = level == max(self.catalog.levels())
+            if len(self.catalog.level(level)) > self.limits.of_level(level) and not (deepest and level and self.limits.growth < 2):  # a level that holds no more is no help
                 self.compact(level)
+            level += 1
         if self.catalog.segments and self.memory()["bytes"] >= self.limits.flush_bytes:
             self.flush()
 
     def collect(self) -> dict[str, int]:
         """Drop shadowed values: rewrite what is visible (tombstones stay) as one run of the deepest level."""
-        before = self._value_bytes()
+        before = self.value_bytes()
         self.catalog.phase, self.catalog.pending = "started", []
         self._commit("gc", "started")
         level = max([1, *self.catalog.levels()])
@@ -196,32 +268,74 @@ class Store:
         self.catalog.phase = "rewrite_complete"
         self._commit("gc", "rewrite_complete")
         self._finish_collection()
-        return {"bytes_before": before, "bytes_after": self._value_bytes()}
+        return {"bytes_before": before, "bytes_after": self.value_bytes()}
 
-    def _value_bytes(self) -> int:
+    def value_bytes(self) -> int:
         """Bytes of all stored values with their length fields, shadowed ones too."""
         return self.log().where("op <> 'delete'").agg(F.coalesce(F.sum(F.octet_length("value") + VALUE_HEADER), F.lit(0))).first()[0]
 
     def _finish_collection(self) -> None:
-        gone = [r.path for r in self.catalog.runs] + self.catalog.segments
+        gone, names = list(self.catalog.runs), list(self.catalog.segments)
         self.catalog.runs, self.catalog.segments, self.catalog.pending, self.catalog.phase = self.catalog.pending, [], [], ""
         self._commit("gc", "done")
-        for path in gone:
-            self.files.remove(path)
+        for run in gone:
+            self._drop(run)
+        for name in names:
+            self.files.remove(name)
 
     def _recover(self) -> None:
-        """Finish or undo a collection, then remove folders that no catalog names."""
+        """Finish or undo a collection, cut damaged segments off, then remove folders that no catalog names."""
         if self.catalog.phase == "rewrite_complete":
             self._finish_collection()
         elif self.catalog.phase:
             self.catalog.phase, self.catalog.pending = "", []
             self._commit("gc", "rolled back")
+        self._truncate()
         for name in self.orphans():
             self.files.remove(name)
 
+    def _truncate(self) -> None:
+        """Replay stops at the first record whose checksum is wrong: it and all that follows are cut off."""
+        if not self.catalog.segments:
+            return
+        stored = self.spark.read.schema(f"{ROW}, crc bigint").parquet(*[f"{self.root}/{n}" for n in self.catalog.segments])
+        bad = stored.where(~F.coalesce(checked(stored), F.lit(False))).agg(F.min("seq")).first()[0]
+        if bad is None:
+            return
+        kept, left = stored.where(F.col("seq") < bad), []
+        before = stored.agg(F.count("*")).first()[0]
+        name = self._name("segment")
+        kept.write.parquet(f"{self.root}/{name}")
+        seen = self._segments([name]).agg(F.count("*").alias("n"), F.max("seq").alias("last")).first()
+        if seen["n"]:
+            left = [name]
+        self.damage = {"bad_seq": bad, "safe_seq": seen["last"], "kept": seen["n"], "lost": before - seen["n"]}
+        self.catalog.segments, self.catalog.next_seq = left, bad
+        self._commit("recover", f"log damaged at {bad}, {seen['n']} records kept")
+
+    def replace_segment(self, name: str, rows: DataFrame) -> None:
+        """Put other rows (with ``crc``) in the place of a segment; what damages and repairs are made with."""
+        new = self._name("segment")
+        rows.select("key", "seq", "op", "value", "crc").write.parquet(f"{self.root}/{new}")
+        self.catalog.segments[self.catalog.segments.index(name)] = new
+        self._commit("replace", f"{name} by {new}")
+        self.files.remove(name)
+
     def orphans(self) -> list[str]:
-        named = {r.path for r in self.catalog.runs + self.catalog.pending} | set(self.catalog.segments)
-        return [n for n in self.files.names() if n.startswith(("run-", "segment-")) and n not in named]
+        """Folders of runs and segments, and chunks of runs, that the catalog does not name."""
+        held = self.catalog.runs + self.catalog.pending
+        named = {r.path.partition("/")[0] for r in held} | set(self.catalog.segments)
+        chunks = {p for r in held for p in (r.path, r.filters)}
+        out = []
+        for n in self.files.names():
+            if not n.startswith(("run-", "segment-")):
+                continue
+            if n not in named:
+                out.append(n)
+            elif n.startswith("run-"):
+                inside = [f"{n}/{x}" for x in self.files.names(n)] + [f"{n}/_filters/{x}" for x in self.files.names(f"{n}/_filters")]
+                out += [x for x in inside if x.rpartition("/")[2].startswith("chunk=") and x not in chunks]
+        return out
 
     def reopen(self) -> Store:
         return Store(self.spark, self.root, self.limits)
@@ -252,10 +366,21 @@ class Store:
         return {"memory": self.memory(), "levels": levels, "pressure": {n: 100 * c / self.limits.of_level(n) for n, c in levels.items()}, "version": self.catalog.version, "phase": self.catalog.phase}
 
     def describe_files(self) -> list[dict[str, object]]:
-        """Each folder of the store, whether the catalog names it, and runs of the catalog that are missing."""
+        """Each run and segment, whether the catalog names it, and those of the catalog that are missing."""
         named = {r.path: r.level for r in self.catalog.runs} | {s: -1 for s in self.catalog.segments}
-        there = [n for n in self.files.names() if n.startswith(("run-", "segment-"))]
-        return [{"name": n, "kind": n.partition("-")[0], "level": named.get(n), "in_catalog": n in named, "exists": n in there, "bytes": self.files.size(n)} for n in sorted(set(there) | set(named))]
+        there = set(self.orphans()) | {n for n in named if self.files.exists(n)}
+        return [{"name": n, "kind": n.partition("-")[0], "level": named.get(n), "in_catalog": n in named, "exists": n in there, "bytes": self.files.size(n)} for n in sorted(there | set(named))]
+
+    def bytes_by_kind(self) -> dict[str, dict[str, int]]:
+        """Number and bytes of the files of each kind: runs, their filters, segments and the catalog."""
+        out = {k: {"files": 0, "bytes": 0} for k in ("run", "filter", "segment", "catalog")}
+        places = [("run", r.path) for r in self.catalog.runs] + [("filter", r.filters) for r in self.catalog.runs] + [("segment", n) for n in self.catalog.segments]
+        newest = [n for n in self.files.names() if n.startswith("catalog-") and n.endswith(".json")][-1:]
+        for kind, name in places + [("catalog", n) for n in newest]:
+            out[kind]["files"] += 1
+            out[kind]["bytes"] += self.files.size(name)
+        return out
+
+    def trace(self, last: int = MOST_TRACED) -> list[str]:
+        return self.catalog.trace[-last:]
 
-    def trace(self, last: int = 200) -> list[str]:
-        return [f"{e} | {d}" for e, d in self.events[-last:]]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlog.plans.store import Store
@@ -21,6 +21,18 @@ PHASES = (
 )
 
 
+#: differences that a phase tells by key
+MOST_TOLD = 25
+
+
+def differences(model: DataFrame, found: DataFrame) -> tuple[Column, DataFrame]:
+    """(kind of difference, null-free, to be used on) both states (``key, value``) side by side."""
+    want = model.select("key", F.col("value").alias("want"), F.lit(True).alias("wanted"))
+    have = found.select("key", F.col("value").alias("have"), F.lit(True).alias("there"))
+    kind = F.when(F.col("wanted").isNull(), "unexpected").when(F.col("there").isNull(), "missing").when(~F.col("want").eqNullSafe(F.col("have")), "different").otherwise("same")
+    return kind, want.join(have, "key", "full_outer")
+
+
 class Suite:
     def __init__(self, store: Store, ops: int) -> None:
         self.store, self.n, self.spark = store, clamp(ops, 100, 100_000), store.spark
@@ -39,9 +51,11 @@ class Suite:
         return rows.groupBy("key").agg(F.max_by(F.struct("op", "value"), "round").alias("w")).select("key", "w.*").where("op <> 'delete'")
 
     def check(self, phase: str, fine: bool = True, **more) -> None:
-        both = self.model().select("key", "value").join(self.store.live().withColumnRenamed("value", "found").withColumn("there", F.lit(True)), "key", "full_outer")
-        got = both.agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull() | F.col("there").isNull() | ~F.col("value").eqNullSafe(F.col("found"))).alias("bad")).first()
-        self.phases.append({"phase": phase, "checked": got["n"], "mismatches": got["bad"], "ok": fine and not got["bad"], **more})
+        kind, both = differences(self.model(), self.store.live())
+        judged = both.select("key", kind.alias("kind"))
+        got = judged.agg(F.count("*").alias("n"), F.count_if(F.col("kind") != "same").alias("bad")).first()
+        details = [f"{r['key']}: {r['kind']}" for r in judged.where("kind <> 'same'").orderBy("key").limit(MOST_TOLD).collect()] if got["bad"] else []
+        self.phases.append({"phase": phase, "checked": got["n"], "mismatches": got["bad"], "ok": fine and not got["bad"], "details": details, **more})
 
     def basic(self) -> None:
         self.write(sequence_events(self.spark, 0, self.n, 1))
@@ -75,7 +89,11 @@ class Suite:
     def bloom(self) -> None:
         missing = self.model().select(F.concat("key", F.lit(":missing")).alias("key")).limit(500)
         found = self.store.multi_get(missing).where("found").count()
-        self.check("bloom", not found, missing=500, found=found)
+        keys = [r["key"] for r in missing.orderBy("key").limit(3).collect()]
+        before = dict(self.store.reads)
+        some = sum(self.store.get(k)[0] for k in keys)
+        asked = {k: self.store.reads[k] - before[k] for k in ("sst_considered", "bloom_skips", "sst_searches")}
+        self.check("bloom", not found and not some, missing=500, found=found, **asked)
 
     def recovery(self) -> None:
         self.store = self.store.reopen()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlog.functions import formats
+from driftlog.operators.lww import running_sum
 
 MODES = ("stream1", "stream2", "mqtt")
 
@@ -97,6 +100,59 @@ def bench_ops(spark: SparkSession, kind: str, operations: int, value_bytes: int
     return spark.range(operations).select(i.alias("seq"), key.alias("key"), op.alias("op"), F.when(op == "put", value).alias("value"))
 
 
+def bench_keys(spark: SparkSession, operations: int, value_bytes: int = 100) -> DataFrame:
+    """Every key that the reads of a bench may ask for."""
+    i = F.col("id")
+    value = F.substring(F.repeat(F.sha2(i.cast("string"), 256), value_bytes // 64 + 1), 1, value_bytes)
+    return spark.range(operations).select(i.alias("seq"), F.concat(F.lit("key_"), i).alias("key"), F.lit("put").alias("op"), value.alias("value"))
+
+
+def random_messages(spark: SparkSession, events: int, devices: int, site: str = "site_a", seed: int = 42) -> DataFrame:
+    """``topic, payload, seq`` of a publisher that draws devices and operations at random (the same for a seed).
+
+    Deletes and reads draw their target among all telemetry messages before them, or name themselves if none is.
+    """
+    seq = F.col("seq")
+    draw = lambda salt, n: F.pmod(F.xxhash64("seq", F.lit(seed), F.lit(salt)), n if isinstance(n, Column) else F.lit(n))
+    m = spark.range(1, events + 1).withColumnRenamed("id", "seq").withColumn("bucket", draw(0, 100)).withColumn("device", F.format_string("dev_%04d", draw(1, devices) + 1))
+    m = running_sum(m, F.when(F.col("bucket") < 80, 1).otherwise(0), "seq", F.expr("seq div 65536"), [], "so_far")
+    puts = m.where("bucket < 80").select(F.col("so_far").alias("nth"), F.col("seq").alias("target"), F.col("device").alias("target_device"))
+    asked = F.when((F.col("bucket") >= 90) & (F.col("so_far") > 0), draw(2, F.greatest(F.col("so_far"), F.lit(1))) + 1)
+    m = m.withColumn("nth", asked).join(puts, "nth", "left").withColumn("target", F.coalesce("target", "seq")).withColumn("target_device", F.coalesce("target_device", "device"))
+    root = F.concat(F.lit(f"factory/{site}/device/"), F.col("device"))
+    kind = F.element_at(F.array(*map(F.lit, ("firmware", "sampling", "threshold", "mode"))), (draw(3, 4) + 1).cast("int"))
+    of = F.concat(F.lit(f"mqtt:factory/{site}/device/"), F.col("target_device"), F.lit("/telemetry:"), F.col("target"))
+    part = lambda salt, top: F.round(draw(salt, 1000) / 1000.0 * top, 3)
+    telemetry = F.to_json(F.struct(
+        F.lit("put").alias("op"), F.concat(F.lit("mqtt:"), root, F.lit("/telemetry:"), seq).alias("storage_key"), F.col("device").alias("device_id"), seq.alias("sequence"),
+        (F.lit(1_700_000_000_000) + seq * 1000).alias("timestamp_ms"), (24.0 + part(4, 7.0)).alias("temperature_c"), part(5, 4.0).alias("vibration_mm_s"), F.when(part(6, 1.0) > 0.02, "ok").otherwise("warn").alias("status"),
+    ))
+    state = F.to_json(F.struct(F.lit("update").alias("op"), F.col("device").alias("device_id"), seq.alias("sequence"), kind.alias("state_family"), F.concat(kind, F.lit("-"), draw(7, 100_000) + 1).alias("value")))
+    target = F.to_json(F.struct(F.when(F.col("bucket") < 95, "delete").otherwise("get").alias("op"), F.col("device").alias("device_id"), seq.alias("sequence"), of.alias("target_key")))
+    end = F.when(F.col("bucket") < 80, "/telemetry").when(F.col("bucket") < 90, F.concat(F.lit("/state/"), kind)).when(F.col("bucket") < 95, "/delete").otherwise("/query")
+    return m.select(F.concat(root, end).alias("topic"), F.when(F.col("bucket") < 80, telemetry).when(F.col("bucket") < 90, state).otherwise(target).alias("payload"), "seq")
+
+
+def publish(messages: DataFrame, folder: str, rate: float = 0.0, batch: int = 1000, events: int | None = None, stop=None) -> int:
+    """Write messages as files of JSON lines, ``batch`` at a time in the order of ``seq``, not faster than ``rate`` a second.
+
+    ``events``: how many (None: for ever, the messages again and again with further numbers, until ``stop()`` is true).
+    """
+    first, last = messages.agg(F.min("seq"), F.max("seq")).first()
+    if first is None:
+        return 0
+    began, done, span = time.monotonic(), 0, last - first + 1
+    while (events is None or done < events) and not (stop is not None and stop()):
+        lo, turn = done % span, done // span
+        n = min(batch, span - lo, events - done if events is not None else batch)
+        part = messages.where(F.col("seq").between(first + lo, first + lo + n - 1)).withColumn("seq", F.col("seq") + turn * span)
+        part.orderBy("seq").coalesce(1).write.mode("append").json(folder)
+        done += n
+        if rate > 0 and (wait := began + done / rate - time.monotonic()) > 0:
+            time.sleep(wait)
+    return done
+
+
 def publisher_messages(spark: SparkSession, events: int, devices: int, site: str = "site_a") -> DataFrame:
     """``topic, payload, seq`` of a deterministic publisher. Deletes take the oldest live telemetry, so the
     n-th delete takes the n-th telemetry message; reads ask for the newest."""

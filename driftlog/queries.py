@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftlog.functions import binary, formats
 from driftlog.operators import lww, metrics, runs
+from driftlog.package import ship_package
 from driftlog.plans import lab, verify, workloads
 from driftlog.plans.store import Store
 from driftlog.plans.stream import scratch, stream_state
@@ -213,7 +214,7 @@ def compact_l0_l1(spark, sf_dir):
 def compact_l1_l2(spark, sf_dir):
     f = _flushed(spark, sf_dir)
     upper = runs.compact(f.where("run_seq >= 6"), f.where("run_seq IN (4, 5)"))
-    return runs.compact(upper, f.where("run_seq < 4")).where("op = 'delete'").select("key", "seq")
+    return runs.compact(upper, f.where("run_seq < 4")).select("key", "seq", "op")
 
 
 @query
@@ -228,10 +229,11 @@ def range_overlap_runs(spark, sf_dir):
 
 @query
 def range_overlap_chunks(spark, sf_dir):
-    """Key ranges of chunks of the merged state against those of the newest run: only some meet."""
-    cut = compaction_chunks(spark, sf_dir).select((F.col("chunk") + 100).alias("run_seq"), "min_key", "max_key")
-    part = runs.run_metadata(_flushed(spark, sf_dir).where("run_seq = 7 AND key < 'user:2'")).select("run_seq", "min_key", "max_key")
-    return runs.range_overlaps(cut.unionByName(part)).where("run_a = 7")
+    """Key ranges of chunks of the merged state against chunks of the newest run: only some meet."""
+    cut = compaction_chunks(spark, sf_dir).select((F.col("chunk") + 1_000_000).alias("run_seq"), "min_key", "max_key")
+    newest = runs.chunks(_flushed(spark, sf_dir).where("run_seq = 7").select("key"), 4096)
+    newest = newest.groupBy(F.col("chunk").alias("run_seq")).agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"))
+    return runs.range_overlaps(cut.unionByName(newest)).where("run_a < 1000000 AND run_b >= 1000000").select("run_a", (F.col("run_b") - 1_000_000).alias("run_b"))
 
 
 @query
@@ -269,8 +271,14 @@ def _manifest(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 @query
 def retained_runs(spark, sf_dir):
     meta = runs.run_metadata(_flushed(spark, sf_dir))
-    source = meta.where("run_seq = 0").select(F.col("min_key").alias("lo"), F.lit("user:2").alias("hi"))
-    return meta.join(F.broadcast(source), (F.col("max_key") >= F.col("lo")) & (F.col("min_key") <= F.col("lo")), "left_anti").select("run_seq")
+    return runs.retained(meta, F.lit("user:1"), F.lit("user:2")).select("run_seq")
+
+
+@query
+def retained_chunks(spark, sf_dir):
+    """Chunks of the merged state that a compaction of one stretch of keys leaves as they are."""
+    cut = compaction_chunks(spark, sf_dir)
+    return runs.retained(cut, F.lit("user:3"), F.lit("user:6")).select("chunk", "entries")
 
 
 @query
@@ -342,6 +350,15 @@ def verify_full_outer(spark, sf_dir):
     return _compared(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+@query
+def verify_differences(spark, sf_dir):
+    """The state at three quarters of the log against that at its end: every kind of difference, key by key."""
+    n = _total(spark, sf_dir)
+    w = _writes(spark, sf_dir).select("key", "seq", "op", "value")
+    kind, both = verify.differences(lww.live(w), lww.live(w.where(F.col("seq") < n * 3 // 4)))
+    return both.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
 @query
 def verify_domain(spark, sf_dir):
     current = lww_current(spark, sf_dir)
@@ -358,6 +375,67 @@ def iot_bulk_keys(spark, sf_dir):
     return spark.range(10000).select("id", formats.bulk_key(i, 100).alias("key"), F.when(i % 97 == 0, "alert").otherwise("normal").alias("status"))
 
 
+@query
+def iot_bulk_payloads(spark, sf_dir):
+    return spark.range(10000).select("id", formats.bulk_payload(F.col("id"), 100).alias("payload"))
+
+
+def _stream(spark, mode: str) -> DataFrame:
+    return workloads.stream_ops(spark, mode, 10_000, 100)
+
+
+@query
+def stream1_ops(spark, sf_dir):
+    return _stream(spark, "stream1").select("seq", "op", "key", "value")
+
+
+@query
+def stream2_ops(spark, sf_dir):
+    """Without the deletes, whose keys depend on all that came before (``stream2_deletes``)."""
+    return _stream(spark, "stream2").where("op <> 'delete'").select("seq", "op", "key", "value")
+
+
+@query
+def stream2_deletes(spark, sf_dir):
+    """Each delete takes a telemetry key that is still alive: none twice, none before it was written."""
+    ops = _stream(spark, "stream2")
+    gone = ops.where("op = 'delete'").select("key", F.col("seq").alias("gone"))
+    made = ops.where("op = 'put'").select("key", "seq")
+    return gone.join(made, "key").agg(F.count("*").alias("deletes"), F.count_distinct("key").alias("keys"), F.count_if(F.col("gone") > F.col("seq")).alias("later"))
+
+
+@query
+def bulk_bodies(spark, sf_dir):
+    """Events in bulk bodies of up to 600 records of one user, of which those with more than 500 are refused."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.get_json_object("props", "$.k").alias("k"))
+    record = F.struct(F.when(F.col("event_id") % 7 != 0, F.concat(F.lit("e"), "event_id")).otherwise("").alias("key"), F.when(F.col("event_id") % 5 != 0, F.col("k")).alias("value"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("event_id", record.alias("r")))), lambda x: x["r"])
+    bodies = events.groupBy((F.col("user_id") % 20).alias("body_id"), F.expr("event_id div 10000").alias("part")).agg(F.to_json(F.struct(rows.alias("records"))).alias("body"))
+    return oplog.bulk_records(bodies).select("body_id", "part", F.col("pos").cast("bigint").alias("pos"), "key", "value")
+
+
+@query
+def display_formats(spark, sf_dir):
+    n = F.col("seq") * 7919
+    return _ops(spark, sf_dir).select("seq", formats.display_bytes(F.when(F.col("seq") % 3 == 0, F.col("seq")).otherwise(n * 4000)).alias("size"), formats.display_number(n).alias("number"), formats.display_factor(F.col("seq") / 64).alias("factor"))
+
+
+@query
+def run_paths(spark, sf_dir):
+    paths = spark.range(2000).select("id", F.when(F.col("id") % 10 == 0, F.concat(F.lit("wal_"), "id")).otherwise(F.format_string("data/sst_%06d.sst", F.col("id") * 13)).alias("path"))
+    return paths.select("id", formats.sequence_of_path(F.col("path")).alias("run_seq"))
+
+
+@query
+def record_round_trip(spark, sf_dir):
+    """Writes as bytes of log records, read back; one in a hundred with a byte changed."""
+    value = F.when(F.col("op") != "delete", F.col("value"))
+    raw = _writes(spark, sf_dir).select("seq", binary.record_bytes(F.col("key"), value).alias("raw"))
+    raw = raw.withColumn("raw", F.when(F.col("seq") % 100 == 0, F.concat(F.expr("substring(raw, 1, octet_length(raw) - 1)"), F.unhex(F.lit("FF")))).otherwise(F.col("raw")))
+    got = raw.select("seq", binary.parsed_record(F.col("raw")).alias("r"))
+    return got.select("seq", *[F.when(F.col("r.intact"), F.col(f"r.{c}")).alias(c) for c in ("key", "value")], F.col("r.intact").alias("intact"))
+
+
 @query
 def sensor_formula(spark, sf_dir):
     i = F.col("id")
@@ -417,7 +495,17 @@ def stable_suffix(spark, sf_dir):
 
 @query
 def bridge_key(spark, sf_dir):
-    return _messages(spark, sf_dir).select("seq", formats.message_key(F.col("topic"), F.col("payload"), F.col("seq")).alias("key"))
+    """Keys of messages whose payloads hold, in turn, no field, a name, an empty name with another, a target, or a number."""
+    m, k = _messages(spark, sf_dir), F.get_json_object("payload", "$.k")
+    fields = lambda *named: F.to_json(F.struct(*[v.alias(n) for n, v in named]))
+    payload = (
+        F.when(F.col("seq") % 5 == 0, F.col("payload"))
+        .when(F.col("seq") % 5 == 1, fields(("storage_key", F.concat(F.lit("s"), k))))
+        .when(F.col("seq") % 5 == 2, fields(("storage_key", F.lit("")), ("key", F.concat(F.lit("k"), k))))
+        .when(F.col("seq") % 5 == 3, fields(("target_key", F.concat(F.lit("t"), k)), ("event_id", F.concat(F.lit("e"), k))))
+        .otherwise(fields(("sequence", F.col("seq"))))
+    )
+    return m.select("seq", formats.message_key(F.col("topic"), payload, F.col("seq")).alias("key"))
 
 
 @query
@@ -436,6 +524,7 @@ def record_crc(spark, sf_dir):
 
 @query
 def key_hashes(spark, sf_dir):
+    ship_package(spark)
     return _writes(spark, sf_dir).select("key").distinct().select("key", binary.murmur64a_udf("key").alias("hash"))
 
 
@@ -481,6 +570,45 @@ def store_counters(spark, sf_dir):
     return spark.createDataFrame([tuple(map(int, store.reopen().catalog.stats.values()))], "user_bytes_written bigint, storage_bytes_written bigint, put_calls bigint, delete_calls bigint")
 
 
+@query
+def store_reads(spark, sf_dir):
+    """Point reads of a store with four runs, with filters and without them: what is found, and what was opened."""
+    store = Store(spark, scratch(spark, "store"), Limits(l0_runs=9))
+    rows = spark.range(400).select("id", F.format_string("key_%04d", "id").alias("key"))
+    for part in range(4):
+        store.append(rows.where(f"id % 4 = {part}").select((F.col("id") - part).alias("seq"), "key", F.lit("put").alias("op"), F.concat(F.lit("v"), "id").alias("value")))
+        store.flush()
+    out = []
+    for key in ("key_0001", "key_0002", "key_0399", "key_0400", "key_01"):
+        for bypass in (False, True):
+            before = store.reads["sst_searches"]
+            found, value = store.get(key, bypass_filter=bypass)
+            out.append((key, bypass, found, value, store.reads["sst_searches"] - before if bypass or found else 0))  # a filter may be wrong about an absent key
+    return spark.createDataFrame(out, "key string, bypass boolean, found boolean, value string, searched bigint")
+
+
+@query
+def store_bytes(spark, sf_dir):
+    """What a store's files are by kind: runs and segments, their number and whether they hold bytes."""
+    store = Store(spark, scratch(spark, "store"))
+    store.append(_ops(spark, sf_dir))
+    store.flush()
+    store.append(_ops(spark, sf_dir).where("seq < 100"))
+    return spark.createDataFrame([(k, v["files"], v["bytes"] > 0) for k, v in store.bytes_by_kind().items()], "kind string, files bigint, filled boolean")
+
+
+@query
+def store_damage(spark, sf_dir):
+    """A store whose segment is damaged at one record, opened again: what stood before it is there, the rest is cut off."""
+    store = Store(spark, scratch(spark, "store"))
+    store.append(_ops(spark, sf_dir))
+    name, n = store.catalog.segments[0], _total(spark, sf_dir) // 2
+    rows = spark.read.parquet(f"{store.root}/{name}")
+    at = rows.where(F.col("seq") >= n).agg(F.min("seq")).first()[0]
+    store.replace_segment(name, rows.withColumn("crc", F.when(F.col("seq") == at, F.col("crc") + 1).otherwise(F.col("crc"))))
+    return store.reopen().current()
+
+
 @query
 def lab_report(spark, sf_dir):
     """An experiment script on a new store, compared with its model."""

@@ -63,3 +63,47 @@ def test_message_keys(spark):
     df = spark.createDataFrame(rows, "topic string, payload string, seq bigint")
     got = [tuple(r) for r in df.select(formats.route(F.col("topic")), formats.message_key(F.col("topic"), F.col("payload"), F.col("seq"))).collect()]
     assert got == [("put", "mqtt:f/d/1/telemetry:5"), ("update", "mqtt:f/d/1/state/x"), ("delete", "k"), ("get", "s")]
+
+
+def test_hashes_of_columns_are_those_of_keys(spark):
+    import numpy as np
+    import pandas as pd
+
+    from driftlog.functions.binary import BloomFilter, murmur64a, murmur64a_all, murmur64a_udf
+
+    keys = ["", "a", "seven77", "eight888", "nine99999", "é" * 9, "x" * 1000, None] + [f"user:{i}" for i in range(50)]
+    got, there = murmur64a_all(pd.Series(keys))
+    assert [int(h) for h, ok in zip(got, there, strict=True) if ok] == [murmur64a(k.encode()) for k in keys if k is not None]
+    frame = spark.createDataFrame([(k,) for k in keys], "key string")
+    back = {r["key"]: r["h"] for r in frame.select("key", murmur64a_udf("key").alias("h")).collect()}
+    assert back[None] is None and all(back[k] == int(np.uint64(murmur64a(k.encode())).astype(np.int64)) for k in keys if k is not None)
+    bloom = BloomFilter(50)
+    bloom.add_all(pd.Series(keys[8:]))
+    again = BloomFilter.load(bloom.k, bloom.bytes.tobytes())
+    assert all(again.may_contain(k) for k in keys[8:]) and sum(again.may_contain(f"no:{i}") for i in range(500)) < 30
+
+
+def test_records_are_read_back(spark):
+    from pyspark.sql import functions as F
+
+    from driftlog.functions.binary import from_le, parsed_record, record_bytes
+
+    rows = spark.createDataFrame([("k", "v"), ("é", ""), ("gone", None)], "key string, value string")
+    raw = rows.select("key", "value", record_bytes(F.col("key"), F.col("value")).alias("raw"))
+    got = raw.select("key", "value", parsed_record(F.col("raw")).alias("r"), parsed_record(F.expr("substring(raw, 1, 11)")).alias("short")).collect()
+    assert all((r["r"]["key"], r["r"]["value"], r["r"]["intact"], r["short"]) == (r["key"], r["value"], True, None) for r in got)
+    n = spark.range(1).select(from_le(F.unhex(F.lit("FF010000"))).alias("a"), from_le(F.unhex(F.lit(""))).alias("b")).first()
+    assert (n["a"], n["b"]) == (511, None)
+
+
+def test_formats_for_people(spark):
+    from pyspark.sql import functions as F
+
+    from driftlog.functions import formats
+
+    sizes = spark.createDataFrame([(0,), (1023,), (1024,), (1536,), (1 << 30,), (None,)], "n bigint")
+    assert [r[0] for r in sizes.select(formats.display_bytes(F.col("n"))).collect()] == ["0 B", "1023 B", "1.0 KB", "1.5 KB", "1.0 GB", "0 B"]
+    numbers = spark.createDataFrame([(0,), (999,), (1000,), (1234567,), (None,)], "n bigint")
+    assert [r[0] for r in numbers.select(formats.display_number(F.col("n"))).collect()] == ["0", "999", "1,000", "12,34,567", "0"]
+    paths = spark.createDataFrame([("x/sst_000012.sst",), ("sst_1/sst_7.sst",), ("wal_3",), ("sst_",)], "p string")
+    assert [r[0] for r in paths.select(formats.sequence_of_path(F.col("p"))).collect()] == [12, 7, 0, 0]

@@ -87,3 +87,30 @@ def test_overlaps_and_candidates(spark):
 
 def test_ratios_without_a_denominator(spark):
     assert spark.range(1).select(metrics.ratio(F.lit(3), F.lit(0)), metrics.ratio(F.lit(3), F.lit(2))).first() == (0.0, 1.5)
+
+
+def test_candidates_of_few_and_of_many_runs_agree(spark):
+    import random
+
+    from driftlog.operators import runs
+
+    rng = random.Random(3)
+    key = lambda: f"k{rng.randrange(500):03d}"
+    ranges = [tuple(sorted((key(), key()))) for _ in range(60)]
+    keys = sorted({key() for _ in range(300)} | {a for a, _ in ranges} | {z for _, z in ranges})
+    meta = spark.createDataFrame([(i, a, z) for i, (a, z) in enumerate(ranges)], "run_seq bigint, min_key string, max_key string")
+    frame = spark.createDataFrame([(k,) for k in keys], "key string")
+    want = {k: sum(a <= k <= z for a, z in ranges) for k in keys}
+    for most in (1000, 5):
+        assert {r["key"]: r["candidates"] for r in runs.candidate_runs(frame, meta, most).collect()} == want
+
+
+def test_chunks_of_keys_with_one_head_are_cut_into_blocks(spark):
+    from pyspark.sql import functions as F
+
+    from driftlog.operators import runs
+
+    keys = spark.range(5000).select(F.format_string("lab:event:%08d", "id").alias("key"))
+    assert runs.blocks_by_range(keys, "key", 64).groupBy("block").count().agg(F.max("count")).first()[0] < 1000
+    got = {r["key"]: r["chunk"] for r in runs.chunks(keys, 1000).collect()}
+    assert got == {f"lab:event:{i:08d}": i * 38 // 1000 for i in range(5000)}

@@ -156,3 +156,77 @@ def test_bulk_bodies(spark):
     many = '{"records":[' + ",".join('{"key":"k","value":"v"}' for _ in range(501)) + "]}"
     bodies = spark.createDataFrame([('{"records":[{"key":"a","value":""},{"key":"","value":"x"},{"value":"y"},{"key":"b"}]}',), (many,), ("nonsense",)], "body string")
     assert [(r["key"], r["value"]) for r in bulk_records(bodies).collect()] == [("a", "")]
+
+
+def test_filters_spare_searches_and_can_be_bypassed(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", Limits(l0_runs=9))
+    for part in range(2):
+        write(store, *[(f"key_{i:04d}", "v") for i in range(part, 200, 2)])
+        store.flush()
+    keys = [f"key_{i:04d}x" for i in range(0, 150, 10)]  # inside the ranges, in no run
+    assert not any(store.get(k)[0] for k in keys)
+    assert store.reads["sst_considered"] == 30 and store.reads["sst_searches"] < 4 and store.reads["bloom_skips"] > 26
+    searches = store.reads["sst_searches"]
+    assert store.get(keys[0], bypass_filter=True) == (False, None) and store.reads["sst_searches"] == searches + 2
+    assert store.get("key_0007") == (True, "v") and store.get("key_0007", bypass_filter=True) == (True, "v")
+    assert all(store.may_contain(r, k) for r, start in zip(store.catalog.level(0), (1, 0), strict=True) for k in (f"key_{i:04d}" for i in range(start, 200, 40)))
+
+
+def test_compaction_writes_chunks_and_leaves_other_ranges(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", Limits(flush_bytes=1000, l0_runs=9))
+    write(store, *[(f"key_{i:04d}", "old") for i in range(200)])
+    store.flush()
+    store.compact(0)
+    first = {r.path: (r.min_key, r.max_key) for r in store.catalog.level(1)}
+    assert len(first) == 200 * 28 // 1000 + 1
+    ordered = sorted(first.values())
+    assert all(a[1] < b[0] for a, b in zip(ordered, ordered[1:], strict=False))
+    write(store, ("key_0100", "new"), ("key_0105", None))
+    store.flush()
+    store.compact(0)
+    left = {r.path for r in store.catalog.level(1)} & set(first)
+    assert left == {p for p, (a, z) in first.items() if z < "key_0100" or a > "key_0105"} and len(left) >= len(first) - 2
+    assert "retained" in store.trace()[-1]
+    again = store.reopen()
+    assert again.orphans() == [] and again.get("key_0100") == (True, "new") and again.get("key_0105") == (False, None) and again.get("key_0199") == (True, "old")
+    assert again.summary()["live_keys"] == 199 and all(f["exists"] and f["in_catalog"] for f in again.describe_files())
+
+
+def test_a_damaged_segment_is_cut_off(store):
+    write(store, ("a", "1"), ("b", "2"))
+    write(store, ("c", "3"), ("d", "4"), ("e", "5"))
+    write(store, ("f", "6"))
+    name = store.catalog.segments[1]
+    rows = store.spark.read.parquet(f"{store.root}/{name}")
+    store.replace_segment(name, rows.withColumn("value", F.when(F.col("key") == "d", "wrong").otherwise(F.col("value"))))
+    again = store.reopen()
+    assert state(again) == {"a": "1", "b": "2", "c": "3"} and again.damage == {"bad_seq": 3, "safe_seq": 2, "kept": 3, "lost": 3}
+    again.put("g", "7")
+    assert state(again.reopen()) == {"a": "1", "b": "2", "c": "3", "g": "7"} and again.reopen().damage == {} and again.orphans() == []
+
+
+def test_a_store_damaged_at_its_first_record_is_empty(store):
+    store.put("a", "1")
+    name = store.catalog.segments[0]
+    store.replace_segment(name, store.spark.read.parquet(f"{store.root}/{name}").withColumn("crc", F.lit(0).cast("bigint")))
+    again = store.reopen()
+    assert state(again) == {} and again.catalog.segments == [] and again.damage["kept"] == 0
+
+
+def test_memory_is_scanned_in_order(store):
+    write(store, ("c", "1"), ("a", "2"), ("b", "3"), ("a", "4"), ("d", None))
+    assert [(r["key"], r["value"]) for r in store.memory_scan().collect()] == [("a", "4"), ("b", "3"), ("c", "1"), ("d", None)]
+    assert [r["key"] for r in store.memory_scan("b", "c").collect()] == ["b", "c"]
+    store.flush()
+    assert store.memory_scan().count() == 0
+
+
+def test_the_trace_is_kept_and_stops(store):
+    store.put("a", "1")
+    n = len(store.trace())
+    store.set_tracing(False)
+    store.put("b", "1")
+    again = store.reopen()
+    assert len(again.trace()) == n and not again.catalog.tracing
+    again.set_tracing(True)
+    assert again.trace()[-1] == "trace | enabled"

@@ -102,3 +102,63 @@ def test_json_lines_round_trip(spark, tmp_path):
     ops = workloads.stream_ops(spark, "mqtt", 200, 5)
     workloads.write_json_lines(ops, f"{tmp_path}/w")
     assert json_lines(spark, f"{tmp_path}/w").groupBy("op").count().count() == 4
+
+
+def test_random_messages_draw_what_was_there(spark):
+    from driftlog.plans import workloads
+    from driftlog.streaming.ingest import messages_to_ops
+
+    m = workloads.random_messages(spark, 3000, 20)
+    ops = messages_to_ops(m)
+    rows = {r["seq"]: r for r in ops.collect()}
+    assert sorted(rows) == list(range(1, 3001)) and {r["op"] for r in rows.values()} == {"put", "update", "delete", "get"}
+    written = {r["key"]: s for s, r in rows.items() if r["op"] == "put"}
+    asked = [(s, r["key"]) for s, r in rows.items() if r["op"] in ("delete", "get")]
+    assert len(asked) > 200 and sum(written.get(k, 10**9) < s for s, k in asked) >= len(asked) - 2
+    assert sorted(map(tuple, m.collect())) == sorted(map(tuple, workloads.random_messages(spark, 3000, 20).collect()))
+
+
+def test_publishing_is_paced_and_goes_on(spark, tmp_path):
+    import time
+
+    from driftlog.plans import workloads
+
+    m = workloads.publisher_messages(spark, 30, 5)
+    began = time.monotonic()
+    assert workloads.publish(m, f"file://{tmp_path}/m", rate=40.0, batch=20, events=50) == 50
+    assert time.monotonic() - began >= 1.2
+    back = spark.read.schema("topic string, payload string, seq bigint").json(f"file://{tmp_path}/m")
+    assert sorted(r["seq"] for r in back.collect()) == list(range(1, 51))
+    turns = iter([False, False, True])
+    assert workloads.publish(m, f"file://{tmp_path}/live", batch=10, stop=lambda: next(turns)) == 20
+    assert workloads.publish(m.limit(0), f"file://{tmp_path}/none") == 0
+
+
+def test_two_streams_and_reads_in_them(spark, tmp_path):
+    from driftlog.plans.store import Store
+    from driftlog.streaming.ingest import Ingest
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    schema, counts = "seq bigint, key string, op string, value string", []
+    for name, first in (("one", 0), ("two", 10)):
+        rows = [(i, f"k{first + i}", "put", f"v{first + i}") for i in range(10)] + [(10, f"k{first + 3}", "get", None), (11, f"k{first + 3}", "delete", None), (12, f"k{first + 3}", "get", None), (13, "k4", "get", None)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(f"file://{tmp_path}/{name}")
+        stream = Ingest(store, answers=f"file://{tmp_path}/answers-{name}", every=5)
+        source = spark.readStream.schema(schema).json(f"file://{tmp_path}/{name}")
+        stream.start(source, f"file://{tmp_path}/checkpoint-{name}").awaitTermination()
+        found = {r["seq"]: (r["found"], r["value"]) for r in spark.read.parquet(f"file://{tmp_path}/answers-{name}/*/*").collect()}
+        assert found == {10: (True, f"v{first + 3}"), 12: (False, None), 13: (True, "v4")}
+        assert (stream.counts["hits"], stream.counts["misses"], len(stream.marks)) == (2, 1, 1)
+        counts.append(store.summary()["live_keys"])
+        stream.start(source, f"file://{tmp_path}/checkpoint-{name}").awaitTermination()  # nothing new
+        stream._batch(spark.createDataFrame(rows, schema), 0)  # delivered again
+        assert store.summary()["live_keys"] == counts[-1]
+    assert counts == [9, 18] and store.reopen().summary() == {"live_keys": 18, "tombstones": 2, "live_logical_bytes": store.summary()["live_logical_bytes"]}
+
+
+def test_subscriptions_match_topics(spark):
+    from driftlog.streaming.ingest import matching
+
+    m = spark.createDataFrame([(t,) for t in ("a/b/c", "a/x/c", "a/b", "a", "a/b/c/d", "ab/b/c")], "topic string")
+    got = lambda p: sorted(r["topic"] for r in matching(m, p).collect())
+    assert got("a/+/c") == ["a/b/c", "a/x/c"] and got("a/#") == ["a", "a/b", "a/b/c", "a/b/c/d", "a/x/c"] and got("#") == sorted(r["topic"] for r in m.collect()) and got("a/b") == ["a/b"]
