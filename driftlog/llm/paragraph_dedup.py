@@ -12,7 +12,8 @@ shingle link if they are equal, and are reported but not removed.
 Passages. A passage copied into the middle of a longer line leaves the line's similarity low, so no
 paragraph method can see it. All runs of ``width`` words are hashed, and of every ``window`` adjacent ones
 the smallest hash is selected: two texts that share ``width + window - 1`` words share a selected run. Runs
-found in two documents are merged into stretches; the document with the smallest id keeps its own.
+found in two documents are merged into stretches; the document with the smallest id keeps its own. The ends of
+the others are then widened word by word as far as they agree with what they repeat.
 
 Equal paragraphs are one class and stand for one in the search. Spans are places of words in a text.
 
@@ -215,22 +216,68 @@ def _runs(width: int, window: int, batches: Iterator[pa.RecordBatch]) -> Iterato
         yield pa.record_batch([pa.array(run.view(np.int64)), b.column("doc_id").take(pa.array(text)), pa.array(at - (ends - counts)[text])], ["run", "doc_id", "at"])
 
 
+def _contexts(reach: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of up to ``reach`` words before (side 0, the nearest first) or from (side 1) the places of a text that are asked for."""
+    for b in batches:
+        words, counts = split_words(b.column("text"))
+        hashes, out, begin = word_hashes(words).view(np.int64), [], 0
+        for doc_id, n, asked in zip(b.column("doc_id").to_pylist(), counts.tolist(), b.column("asked").to_pylist(), strict=True):
+            own = hashes[begin : begin + n]
+            begin += n
+            for x in asked:
+                at = min(x["at"], n)
+                out.append((doc_id, x["at"], x["side"], (own[at : at + reach] if x["side"] else own[max(0, at - reach) : at][::-1]).tolist()))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+        yield pa.record_batch([pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)], ["doc_id", "at", "side", "near"])
+
+
+def _widened(docs: DataFrame, stretches: DataFrame, width: int, window: int, parts: int, scratch: Scratch) -> DataFrame:
+    """How many words on, ``n``, a removed stretch and the text it repeats agree beyond its ends ``doc_id, at, side``.
+
+    Fewer than ``window`` words, or there would be another selected run. Only texts with such ends are read again.
+    """
+    ends = stretches.where("removed").select("doc_id", F.inline(F.array(
+        F.struct(F.col("first_word").alias("at"), F.lit(0).alias("side"), F.col("head.keep_id").alias("k_id"), F.col("head.keep_at").alias("k_at")),
+        F.struct((F.col("last_word") + 1).alias("at"), F.lit(1).alias("side"), F.col("tail.keep_id").alias("k_id"), (F.col("tail.keep_at") + width).alias("k_at")),
+    )))
+    ends = scratch.written(ends, "passage-ends", parts)
+    theirs = scratch.written(ends.groupBy("k_id", "k_at", "side").agg(F.count("*").alias("uses")), "passage-origins", parts)
+    places = ends.select("doc_id", "at", "side").unionAll(theirs.select("k_id", "k_at", "side")).distinct()
+    asked = scratch.written(places.groupBy("doc_id").agg(F.collect_list(F.struct("at", "side")).alias("asked")), "passage-places", parts)  # places of one text
+    few = F.broadcast(asked) if asked.count() <= SMALL else asked
+    read = docs.join(few, "doc_id").select("doc_id", "text", "asked").mapInArrow(tidy(_contexts, window - 1), "doc_id long, at long, side int, near array<long>")
+    near = scratch.written(read.groupBy("doc_id", "at", "side").agg(F.min("near").alias("near")), "passage-contexts", parts)
+    theirs = theirs.join(near.select(F.col("doc_id").alias("k_id"), F.col("at").alias("k_at"), "side", F.col("near").alias("theirs")), ["k_id", "k_at", "side"])
+    theirs = scratch.written(theirs, "passage-origin-contexts", parts)
+    both = spread_join(ends, theirs, ["k_id", "k_at", "side"], "uses").join(near, ["doc_id", "at", "side"])
+    first = F.expr("array_position(zip_with(near, theirs, (x, y) -> coalesce(x = y, false)), false)")  # 0: they agree as far as was read
+    return both.select("doc_id", "at", "side", F.when(first == 0, F.least(F.size("near"), F.size("theirs"))).otherwise(first - 1).alias("n")).groupBy("doc_id", "at", "side").agg(F.max("n").alias("n"))
+
+
 def repeated_passages(docs: DataFrame, width: int = 30, window: int = 20) -> DataFrame:
-    """Stretches of words that another document has too."""
+    """Stretches of words that another document has too: removed ones from end to end, a kept one as far as runs of it were selected."""
     spark = docs.sparkSession
     arrow_batches(spark)
     scratch = Scratch(spark)
-    runs = id_and_text(docs).where("doc_id IS NOT NULL").mapInArrow(tidy(_runs, width, window), "run long, doc_id long, at long")
-    runs = scratch.written(runs, "selected-runs")
+    d = id_and_text(docs).where("doc_id IS NOT NULL")
+    runs = scratch.written(d.mapInArrow(tidy(_runs, width, window), "run long, doc_id long, at long"), "selected-runs")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), runs.count() // CELLS + 1)
     # partial sums before the shuffle: a run that many documents share arrives as one row from each task
-    shared = runs.groupBy("run").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last"), F.count("*").alias("times")).where("keep_id < last")
-    shared = scratch.written(shared.select("run", "keep_id", "times"), "shared-runs")
-    found = spread_join(runs, shared, ["run"], "times").select("doc_id", "at", "keep_id", (F.col("doc_id") != F.col("keep_id")).alias("removed"))
+    shared = runs.groupBy("run").agg(F.min(F.struct("doc_id", "at")).alias("keep"), F.max("doc_id").alias("last"), F.count("*").alias("times")).where("keep.doc_id < last")
+    shared = scratch.written(shared.select("run", F.col("keep.doc_id").alias("keep_id"), F.col("keep.at").alias("keep_at"), "times"), "shared-runs", parts)
+    found = spread_join(runs, shared, ["run"], "times").select("doc_id", "at", "keep_id", "keep_at", (F.col("doc_id") != F.col("keep_id")).alias("removed"))
     place = Window.partitionBy("doc_id", "removed").orderBy("at")
     found = found.withColumn("fresh", F.coalesce(F.col("at") > F.lag("at").over(place) + width, F.lit(True)).cast("long"))
     found = found.withColumn("stretch", F.sum("fresh").over(place.rowsBetween(Window.unboundedPreceding, 0)))
-    out = found.groupBy("doc_id", "removed", "stretch").agg(F.min("at").alias("first_word"), (F.max("at") + width - 1).alias("last_word"), F.min("keep_id").alias("keep_id"))
-    out = written(out.select("doc_id", F.lit("passage").alias("kind"), "first_word", "last_word", "keep_id", "removed"), "repeated-passages")
+    origin = F.struct("keep_id", "keep_at")
+    out = found.groupBy("doc_id", "removed", "stretch").agg(F.min("at").alias("first_word"), (F.max("at") + width - 1).alias("last_word"), F.min("keep_id").alias("keep_id"), F.min_by(origin, "at").alias("head"), F.max_by(origin, "at").alias("tail"))
+    out = scratch.written(out, "passage-stretches", parts)
+    more = scratch.written(_widened(d, out, width, window, parts, scratch), "passage-widths", parts)
+    before = more.where("side = 0").select("doc_id", F.col("at").alias("first_word"), F.lit(True).alias("removed"), F.col("n").alias("before"))
+    after = more.where("side = 1").select("doc_id", (F.col("at") - 1).alias("last_word"), F.lit(True).alias("removed"), F.col("n").alias("after"))
+    out = out.join(before, ["doc_id", "first_word", "removed"], "left").join(after, ["doc_id", "last_word", "removed"], "left")
+    first, last = F.col("first_word") - F.coalesce("before", F.lit(0)), F.col("last_word") + F.coalesce("after", F.lit(0))
+    out = written(out.select("doc_id", F.lit("passage").alias("kind"), first.cast("long").alias("first_word"), last.cast("long").alias("last_word"), "keep_id", "removed"), "repeated-passages")
     scratch.drop()
     return out
 
