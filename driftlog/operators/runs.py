@@ -46,19 +46,27 @@ def candidate_runs(keys: DataFrame, meta: DataFrame, most: int = 1000) -> DataFr
         return at.select("key", (begun - over).cast("bigint").alias("candidates"))
     events = keys.select("key", F.lit(1).alias("at"), F.lit(0).alias("v")).unionAll(meta.select("min_key", F.lit(0), F.lit(1))).unionAll(meta.select("max_key", F.lit(2), F.lit(-1)))
     events = events.select("key", "at", "v", F.struct("key", "at").alias("place"))
-    cut = blocks_by_range(events, "key", 256)
+    cut = blocks_by_range(events, "key")
     # a key counts the ranges that begin up to it; those that end at it end behind it
     counted = running_sum(cut, F.col("v"), "place", F.col("block"), [], "candidates")
     return counted.where("at = 1").select("key", F.col("candidates").cast("bigint").alias("candidates"))
 
 
-def blocks_by_range(frame: DataFrame, column: str, blocks: int) -> DataFrame:
-    """``frame`` with ``block``: which of about so many stretches of ``column`` a row falls into, by sampled splitters."""
-    cuts = sorted({r[column] for r in frame.select(column).where(F.col(column).isNotNull()).sample(min(1.0, 64 * blocks / max(1, frame.count())), seed=1).distinct().collect()})
+def blocks_by_range(frame: DataFrame, column: str, blocks: int | None = None) -> DataFrame:
+    """``frame`` with ``block``: which of about so many stretches of ``column`` a row falls into, by sampled splitters.
+
+    Default: as many as the session has shuffle partitions, 256 to 4096. Splitters are looked up in two steps.
+    """
+    blocks = blocks or min(4096, max(256, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cuts = sorted({r[column] for r in frame.select(column).where(F.col(column).isNotNull()).sample(min(1.0, 16 * blocks / max(1, frame.count())), seed=1).collect()})
     splitters = cuts[:: max(1, len(cuts) // blocks)]
     if not splitters:
         return frame.withColumn("block", F.lit(0))
-    return frame.withColumn("block", F.size(F.filter(F.array(*map(F.lit, splitters)), lambda x: x <= F.col(column))))
+    groups = [splitters[i : i + 64] for i in range(0, len(splitters), 64)]
+    upto = lambda values: F.size(F.filter(values, lambda x: x <= F.col(column)))
+    first = upto(F.array(*[F.lit(g[0]) for g in groups]))
+    inside = upto(F.get(F.array(*[F.array(*map(F.lit, g)) for g in groups]), first - 1))
+    return frame.withColumn("block", F.when(first > 0, (first - 1) * 64 + inside).otherwise(0))
 
 
 def retained(meta: DataFrame, lo: Column, hi: Column) -> DataFrame:
@@ -77,7 +85,7 @@ def compact(source: DataFrame, target: DataFrame) -> DataFrame:
     return merge_levels(both).drop("level")
 
 
-def chunks(merged: DataFrame, threshold: int, blocks: int = 256) -> DataFrame:
+def chunks(merged: DataFrame, threshold: int, blocks: int | None = None) -> DataFrame:
     """Which chunk of about ``threshold`` bytes of keys each entry falls into, in key order."""
     size = F.octet_length("key") + ENTRY_BYTES
     cut = running_sum(blocks_by_range(merged.select("key"), "key", blocks), size, "key", F.col("block"), [], "_bytes", inclusive=False)
