@@ -46,7 +46,7 @@ def features(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "h", "tokens", F.expr(f"transform(concat(f, {shapes}), w -> CAST(pmod(xxhash64(w), {BUCKETS}) AS INT))").alias("f"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, least_z: float = 4.0, penalty: float = 1e-4, steps: int = 60) -> DataFrame:
+def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, least_z: float = 4.0, penalty: float = 1e-5, steps: int = 60) -> DataFrame:
     """Weights, one row: ``t, q``: log odds for toxic and for poor text by bucket, ``bt, bq``: their biases.
 
     ``most_labelled``: bound of the sample of labelled rows, chosen by a hash of the id; ``least_z``: standard errors
@@ -107,7 +107,7 @@ def _solved(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [rows[i][n] / rows[i][i] if abs(rows[i][i]) > least else 0.0 for i in range(n)]
 
 
-def fit_rates(soft: DataFrame, targets: dict[str, float], anchor: str | None = None, most: float | None = None, steps: int = 20, tolerance: float = 2e-3) -> DataFrame:
+def fit_rates(soft: DataFrame, targets: dict[str, float], anchor: str | None = None, most: float | None = None, steps: int = 20, tolerance: float = 4e-3) -> DataFrame:
     """``soft`` with a column ``rate``, not negative (and at most ``most``, if given).
 
     ``targets``: share of the tokens for each domain. ``anchor``: the domain whose present tokens set the
