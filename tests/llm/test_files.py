@@ -124,3 +124,17 @@ def test_streams_of_any_cut():
 
 def test_no_pages(spark):
     assert warc.read_archives(warc.normalise(warc.write_archives(spark.createDataFrame([], PAGES)))).count() == 0
+
+
+def test_a_payload_of_many_pages_and_a_very_long_one(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LEAST_HOT", 3)  # more pages than that make a payload hot
+    hot, few, long = "<h>" + "z" * 1500, "<f>" + "y" * 1500, "<l>" + "é" * 3_000_000
+    rows = [(i, None, hot) for i in range(40)] + [(None, None, hot), (None, "http://n", hot), (39, "http://again", hot), (50, "u", few), (51, "u", few), (60, "u", long), (61, "u", long)]
+    pages = spark.createDataFrame(rows, PAGES).repartition(4).selectExpr("*", "1 AS hot", "'k' AS key")
+    archives = warc.normalise(warc.write_archives(pages))
+    got = sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], str(r["refers_to"])) for r in warc.read_archives(archives).collect())
+    want = []
+    for i, _, html in rows:
+        b, keep = html.encode(), {hot: 39, few: 51, long: 61}[html]
+        want.append((str(i), len(b), hashlib.sha1(b).hexdigest(), *(("response", "None") if i == keep else ("revisit", str(keep)))))
+    assert got == sorted(want)

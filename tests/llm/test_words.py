@@ -46,3 +46,30 @@ def test_a_file_appears_when_it_is_whole(tmp_path):
             out.write(text)
     with files.opened(uri) as f:
         assert f.read() == b"two"
+
+
+def test_joins_on_hot_keys_lose_nothing(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from driftlog.llm import shared
+
+    monkeypatch.setattr(shared, "LEAST_HOT", 5)
+    left = spark.range(1000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 97).alias("k"), F.col("id").alias("v"))
+    right = shared.written(left.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("most")).where("k <> 5"), "right")
+    got = sorted(map(tuple, shared.spread_join(left, right, ["k"], "n").select("k", "v", "most").collect()))
+    assert got == sorted(map(tuple, left.join(right, "k").select("k", "v", "most").collect())) and len(got) > 900
+    none = right.where("k = 123456")
+    assert shared.spread_join(left, shared.written(none, "none"), ["k"], "n").count() == 0
+
+
+def test_tables_of_a_computation_go_together(spark):
+    from driftlog.llm import shared
+
+    scratch = shared.Scratch(spark)
+    frame = scratch.written(spark.range(5), "some")
+    paths = list(scratch.paths)
+    assert frame.count() == 5 and len(paths) == 1
+    scratch.drop()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths[0])
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path) and scratch.paths == []
+    assert shared.own_name("A", frame.selectExpr("id AS a", "id AS A_")) == "A__"
