@@ -112,3 +112,24 @@ def display_number(n: Column) -> Column:
 def sequence_of_path(path: Column) -> Column:
     """The number after the last ``sst_`` of a path, 0 without one."""
     return F.coalesce(F.regexp_extract(path, r"^.*sst_([0-9]+)", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def json_object(**fields: Column) -> Column:
+    """A JSON object with fields in this order: texts escaped, whole numbers as they are, others with four decimals, null as null."""
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), F.coalesce(v, F.lit("null"))) for k, v in fields.items()]), F.lit("}"))
+
+
+def json_text(c: Column) -> Column:
+    return F.regexp_extract(F.to_json(F.struct(c.alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
+
+
+def json_whole(c: Column) -> Column:
+    return c.cast("bigint").cast("string")
+
+
+def json_decimal(c: Column) -> Column:
+    return F.when(c.isNotNull(), F.format_string("%.4f", c.cast("double")))
+
+
+def json_flag(c: Column) -> Column:
+    return c.cast("boolean").cast("string")

@@ -143,6 +143,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT seq, CASE WHEN k = 0 THEN CAST(CAST(n AS BIGINT) AS VARCHAR) ELSE printf('%.1f', floor(n / 1024 ** k * 10 + 0.5) / 10) END || ' ' || ['B', 'KB', 'MB', 'GB'][k + 1] AS size,
         CASE WHEN length(t) <= 3 THEN t ELSE reverse(rtrim(regexp_replace(reverse(left(t, length(t) - 3)), '(..)', '\1,', 'g'), ',')) || ',' || right(t, 3) END AS number,
         printf('%.2f', floor(seq / 64 * 100 + 0.5) / 100) || 'x' AS factor FROM u""",
+    "json_report": _q(f"""SELECT op, printf('{{"op":"the \\"%s\\"","n":%d,"amplification":%.4f,"deletes":%s}}', op, n, floor(CAST(s AS DOUBLE) / u * 100) / 100, CASE WHEN op = 'delete' THEN 'true' ELSE 'false' END) AS report
+        FROM (SELECT op, count(*) AS n, sum({_USER}) AS u, sum({_STORED}) AS s FROM writes GROUP BY op)"""),
     "run_paths": "SELECT i AS id, CASE WHEN i % 10 = 0 THEN 0 ELSE i * 13 END AS run_seq FROM range(2000) t(i)",
     "record_round_trip": _q("SELECT seq, CASE WHEN seq % 100 <> 0 THEN key END AS key, CASE WHEN op <> 'delete' AND seq % 100 <> 0 THEN value END AS value, seq % 100 <> 0 AS intact FROM writes"),
     "record_crc": _q(f"SELECT seq, {_crc32('{}')} AS crc FROM (SELECT seq, {_le32('strlen(key)')} || {_le32("CASE WHEN op = 'delete' THEN 4294967295 ELSE strlen(value) END")} || hex(encode(key)) || CASE WHEN op = 'delete' THEN '' ELSE hex(encode(value)) END AS raw FROM writes)"),

@@ -420,6 +420,15 @@ def display_formats(spark, sf_dir):
     return _ops(spark, sf_dir).select("seq", formats.display_bytes(F.when(F.col("seq") % 3 == 0, F.col("seq")).otherwise(n * 4000)).alias("size"), formats.display_number(n).alias("number"), formats.display_factor(F.col("seq") / 64).alias("factor"))
 
 
+@query
+def json_report(spark, sf_dir):
+    """Byte accounting by operation as JSON texts."""
+    n = metrics.accounting(_writes(spark, sf_dir))
+    share = metrics.ratio(F.col("storage_bytes"), F.col("user_bytes"))
+    text = formats.json_object(op=formats.json_text(F.concat(F.lit('the "'), "op", F.lit('"'))), n=formats.json_whole(F.col("n")), amplification=formats.json_decimal(F.floor(share * 100) / 100), deletes=formats.json_flag(F.col("op") == "delete"))
+    return n.select("op", text.alias("report"))
+
+
 @query
 def run_paths(spark, sf_dir):
     paths = spark.range(2000).select("id", F.when(F.col("id") % 10 == 0, F.concat(F.lit("wal_"), "id")).otherwise(F.format_string("data/sst_%06d.sst", F.col("id") * 13)).alias("path"))
