@@ -35,6 +35,10 @@ MORE = (
 )
 
 
+#: candidates (three numbers each) that may be broadcast; more are joined by a shuffle of the texts
+MOST_BROADCAST = 1_000_000
+
+
 def build_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """Postings ``tri, doc_id, h`` (hash of the text) for every whole text."""
     low = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("h"), F.lower("text").alias("low"))
@@ -56,7 +60,9 @@ def find_secrets(docs: DataFrame, rules: tuple = BASE + MORE) -> DataFrame:
     named = sorted({t for ors in queries.values() for ands in ors for t in ands})
     hits = written(candidates(build_index(docs, named), queries), "secret-candidates")
     d = id_and_text(docs).withColumn("h", F.xxhash64("text"))
+    small = hits.count() <= MOST_BROADCAST
     hits = hits.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "rules")
+    hits = F.broadcast(hits) if small else hits
     d = d.join(hits, d["doc_id"].eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left").select("doc_id", "text", F.coalesce("rules", F.lit(0)).alias("rules"))
     found = S.with_spans(d, "text", [(k, p, ok, F.expr(f"rules & {1 << i} <> 0") if i in queries else None) for i, (k, p, ok) in enumerate(rules)])
     return found.select("doc_id", F.expr(S.in_order(f"concat({', '.join(f's_{r[0]}' for r in rules)})")).alias("spans"))
