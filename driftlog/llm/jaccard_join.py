@@ -416,12 +416,12 @@ def _pair_links(folder: str, percent: int, batches: Iterator[pa.RecordBatch]) ->
                 yield pair_links(left, right, percent)
 
 
-def block_plan(nodes: DataFrame, cluster: str, size: Column) -> DataFrame:
+def block_plan(nodes: DataFrame, size: Column, scratch: Scratch) -> DataFrame:
     """``nodes`` of clusters of two and more, with their ``side`` of so many ``blocks``."""
-    sizes = nodes.groupBy(cluster).agg(F.count("*").alias("docs"), F.sum(size).alias("bytes")).where("docs > 1")
-    by_docs = F.greatest(F.least(F.ceil(F.col("docs") / BLOCK_DOCS), F.lit(MANY_BLOCKS)), F.ceil(F.col("docs") / MOST_BLOCK_DOCS))
-    sizes = sizes.select(F.col(cluster).alias("of"), F.greatest(by_docs, F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"), F.col("docs").alias("members"))
-    return nodes.join(sizes, nodes[cluster] == sizes["of"]).drop("of").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = nodes.groupBy("cluster").agg(F.count("*").alias("members"), F.sum(size).alias("bytes")).where("members > 1")
+    by_docs = F.greatest(F.least(F.ceil(F.col("members") / BLOCK_DOCS), F.lit(MANY_BLOCKS)), F.ceil(F.col("members") / MOST_BLOCK_DOCS))
+    sizes = scratch.written(sizes.select("cluster", F.greatest(by_docs, F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"), "members"), "cluster-sizes")
+    return spread_join(nodes, sizes, ["cluster"], "members").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
 def cluster_links(sets: DataFrame, planned: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -484,7 +484,7 @@ def join_groups(docs: DataFrame, width: int = 4, percent: int = 85, texts: bool
     classes = scratch.written(ids.where("n > 0").groupBy("n", "sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes", parts)
     wanted = classes.join(clusters, classes["sig_a"] == clusters["node"]).where("rep IS NOT NULL").select("rep", "node", "n", "copies", F.col("label").alias("cluster"))
     wanted = scratch.written(wanted, "clustered", parts)
-    planned = scratch.written(block_plan(wanted, "cluster", F.col("n") * 8), "cluster-plan", parts)
+    planned = scratch.written(block_plan(wanted, F.col("n") * 8, scratch), "cluster-plan", parts)
     few = F.broadcast(planned) if planned.count() <= SMALL else planned
     found = d.join(few, F.col("doc_id") == F.col("rep")).select("node", "cluster", "side", "copies", "text")
     set_scratch = Scratch(spark)

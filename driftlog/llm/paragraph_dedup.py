@@ -154,7 +154,7 @@ def repeated_paragraphs(docs: DataFrame, width: int = 5, percent: int = 80, leas
     classes = scratch.written(classes, "paragraph-classes", parts)
     wanted = classes.join(clusters, classes["sig_a"] == clusters["node"]).select(F.col("rep.doc_id").alias("rep"), "node", "n", "copies", F.col("label").alias("cluster"))
     wanted = scratch.written(wanted, "paragraph-clustered", parts)
-    planned = scratch.written(block_plan(wanted, "cluster", F.col("n") * 8), "paragraph-plan", parts)
+    planned = scratch.written(block_plan(wanted, F.col("n") * 8, scratch), "paragraph-plan", parts)
     ids = planned.groupBy("rep").agg(F.collect_list(F.struct("node", "cluster", "side", "copies")).alias("wanted"))  # paragraphs of one text
     ids = F.broadcast(ids) if planned.count() <= SMALL else ids
     texts = d.join(ids, F.col("doc_id") == F.col("rep")).select("wanted", "text")
