@@ -38,6 +38,10 @@ from driftlog.llm.shared import Scratch, arrow_batches, id_and_text, spread_join
 from driftlog.llm.words import U, distinct, mix, shingles, split_words, word_hashes
 
 
+#: clustered classes, about 32 bytes each, that may be broadcast; more are joined by a shuffle of the texts
+MOST_WANTED = 2_000_000
+
+
 def paragraphs(texts: pa.Array, width: int, least_words: int, blocks: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, number of words) of each paragraph; its sorted distinct shingles, and how many."""
     lines = pc.split_pattern(texts, "\n")
@@ -156,7 +160,7 @@ def repeated_paragraphs(docs: DataFrame, width: int = 5, percent: int = 80, leas
     wanted = scratch.written(wanted, "paragraph-clustered", parts)
     planned = scratch.written(block_plan(wanted, F.col("n") * 8, scratch), "paragraph-plan", parts)
     ids = planned.groupBy("rep").agg(F.collect_list(F.struct("node", "cluster", "side", "copies")).alias("wanted"))  # paragraphs of one text
-    ids = F.broadcast(ids) if planned.count() <= SMALL else ids
+    ids = F.broadcast(ids) if planned.count() <= MOST_WANTED else ids
     texts = d.join(ids, F.col("doc_id") == F.col("rep")).select("wanted", "text")
     sets = set_scratch.written(texts.mapInArrow(tidy(_sets, width, least_words, blocks), "node long, cluster long, side int, copies long, shingles binary"), "paragraph-sets")
     edges = scratch.written(link_edges(cluster_links(sets, planned, percent, set_scratch)).distinct(), "paragraph-links", parts)
