@@ -67,6 +67,7 @@ class Scratch:
     def drop(self) -> None:
         while self.paths:
             delete_path(self.spark, self.paths.pop())
+        self.spark.sparkContext._jvm.System.gc()  # shuffles that made these tables are removed once nothing refers to them
 
 
 #: most keys that ``spread_join`` calls hot, and rows under which no key is
